@@ -15,15 +15,19 @@ from tabloom.errors import MissingColumn
 EMPTY_LABEL = "(空)"
 TOTAL_LABEL = "合计"
 
-# Whitespace as text stripping sees it: Unicode white space plus the four separators.
-_SPACE = r"[\s\x1c-\x1f]"
-_DIGITS = r"[0-9](?:_?[0-9])*"
-# A decimal number, surrounded by optional whitespace. Java's parser would also accept
-# a type suffix ("1d", "5f"), which is not a number in a cell.
-NUMBER_PATTERN = (
-    rf"(?U)^\s*([+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?)\s*\z"
+# White space that stripping a text removes. Reading a number allows the
+# same characters around it but for the four separators U+001C to U+001F.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-BLANK_PATTERN = rf"(?U)^{_SPACE}*\z"
+
+_DIGITS = r"[0-9](?:_?[0-9])*"
+# A decimal number. Java's parser would also accept a type suffix ("1d", "5f"), which is
+# not a number in a cell.
+NUMBER_PATTERN = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?\z"
 
 
 def ref(name: str) -> Column:
@@ -52,8 +56,12 @@ def as_number(c: Column, t: T.DataType) -> Column:
     if is_numeric(t) or isinstance(t, T.BooleanType):
         return c.cast("double")
     if is_text(t):
-        digits = F.regexp_extract(c, NUMBER_PATTERN, 1)
-        return F.replace(digits, F.lit("_"), F.lit("")).try_cast("double")
+        bare = F.btrim(c, F.lit(WHITE_SPACE))
+        # Most texts are told from numbers by their first character ("+" to "9").
+        likely = F.ascii(c).between(43, 57) | _starts_with_space(c)
+        return F.when(
+            likely & bare.rlike(NUMBER_PATTERN), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double")
+        )
     return F.lit(None).cast("double")
 
 
@@ -130,11 +138,21 @@ def text0(df: DataFrame, name: str) -> Column:
     return F.when(blank, F.lit("")).otherwise(as_text(c, t))
 
 
+def _starts_with_space(c: Column) -> Column:
+    """A cheap test that is true for every text starting with white space, and for ""."""
+    first = F.ascii(c)
+    return (first <= 32) | first.isin(0x85, 0xA0, 0x1680, 0x3000) | first.between(0x2000, 0x205F)
+
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE_SPACE + SEPARATORS))
+
+
 def is_blank(df: DataFrame, name: str) -> Column:
     """NULL, or text made of white space only. Never NULL itself."""
     c = ref(name)
     if is_text(dtype(df, name)):
-        return c.isNull() | c.rlike(BLANK_PATTERN)
+        return c.isNull() | (_starts_with_space(c) & (strip(c) == ""))
     return c.isNull()
 
 

@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
+from tabloom.functions.cells import strip
+
 # Characters that may not occur in a file name or in a table name, and
 # the longest names allowed.
 FILE_FORBIDDEN = '<>:"/\\|?*'
@@ -13,8 +15,6 @@ FILE_LENGTH = 100
 TABLE_FORBIDDEN = "[]:*?/\\"
 TABLE_LENGTH = 31
 
-_STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
-
 
 def normalise_headers(cells: Iterable[object]) -> list[str]:
     """Names for a header row: empty cells become ``Col{i}``, repeats get ``_2``, ``_3``.
@@ -37,7 +37,7 @@ def normalise_headers(cells: Iterable[object]) -> list[str]:
 
 def _safe(text: Column, forbidden: str, length: int) -> Column:
     replaced = F.translate(text, forbidden, "_" * len(forbidden))
-    return F.substring(F.regexp_replace(replaced, _STRIP, ""), 1, length)
+    return F.substring(strip(replaced), 1, length)
 
 
 def safe_file_name(text: Column) -> Column:

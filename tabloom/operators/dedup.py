@@ -1,16 +1,17 @@
 """Duplicate removal: first or last row per key, counts, groups, removed rows.
 
 A key value may hold a large share of all rows, so nothing here gathers a group in one
-task: keepers are found with ``min_by`` / ``max_by``, which reduce each partition to one
-row per key before the shuffle, and removed rows by an anti join on row order, which is
-unique and so evenly spread.
+task. Keepers are the rows of rank 1, a rank limit Spark applies to each partition before
+the shuffle (or ``max_by``, which is aggregated before it), so one row per key and
+partition is moved. Removed rows come from an anti join on row order, which is unique and
+so evenly spread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabloom.errors import TableError
 from tabloom.functions.cells import group_value, ref
@@ -33,6 +34,11 @@ def _ordered(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataFrame,
     return with_address(df) if order_by is None else (df, list(order_by))
 
 
+def _nearest(at: DataFrame, df: DataFrame, columns: Sequence[str] | None, order: list[Column]) -> DataFrame:
+    ranked = at.withColumn("_rank", F.row_number().over(Window.partitionBy(*_keys(df, columns)).orderBy(*order)))
+    return ranked.where("_rank = 1").select(*[ref(c) for c in df.columns])
+
+
 def keep_first(
     df: DataFrame, columns: Sequence[str] | None = None, order_by: Sequence[str] | None = None
 ) -> DataFrame:
@@ -42,9 +48,7 @@ def keep_first(
     are typed: NULL equals NULL, the number 1 is not the text "1".
     """
     at, order = _ordered(df, order_by)
-    row = F.struct(*[ref(c) for c in df.columns])
-    first = F.min_by(row, F.struct(*[ref(c) for c in order])).alias("_row")
-    return at.groupBy(*_keys(df, columns)).agg(first).select("_row.*")
+    return _nearest(at, df, columns, [ref(c).asc() for c in order])
 
 
 def keep_last(
@@ -54,13 +58,12 @@ def keep_last(
     """The last row of each key. Its place in the result is that of the key's first row:
     ``position`` adds the first row's order value(s) as a struct column to sort by."""
     at, order = _ordered(df, order_by)
+    if position is None:
+        return _nearest(at, df, columns, [ref(c).desc() for c in order])
     place = F.struct(*[ref(c) for c in order])
     row = F.struct(*[ref(c) for c in df.columns])
-    aggregates = [F.max_by(row, place).alias("_row")]
-    if position is not None:
-        aggregates.append(F.min(place).alias(position))
-    kept = at.groupBy(*_keys(df, columns)).agg(*aggregates)
-    return kept.select("_row.*", *([ref(position)] if position is not None else []))
+    kept = at.groupBy(*_keys(df, columns)).agg(F.max_by(row, place).alias("_row"), F.min(place).alias(position))
+    return kept.select("_row.*", ref(position))
 
 
 def dedup(

@@ -11,41 +11,33 @@ from tabloom.functions.cells import (
     as_text, dtype, group_value, is_blank, is_numeric, is_text, num, ref, round_exact,
 )
 
-# Buckets per power of two on each refinement level, as a power of two.
-_LEVEL_BITS = 13
-
 
 def _may_hold_numbers(t: T.DataType) -> bool:
     return is_numeric(t) or is_text(t) or isinstance(t, T.BooleanType)
 
 
-def _number_kind(df: DataFrame, name: str) -> tuple[Column, Column]:
-    """(is a number, is text): flags for a cell that is not blank."""
-    t, filled = dtype(df, name), ~is_blank(df, name)
-    if is_numeric(t) or isinstance(t, T.BooleanType):
-        return filled, F.lit(False)
-    if is_text(t):
-        number = num(df, name).isNotNull()
-        return filled & number, filled & ~number
-    return F.lit(False), filled
-
-
 def profile(df: DataFrame) -> DataFrame:
-    """``(position, column, total, empty, numbers, texts)`` for every column, in one pass."""
-    aggregates = [F.count(F.lit(1)).alias("total")]
+    """``(column, total, empty, numbers, texts)`` for every column, in one pass."""
+    cells, aggregates, lines = [], [F.count(F.lit(1)).alias("total")], []
     for i, name in enumerate(df.columns):
-        number, text = _number_kind(df, name)
-        aggregates += [
-            F.count_if(is_blank(df, name)).alias(f"e{i}"),
-            F.count_if(number).alias(f"n{i}"),
-            F.count_if(text).alias(f"t{i}"),
-        ]
-    lines = [
-        F.struct(F.lit(i).alias("position"), F.lit(name).alias("column"), F.col("total"),
-                 F.col(f"e{i}").alias("empty"), F.col(f"n{i}").alias("numbers"), F.col(f"t{i}").alias("texts"))
-        for i, name in enumerate(df.columns)
-    ]
-    return df.agg(*aggregates).select(F.explode(F.array(*lines)).alias("line")).select("line.*")
+        t, c, none = dtype(df, name), F.col(f"c{i}"), F.lit(0).cast("bigint")
+        if is_text(t):
+            # 0 blank, 1 number, 2 text: worked out once per cell, then counted.
+            kind = F.when(is_blank(df, name), 0).when(num(df, name).isNotNull(), 1).otherwise(2)
+            cells.append(kind.alias(f"c{i}"))
+            aggregates += [F.count_if(c == 1).alias(f"n{i}"), F.count_if(c == 2).alias(f"t{i}")]
+            numbers, texts = F.col(f"n{i}"), F.col(f"t{i}")
+        else:
+            cells.append(ref(name).alias(f"c{i}"))
+            aggregates.append(F.count(c).alias(f"f{i}"))
+            filled = F.col(f"f{i}")
+            numbers, texts = (filled, none) if _may_hold_numbers(t) else (none, filled)
+        lines.append(F.struct(
+            F.lit(name).alias("column"), F.col("total"), (F.col("total") - numbers - texts).alias("empty"),
+            numbers.alias("numbers"), texts.alias("texts"),
+        ))
+    counted = df.select(*cells).agg(*aggregates)
+    return counted.select(F.explode(F.array(*lines)).alias("line")).select("line.*")
 
 
 def _percent(part: Column, total: Column) -> Column:
@@ -85,61 +77,88 @@ def _number_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 def _long_numbers(df: DataFrame, names: list[str]) -> DataFrame:
     """``(at, v)``: the numbers of all columns, ``at`` being the column's place in ``names``."""
-    numbers = df.select(*[num(df, c).alias(str(i)) for i, c in enumerate(names)])
-    if len(names) == 1:
-        long = numbers.select(F.lit(0).alias("at"), ref("0").alias("v"))
-    else:
-        long = numbers.unpivot([], [ref(str(i)) for i in range(len(names))], "at", "v") \
-            .select(F.col("at").cast("int").alias("at"), "v")
-    return long.where(F.col("v").isNotNull())
+    numbers = [F.struct(F.lit(i).alias("at"), num(df, c).alias("v")) for i, c in enumerate(names)]
+    if not numbers:
+        return df.select(F.lit(0).alias("at"), F.lit(0.0).alias("v")).where(F.lit(False))
+    return df.select(F.inline(F.array(*numbers))).where(F.col("v").isNotNull())
 
 
-def _bucket(v: Column, level: int) -> Column:
-    """A bucket number that never falls as ``v`` rises: logarithmic, finer on each level."""
-    size = F.least(F.log2(F.abs(v)), F.lit(1024.0)) + 1100.0
-    magnitude = F.floor(size * float(2 ** (_LEVEL_BITS * level)))
-    return F.when(v > 0, magnitude).when(v < 0, -magnitude).otherwise(F.lit(0).cast("bigint"))
+def _bucket(v: Column, bits: int) -> Column:
+    """The value rounded to ``bits`` binary digits: never falls as ``v`` rises.
+
+    Adding and taking away a large multiple rounds off the lower digits (Veltkamp's
+    split). Values whose multiple would overflow share one bucket at each end.
+    """
+    inner = F.greatest(F.least(v, F.lit(1e290)), F.lit(-1e290))
+    wide = inner * float(2 ** (53 - bits) + 1)
+    return wide - (wide - inner)
 
 
 def _exact_quartiles(long: DataFrame) -> DataFrame:
     """``(at, n, q1, q3)`` at positions ``n div 4`` and ``3n div 4`` of the sorted values.
 
     Sorting a column would need one task per column. Instead the bucket that holds the
-    wanted position is found from a histogram of at most a few 10,000 buckets, then a
-    finer one inside that bucket, then the value itself among the few distinct values
-    left. Each level is a scan with partial aggregation; only counts are shuffled, and a
-    value that fills a third of the table is one histogram line.
+    wanted position is found from a histogram of values rounded to 10 binary digits (at
+    most 512 lines per power of two), then a bucket of 25 digits inside that one, then
+    the value itself among the distinct values left. Each level is a scan with partial
+    aggregation; only counts are shuffled, and a value that fills a third of the table is
+    one histogram line.
     """
-    by_bucket = Window.partitionBy("at").orderBy("b")
-    whole = Window.partitionBy("at")
+    levels = [_bucket(F.col("v"), 10), _bucket(F.col("v"), 25), F.col("v")]
+    by_value = Window.partitionBy("at").orderBy("x")
     sizes = (
-        long.groupBy("at", _bucket(F.col("v"), 1).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        .select("at", "b", "c", F.sum("c").over(by_bucket).alias("upto"), F.sum("c").over(whole).alias("n"))
-        .where("n >= 4")
+        long.groupBy("at", levels[0].alias("x")).agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("upto", F.sum("c").over(by_value))
+        .withColumn("n", F.sum("c").over(Window.partitionBy("at"))).where("n >= 4")
     )
     ranks = F.array(
         F.struct(F.lit(1).alias("q"), F.expr("n div 4").alias("k")),
         F.struct(F.lit(3).alias("q"), F.expr("(3 * n) div 4").alias("k")),
     )
     target = (
-        sizes.select("at", "b", "c", "upto", "n", F.explode(ranks).alias("r"))
-        .select("at", "b", "n", "r.q", "r.k", (F.col("upto") - F.col("c")).alias("before"), "upto")
-        .where("before <= k and k < upto").drop("upto")
+        sizes.select("*", F.inline(ranks)).withColumn("before", F.col("upto") - F.col("c"))
+        .where("before <= k and k < upto")
+        .select("at", "q", "k", "n", "before", F.col("x").alias("b1"))
     )
     for level in (1, 2):
-        finer = _bucket(F.col("v"), level + 1) if level < 2 else F.col("v")
-        # At most two lines per column.
-        inside = long.withColumn("b", _bucket(F.col("v"), level)).join(F.broadcast(target), ["at", "b"])
-        sizes = inside.groupBy("at", "q", "k", "n", "before", finer.alias("x")).agg(F.count(F.lit(1)).alias("c"))
+        # At most two lines per column are broadcast.
+        found = [f"b{i}" for i in range(1, level + 1)]
+        placed = long.select("at", "v", *[levels[i].alias(b) for i, b in enumerate(found)])
+        inside = placed.join(F.broadcast(target), ["at", *found])
         upto = F.col("before") + F.sum("c").over(Window.partitionBy("at", "q").orderBy("x"))
+        sizes = inside.groupBy("at", "q", "k", "n", "before", *found, levels[level].alias("x")) \
+            .agg(F.count(F.lit(1)).alias("c"))
         target = (
             sizes.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
-            .where("before <= k and k < upto").select("at", F.col("x").alias("b"), "n", "q", "k", "before")
+            .where("before <= k and k < upto")
+            .select("at", "q", "k", "n", "before", *found, F.col("x").alias(f"b{level + 1}"))
         )
-    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("b")))
+    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("b3")))
     return target.groupBy("at", "n").agg(pick(1).alias("q1"), pick(3).alias("q3"))
 
 
+def _approximate_quartiles(long: DataFrame, accuracy: int) -> DataFrame:
+    both = F.approx_percentile("v", F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).alias("p")
+    return (
+        long.groupBy("at").agg(F.count("v").alias("n"), both).where("n >= 4")
+        .select("at", "n", F.col("p")[0].alias("q1"), F.col("p")[1].alias("q3"))
+    )
+
+
+def _bounds(long: DataFrame, multiplier: float, exact: bool, accuracy: int) -> DataFrame:
+    found = _exact_quartiles(long) if exact else _approximate_quartiles(long, accuracy)
+    spread = F.col("q3") - F.col("q1")
+    return found.where(spread != 0).select(
+        "at", "n", "q1", "q3", (F.col("q1") - float(multiplier) * spread).alias("lower"),
+        (F.col("q3") + float(multiplier) * spread).alias("upper"),
+    )
+
+
+def _named(found: DataFrame, names: list[str], *fields: str) -> DataFrame:
+    labels = F.array(*[F.lit(c) for c in names]) if names else F.array().cast("array<string>")
+    return found.select(F.element_at(labels, F.col("at") + 1).alias("column"), *fields)
+
+
 def quartiles(
     df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True, accuracy: int = 10_000
 ) -> DataFrame:
@@ -148,74 +167,61 @@ def quartiles(
     ``exact=False`` reads the table once and takes approximate percentiles.
     """
     names = _number_columns(df, columns)
-    if not names:
-        return df.sparkSession.createDataFrame([], "column string, n bigint, q1 double, q3 double")
     long = _long_numbers(df, names)
-    if exact:
-        found = _exact_quartiles(long)
-    else:
-        both = F.approx_percentile("v", F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy))
-        found = long.groupBy("at").agg(F.count("v").alias("n"), both.alias("p")).where("n >= 4") \
-            .select("at", "n", F.col("p")[0].alias("q1"), F.col("p")[1].alias("q3"))
-    labels = F.array(*[F.lit(c) for c in names])
-    return found.select(F.element_at(labels, F.col("at") + 1).alias("column"), "n", "q1", "q3")
+    found = _exact_quartiles(long) if exact else _approximate_quartiles(long, accuracy)
+    return _named(found, names, "n", "q1", "q3")
 
 
 def outlier_bounds(
-    df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, exact: bool = True
+    df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, exact: bool = True,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """``(column, n, q1, q3, lower, upper)``; columns with no spread are left out."""
-    spread = F.col("q3") - F.col("q1")
-    return (
-        quartiles(df, columns, exact).where(spread != 0)
-        .select("column", "n", "q1", "q3", (F.col("q1") - float(multiplier) * spread).alias("lower"),
-                (F.col("q3") + float(multiplier) * spread).alias("upper"))
-    )
-
-
-def _bounds_map(bounds: DataFrame) -> Column:
-    """All bounds as one scalar: a map with one entry per column of the table."""
-    entry = F.struct(F.col("column"), F.struct("lower", "upper"))
-    return bounds.agg(F.map_from_entries(F.collect_list(entry))).scalar()
-
-
-def _outside(df: DataFrame, name: str, limits: Column) -> Column:
-    v, limit = num(df, name), F.try_element_at(limits, F.lit(name))
-    return (v < limit["lower"]) | (v > limit["upper"])
+    names = _number_columns(df, columns)
+    bounds = _bounds(_long_numbers(df, names), multiplier, exact, accuracy)
+    return _named(bounds, names, "n", "q1", "q3", "lower", "upper")
 
 
 def outliers(
-    df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, exact: bool = True
+    df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, exact: bool = True,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """``(column, outliers, lower, upper)``: numbers strictly outside the bounds, which are
     shown rounded to two digits. Columns without bounds are left out."""
     names = _number_columns(df, columns)
-    bounds = outlier_bounds(df, names, multiplier, exact)
-    if not names:
-        return bounds.select("column", F.lit(0).cast("bigint").alias("outliers"), "lower", "upper")
-    limits = _bounds_map(bounds)
-    counted = df.agg(*[F.count_if(_outside(df, c, limits)).alias(f"o{i}") for i, c in enumerate(names)])
-    lines = [F.struct(F.lit(c).alias("column"), F.col(f"o{i}").alias("outliers")) for i, c in enumerate(names)]
-    one = counted.select(F.explode(F.array(*lines)).alias("line"), limits.alias("limits"))
-    limit = F.try_element_at(F.col("limits"), F.col("line.column"))
-    return (
-        one.select("line.column", "line.outliers", limit.alias("limit")).where("limit is not null")
-        .select("column", "outliers", round_exact(F.col("limit.lower")).alias("lower"),
-                round_exact(F.col("limit.upper")).alias("upper"))
+    long = _long_numbers(df, names)
+    # One line of bounds per column of the table is broadcast.
+    limited = long.join(F.broadcast(_bounds(long, multiplier, exact, accuracy)), "at")
+    outside = F.count_if((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")))
+    counted = limited.groupBy("at", "lower", "upper").agg(outside.alias("outliers")).select(
+        "at", "outliers", round_exact(F.col("lower")).alias("lower"), round_exact(F.col("upper")).alias("upper")
     )
+    return _named(counted, names, "outliers", "lower", "upper")
 
 
 def outlier_rows(
     df: DataFrame, columns: Sequence[str] | None = None, multiplier: float = 1.5, exact: bool = True,
-    name: str = "outlier_columns",
+    accuracy: int = 10_000, name: str = "outlier_columns",
 ) -> DataFrame:
-    """Rows with an outlier, and the names of the columns where it is."""
+    """Rows with an outlier, and the names of the columns where it is.
+
+    The bounds, one line per column of the table, reach the rows as one scalar array.
+    """
     names = _number_columns(df, columns)
+    bounds = _bounds(_long_numbers(df, names), multiplier, exact, accuracy)
+    by_column = F.map_from_entries(F.collect_list(F.struct("at", F.struct("lower", "upper"))))
+    places = F.array(*[F.lit(i) for i in range(len(names))]).cast("array<int>")
+    limits = bounds.agg(F.transform(places, lambda i: F.try_element_at(by_column, i))).scalar()
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), num(df, c).alias("v")) for c in names])
+
+    def outside(cell: Column, limit: Column) -> Column:
+        return F.when((cell["v"] < limit["lower"]) | (cell["v"] > limit["upper"]), cell["c"])
+
     if not names:
         return df.withColumn(name, F.lit("")).where(F.lit(False))
-    limits = _bounds_map(outlier_bounds(df, names, multiplier, exact))
-    hits = F.concat_ws(",", *[F.when(_outside(df, c, limits), F.lit(c)) for c in names])
-    return df.withColumn(name, hits).where(F.col(name) != "")
+    marked = df.withColumn("_limits", limits)
+    hits = F.concat_ws(",", F.zip_with(cells, F.col("_limits"), outside))
+    return marked.withColumn(name, hits).drop("_limits").where(ref(name) != "")
 
 
 def duplicate_rows(df: DataFrame, empty_as: str | None = None) -> DataFrame:
