@@ -23,14 +23,14 @@ def _x1_many_files(spark, sf_dir):
     """Numbering over files that Spark packs into tasks by size, not by name."""
     path = scratch_dir(spark)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    orders.repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
     return tl.with_row_index(spark.read.parquet(path))
 
 
 def _x1_text_files(spark, sf_dir):
     path = scratch_dir(spark)
     lines = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("v"))
-    lines.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").select("v").write.text(path)
+    lines.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("v").write.text(path)
     return tl.with_row_index(spark.read.text(path))
 
 

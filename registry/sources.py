@@ -98,8 +98,8 @@ def _s9_files(spark, sf_dir):
 
 def _s9_one_file(spark, sf_dir):
     path = scratch_dir(spark)
-    tl.write_split(table(spark, sf_dir, "orders"), "o_orderdate", path, order_by=["o_orderkey"])
-    return tl.read_split(spark, path, output="1998-10-03 00_00_00").drop("split_part")
+    tl.write_split(table(spark, sf_dir, "orders"), "o_orderpriority", path, order_by=["o_orderkey"])
+    return tl.read_split(spark, path, output="4-NOT SPECIFIED").drop("split_part")
 
 
 def _s10_sheets(spark, sf_dir):
@@ -110,7 +110,7 @@ def _s10_sheets(spark, sf_dir):
 
 def _s10_sheet_names(spark, sf_dir):
     path = scratch_dir(spark)
-    tl.write_split(table(spark, sf_dir, "pages").select("page_id", "url"), "url", path, mode="sheets")
+    tl.write_split(table(spark, sf_dir, "lineitem"), "l_quantity", path, mode="sheets")
     return tl.list_tables(spark, path)
 
 
@@ -164,9 +164,9 @@ ORACLES = {
         UNION ALL SELECT 'none', false, NULL""",
     "S9_split_files": """SELECT *, 'p_' || translate(o_orderpriority, '<>:"/\\|?*', '_________') || '_x' AS split_part
         FROM orders""",
-    "S9_split_one": "SELECT * FROM orders WHERE o_orderdate = TIMESTAMP '1998-10-03'",
+    "S9_split_one": "SELECT * FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'",
     "S10_split_sheets": "SELECT *, p_brand AS split_table FROM part",
-    "S10_sheet_names": f"SELECT DISTINCT {_SHEET_KEY} AS table_name FROM pages",
+    "S10_sheet_names": f"SELECT DISTINCT {text_sql('l_quantity')} AS table_name FROM lineitem",
     "S11_keys": f"SELECT page_id, {_FILE_KEY} AS file_key, {_SHEET_KEY} AS table_key FROM pages",
     "S12_no_header": """SELECT concat_ws(',', o_orderkey, o_orderstatus, o_orderpriority) AS value,
         o_orderstatus AS split_part FROM orders""",

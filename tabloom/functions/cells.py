@@ -77,23 +77,20 @@ def num0(df: DataFrame, name: str) -> Column:
 
 
 def _double_text(x: Column) -> Column:
-    java = x.cast("string")
-    size = F.abs(x)
+    """Common values first; each branch uses Java's text once, so the code stays small."""
+    java, size = x.cast("string"), F.abs(x)
     plain = F.regexp_replace(x.try_cast("decimal(38,21)").cast("string"), r"\.?0+$", "")
-    mantissa = F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", "")
-    power = F.substring_index(java, "E", -1).try_cast("int")
-    exponent = F.concat(
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(power).cast("string"),
-    )
+    # 1.0E-5 is 1e-05, 2.5E22 is 2.5e+22.
+    power = java
+    for old, new in (("E", "e+"), ("e+-", "e-"), (".0e", "e")):
+        power = F.replace(power, F.lit(old), F.lit(new))
+    power = F.regexp_replace(power, "e([+-])([0-9])$", "e$10$2")
     return (
-        F.when(F.isnan(x), F.lit("nan"))
-        .when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size < 1e16) & (F.rint(x) == x), x.try_cast("bigint").cast("string"))
-        .when(~F.contains(java, F.lit("E")), java)
+        F.when((F.rint(x) == x) & (size < 1e16), x.try_cast("bigint").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), java)
         .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(F.concat(mantissa, exponent))
+        .when(size < float("inf"), power)
+        .otherwise(F.lower(F.replace(java, F.lit("Infinity"), F.lit("inf"))))
     )
 
 
@@ -177,20 +174,20 @@ def round_exact(x: Column, digits: int = 2) -> Column:
     Spark's ``round`` and ``bround`` round the shortest decimal text of the value, so
     0.165 (stored slightly above) or 1.005 (stored slightly below) can go the wrong way.
     The product with 10^digits is split in two (error-free multiplication), so a product
-    that lands on .5 is decided by its rounding error. Good for digits <= 7.
+    that lands on .5 is decided by its rounding error. Good for digits <= 7. The
+    expression repeats ``x`` many times: give it a column, not a long expression.
     """
     if not 0 <= digits <= 7:
         raise ValueError("digits must be between 0 and 7")
     scale = float(10**digits)
     product = x * scale
+    down = F.floor(product)
     wide = x * 134217729.0
     high = wide - (wide - x)
     error = (high * scale - product) + (x - high) * scale
-    down = F.floor(product)
-    fraction = product - down.cast("double")
-    up = (fraction > 0.5) | (
-        (fraction == 0.5) & ((error > 0) | ((error == 0) & (F.abs(down) % 2 == 1)))
-    )
-    whole = (down + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("double")
-    # From 2^53 on, the spacing of doubles near x is wider than the last digit.
-    return F.when(F.abs(product) >= float(2**53), x).otherwise(whole / scale)
+    looks_tied = product - down.cast("double") == 0.5
+    decided = down.cast("double") + F.when(error > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    whole = F.when(looks_tied & (error != 0), decided).otherwise(F.rint(product))
+    # From 2^53 on, the spacing of doubles near x is wider than the last digit. Adding
+    # zero turns -0.0 into 0.0.
+    return F.when(F.abs(product) >= float(2**53), x).otherwise(whole / scale + 0.0)

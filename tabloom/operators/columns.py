@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tabloom.functions.cells import ref
-from tabloom.functions.formula import formula
+from tabloom.functions.formula import with_formulas
 
 
 def column_ops(
@@ -32,5 +32,5 @@ def column_ops(
     renames = renames or {}
     present = set(df.columns)
     out = [(ref(c) if c in present else F.lit("")).alias(renames.get(c, c)) for c in chosen]
-    out += [formula(df, spec["expression"], strict).alias(spec["name"]) for spec in calc]
-    return df.select(*out)
+    df, computed = with_formulas(df, calc, strict)
+    return df.select(*out, *computed)

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabloom.errors import TableError
 from tabloom.functions.cells import group_value, ref
+from tabloom.functions.names import normalise_headers
 from tabloom.operators.rows import with_address
 
 
@@ -34,6 +35,12 @@ def _ordered(df: DataFrame, order_by: Sequence[str] | None) -> tuple[DataFrame,
     return with_address(df) if order_by is None else (df, list(order_by))
 
 
+def _any_will_do(df: DataFrame, columns: Sequence[str] | None) -> bool:
+    """With all columns as the key, rows of one key are the same and need no order."""
+    whole = set(key_columns(df, columns)) == set(df.columns)
+    return whole and not any(isinstance(f.dataType, T.MapType) for f in df.schema)
+
+
 def _nearest(at: DataFrame, df: DataFrame, columns: Sequence[str] | None, order: list[Column]) -> DataFrame:
     ranked = at.withColumn("_rank", F.row_number().over(Window.partitionBy(*_keys(df, columns)).orderBy(*order)))
     return ranked.where("_rank = 1").select(*[ref(c) for c in df.columns])
@@ -47,6 +54,8 @@ def keep_first(
     ``order_by`` must be unique per row (default: the physical order of the scan). Keys
     are typed: NULL equals NULL, the number 1 is not the text "1".
     """
+    if _any_will_do(df, columns):
+        return df.dropDuplicates()
     at, order = _ordered(df, order_by)
     return _nearest(at, df, columns, [ref(c).asc() for c in order])
 
@@ -57,6 +66,8 @@ def keep_last(
 ) -> DataFrame:
     """The last row of each key. Its place in the result is that of the key's first row:
     ``position`` adds the first row's order value(s) as a struct column to sort by."""
+    if position is None and _any_will_do(df, columns):
+        return df.dropDuplicates()
     at, order = _ordered(df, order_by)
     if position is None:
         return _nearest(at, df, columns, [ref(c).desc() for c in order])
@@ -103,7 +114,8 @@ def dedup_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def duplicate_groups(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Keys that occur more than once, with their number of rows as ``n``."""
+    """Keys that occur more than once, with their number of rows as last column ``n``
+    (``n_2`` beside a key of that name)."""
     names = key_columns(df, columns)
     sizes = _group_sizes(df, columns).where(ref("_n") > 1)
-    return sizes.select(*[ref(f"_key{i}").alias(c) for i, c in enumerate(names)], ref("_n").alias("n"))
+    return sizes.toDF(*normalise_headers([*names, "n"]))

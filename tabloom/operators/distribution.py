@@ -22,8 +22,9 @@ def share_table(df: DataFrame, column: str, label: str = EMPTY_LABEL, ordered: b
     a scalar; no join.
     """
     total = df.agg(F.count(F.lit(1))).scalar()
-    percent = round_exact(F.col("n").cast("double") / total.cast("double") * 100.0, 1)
-    table = value_counts(df, column, label).select("value", "n", F.format_string("%.1f%%", percent).alias("share"))
+    percent = F.col("n").cast("double") / total.cast("double") * 100.0
+    table = value_counts(df, column, label).withColumn("p", percent) \
+        .select("value", "n", F.format_string("%.1f%%", round_exact(F.col("p"), 1)).alias("share"))
     return table.orderBy(F.desc("n"), "value") if ordered else table
 
 

@@ -32,11 +32,7 @@ def _cell(df: DataFrame, value: str, how: str) -> Column:
         return F.count(F.lit(1))
     x = num(df, value)
     zero = F.lit(0.0)
-    if how == "sum":
-        return round_exact(F.coalesce(F.sum(x), zero), 2)
-    if how == "avg":
-        return round_exact(F.coalesce(F.avg(x), zero), 2)
-    return F.coalesce((F.min if how == "min" else F.max)(x), zero)
+    return F.coalesce({"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[how](x), zero)
 
 
 def pivot_cells(
@@ -47,9 +43,10 @@ def pivot_cells(
     if how not in AGGREGATES:
         raise TableError(f"unknown aggregate '{how}'")
     _require(df, [rows, columns, value], check_rows)
-    return df.groupBy(
+    cells = df.groupBy(
         group_text(df, rows, label).alias("row_key"), group_text(df, columns, label).alias("col_key")
     ).agg(_cell(df, value, how).alias("cell"))
+    return cells.withColumn("cell", round_exact(ref("cell"), 2)) if how in ("sum", "avg") else cells
 
 
 def _exact(cell: Column) -> Column:

@@ -21,6 +21,8 @@ _PLACE = {LEAD: 0, HEADER: 1, DATA: 2, TAIL: 3}
 # Lead and tail rows are repeated in every output, so they are asked for by row number
 # and their count is known before the job; more than this is refused, never cut.
 MAX_BANNER_ROWS = 100_000
+# First row numbers of file blocks are broadcast up to this many blocks (about 30 MB).
+MAX_BROADCAST_BLOCKS = 250_000
 
 
 def _metadata_fields(df: DataFrame) -> list[str]:
@@ -50,13 +52,28 @@ def with_address(df: DataFrame, prefix: str = "_at") -> tuple[DataFrame, list[st
     return df.select("*", *[p.alias(n) for p, n in zip(parts, names)]), names
 
 
+def _few_blocks(df: DataFrame, at: list[str]) -> bool:
+    """Whether one row per block of the source is small, from the scan's plan (no job).
+
+    A split is either as large as a task takes, or the last piece of a file, so there are
+    at most as many blocks as tasks and files. A frame that is not a file scan has one row
+    of two numbers per partition.
+    """
+    if len(at) == 1:
+        return True
+    files = len(df.inputFiles())
+    blocks = files if len(at) == 2 else files + df.rdd.getNumPartitions()
+    return blocks <= MAX_BROADCAST_BLOCKS
+
+
 def with_row_index(df: DataFrame, name: str = "row_no") -> DataFrame:
     """Add the 1-based physical row number over all files, in file-path order.
 
     Rows are numbered inside their file block; the first number of each block comes from
-    a running sum over one small row per block, which is broadcast. The table itself is
-    neither sorted nor shuffled. The window without partitions sees one row per block of
-    the source, never table rows.
+    a running sum over one small row per block, which is broadcast while there are few
+    enough, so the table itself is neither sorted nor shuffled. Beyond that it is joined
+    by block, whose rows fit a task. The window without partitions sees one row per block
+    of the source, never table rows.
     """
     addressed, at = with_address(df)
     if len(at) == 2:  # file, index in file
@@ -72,9 +89,9 @@ def with_row_index(df: DataFrame, name: str = "row_no") -> DataFrame:
         *[ref(b).alias(f"_b{i}") for i, b in enumerate(block)],
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - ref("_low")).alias("_base"),
     )
-    # One row per file block (or partition): far below the rows it stands for.
-    same = [ref(b) == ref(f"_b{i}") for i, b in enumerate(block)]
-    joined = addressed.join(F.broadcast(bases), same, "inner")
+    if _few_blocks(df, at):
+        bases = F.broadcast(bases)
+    joined = addressed.join(bases, [ref(b) == ref(f"_b{i}") for i, b in enumerate(block)], "inner")
     return joined.select(*[ref(c) for c in df.columns], (offset + ref("_base") + 1).alias(name))
 
 

@@ -11,6 +11,9 @@ from tabloom.functions.cells import (
     as_text, dtype, group_value, is_blank, is_numeric, is_text, num, ref, round_exact,
 )
 
+# Rows of a bucket that are searched value by value, without one more level of buckets.
+SEARCHED_ROWS = 1_000_000
+
 
 def _may_hold_numbers(t: T.DataType) -> bool:
     return is_numeric(t) or is_text(t) or isinstance(t, T.BooleanType)
@@ -94,47 +97,58 @@ def _bucket(v: Column, bits: int) -> Column:
     return wide - (wide - inner)
 
 
+def _found(sizes: DataFrame) -> DataFrame:
+    """Per column and quartile, the histogram line that holds the wanted position ``k``.
+
+    ``before`` rows of smaller values come in, and go out for the line found.
+    """
+    upto = F.sum("c").over(Window.partitionBy("at", "q").orderBy("x"))
+    return (
+        sizes.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("c"))
+        .where("before <= k and k < upto").drop("upto", "c")
+    )
+
+
+def _inside(long: DataFrame, target: DataFrame, buckets: Mapping[str, Column], x: Column) -> DataFrame:
+    """Histogram of ``x`` over the rows in a target's bucket. At most two targets per
+    column are broadcast."""
+    rows = long.select("at", "v", *[b.alias(name) for name, b in buckets.items()])
+    inside = rows.join(F.broadcast(target.drop("k", "n", "before")), ["at", *buckets])
+    sizes = inside.groupBy("at", "q", x.alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    return sizes.join(F.broadcast(target), ["at", "q"])
+
+
 def _exact_quartiles(long: DataFrame) -> DataFrame:
     """``(at, n, q1, q3)`` at positions ``n div 4`` and ``3n div 4`` of the sorted values.
 
     Sorting a column would need one task per column. Instead the bucket that holds the
     wanted position is found from a histogram of values rounded to 10 binary digits (at
-    most 512 lines per power of two), then a bucket of 25 digits inside that one, then
-    the value itself among the distinct values left. Each level is a scan with partial
+    most 512 lines per power of two). A bucket of few rows is searched value by value; a
+    large one by buckets of 25 digits first. Each level is a scan with partial
     aggregation; only counts are shuffled, and a value that fills a third of the table is
-    one histogram line.
+    one histogram line. Without large buckets the third scan does not run: its broadcast
+    side is empty.
     """
-    levels = [_bucket(F.col("v"), 10), _bucket(F.col("v"), 25), F.col("v")]
-    by_value = Window.partitionBy("at").orderBy("x")
-    sizes = (
-        long.groupBy("at", levels[0].alias("x")).agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.sum("c").over(by_value))
-        .withColumn("n", F.sum("c").over(Window.partitionBy("at"))).where("n >= 4")
-    )
+    v, by_value = F.col("v"), Window.partitionBy("at").orderBy("x")
+    wide, fine = _bucket(v, 10), _bucket(v, 25)
     ranks = F.array(
         F.struct(F.lit(1).alias("q"), F.expr("n div 4").alias("k")),
         F.struct(F.lit(3).alias("q"), F.expr("(3 * n) div 4").alias("k")),
     )
-    target = (
-        sizes.select("*", F.inline(ranks)).withColumn("before", F.col("upto") - F.col("c"))
+    first = (
+        long.groupBy("at", wide.alias("x")).agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("upto", F.sum("c").over(by_value))
+        .withColumn("n", F.sum("c").over(Window.partitionBy("at"))).where("n >= 4")
+        .select("*", F.inline(ranks)).withColumn("before", F.col("upto") - F.col("c"))
         .where("before <= k and k < upto")
-        .select("at", "q", "k", "n", "before", F.col("x").alias("b1"))
+        .select("at", "q", "k", "n", "before", F.col("x").alias("b1"), (F.col("c") > SEARCHED_ROWS).alias("large"))
     )
-    for level in (1, 2):
-        # At most two lines per column are broadcast.
-        found = [f"b{i}" for i in range(1, level + 1)]
-        placed = long.select("at", "v", *[levels[i].alias(b) for i, b in enumerate(found)])
-        inside = placed.join(F.broadcast(target), ["at", *found])
-        upto = F.col("before") + F.sum("c").over(Window.partitionBy("at", "q").orderBy("x"))
-        sizes = inside.groupBy("at", "q", "k", "n", "before", *found, levels[level].alias("x")) \
-            .agg(F.count(F.lit(1)).alias("c"))
-        target = (
-            sizes.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
-            .where("before <= k and k < upto")
-            .select("at", "q", "k", "n", "before", *found, F.col("x").alias(f"b{level + 1}"))
-        )
-    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("b3")))
-    return target.groupBy("at", "n").agg(pick(1).alias("q1"), pick(3).alias("q3"))
+    second = _found(_inside(long, first, {"b1": wide}, F.when(F.col("large"), fine).otherwise(v)))
+    open_ = second.where("large").drop("large").withColumnRenamed("x", "b2")
+    third = _found(_inside(long, open_, {"b1": wide, "b2": fine}, v))
+    found = second.where("not large").select("at", "q", "n", "x").unionByName(third.select("at", "q", "n", "x"))
+    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("x")))
+    return found.groupBy("at", "n").agg(pick(1).alias("q1"), pick(3).alias("q3"))
 
 
 def _approximate_quartiles(long: DataFrame, accuracy: int) -> DataFrame:
@@ -288,3 +302,17 @@ def report(df: DataFrame, checks: Mapping[str, object], check_rows: bool = True)
 def issues(report_lines: DataFrame) -> DataFrame:
     """The lines of a report that did not pass."""
     return report_lines.where(~F.col("passed"))
+
+
+def write_issues(report_lines: DataFrame, path: str) -> bool:
+    """Write what did not pass, one folder per check; nothing is written if all passed.
+
+    A report has a few lines per column of the table, so it is worked out once and its
+    lines pass through the driver.
+    """
+    found = issues(report_lines)
+    lines = [tuple(r) for r in found.collect()]
+    if not lines:
+        return False
+    report_lines.sparkSession.createDataFrame(lines, found.schema).coalesce(1).write.partitionBy("check").json(path)
+    return True

@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Timestamps without a zone must not move.
     "spark.sql.session.timeZone": "UTC",
+    # Beyond 8,000 bytes Java interprets a generated method instead of compiling it; Spark then
+    # does better with smaller generated pieces. Matters for wide tables and many formulas.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Cells with the text of a number stay text when split outputs are read back.
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
 }

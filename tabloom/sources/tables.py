@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import csv
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -26,6 +28,9 @@ _CSV_WRITE = {
 }
 
 
+_BYTE_ORDER_MARK = "^\ufeff"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name in the shared folder the cluster names for checkpoints."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -55,11 +60,20 @@ def read_csv(spark: SparkSession, path: str | list[str], header: bool = True, **
     task; for single huge files with one record per line pass ``multiLine="false"`` to
     have them read in blocks.
     """
-    df = spark.read.options(**{**_CSV_READ, **options}).csv(path, header=header)
-    if not header or not df.columns:
-        return df.toDF(*normalise_headers([None] * len(df.columns))) if df.columns else df
-    # The reader marks empty header cells as _c{i}; repeated names get their index added.
-    return df.toDF(*[f"Col{i}" if c == f"_c{i}" else c for i, c in enumerate(df.columns)])
+    reader = spark.read.options(**{**_CSV_READ, **options})
+    df = reader.csv(path, header=header)
+    if not df.columns:
+        return df
+    cells = [None if c == f"_c{i}" else c for i, c in enumerate(df.columns)]
+    if header and _repeats(df.columns):
+        cells = list(reader.csv(path, header=False).head())
+    return df.toDF(*normalise_headers(cells))
+
+
+def _repeats(columns: list[str]) -> bool:
+    """Whether the reader may have made repeated header names unique, by adding their index."""
+    bases = [c.removesuffix(str(i)).lower() for i, c in enumerate(columns) if c.endswith(str(i))]
+    return len(set(bases)) < len(bases)
 
 
 def as_cells(df: DataFrame) -> DataFrame:
@@ -93,14 +107,14 @@ def scan_with_banner(
     """Delimited text whose header is row ``header_row``: ``(lead rows, data rows)``.
 
     Both carry ``row_no``; lead rows are raw lines, data rows are text cells. Only the
-    header line comes to the driver. One record per line.
+    first ``header_row`` lines come to the driver. One record per line.
     """
-    lines = with_row_index(spark.read.text(path))
-    lines = lines.select(F.regexp_replace("value", "^﻿", "").alias("value"), "row_no")
-    head = lines.where(ref("row_no") == header_row).select("value").head()
+    raw = spark.read.text(path)
+    lines = with_row_index(raw).select(F.regexp_replace("value", _BYTE_ORDER_MARK, "").alias("value"), "row_no")
+    head = _line(spark, raw, lines, header_row)
     if head is None:
         raise InsufficientData(f"no row {header_row}")
-    cells = next(csv.reader([head["value"]], delimiter=separator), [])
+    cells = next(csv.reader([head], delimiter=separator), [])
     names = normalise_headers([c if c != "" else None for c in cells])
     parsed = F.from_csv("value", _ddl(names),
                         {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
@@ -109,6 +123,18 @@ def scan_with_banner(
     return lead, data.select("row_no", *[F.col("cells").getField(n).alias(n) for n in names])
 
 
+def _line(spark: SparkSession, raw: DataFrame, lines: DataFrame, number: int) -> str | None:
+    """One line of a text source, from the start of its first file if it lies there, so
+    that finding the header does not read the table."""
+    first = min(raw.inputFiles(), key=unquote, default=None)
+    if first is not None and not set(unquote(first)) & set("*?[]{}\\"):
+        start = spark.read.text(unquote(first)).head(number)
+        if len(start) == number:
+            return re.sub(_BYTE_ORDER_MARK, "", start[-1]["value"])
+    found = lines.where(ref("row_no") == number).select("value").head()
+    return None if found is None else found["value"]
+
+
 def _ddl(names: list[str]) -> str:
     return ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
 

@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from tabloom.session import session  # noqa: E402
 
@@ -13,6 +13,7 @@ from tabloom.session import session  # noqa: E402
 def spark():
     spark = session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8",
+        "spark.sql.maxMetadataStringLength": "2000",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",

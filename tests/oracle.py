@@ -43,6 +43,23 @@ def sql_table(con, sql):
     return _table([d[0] for d in cursor.description], cursor.fetchall())
 
 
+_FAMILIES = {
+    "int": ("tinyint", "smallint", "int", "integer", "bigint"), "real": ("float", "double"),
+    "text": ("string", "varchar"), "flag": ("boolean",), "time": ("timestamp", "timestamp_ntz"),
+}
+
+
+def _family(name):
+    name = name.lower()
+    return next((family for family, names in _FAMILIES.items() if name in names), name)
+
+
+def type_difference(df, con, sql):
+    got = {name: _family(kind) for name, kind in df.dtypes}
+    want = {r[0]: _family(r[1]) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return None if got == want else f"types {set(got.items()) ^ set(want.items())}"
+
+
 def difference(df, con, sql):
     """None when equal, else a short description."""
     (names, got), (wanted_names, want) = spark_table(df), sql_table(con, sql)
@@ -51,7 +68,6 @@ def difference(df, con, sql):
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}"
     for a, b in zip(got, want):
-        # 5 and 5.0 are equal cells; types are compared by the column's own test.
-        if a != b or [type(x) is str for x in a] != [type(x) is str for x in b]:
+        if a != b:
             return f"{a} != {b}"
-    return None
+    return type_difference(df, con, sql)
