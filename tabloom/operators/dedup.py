@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabloom.errors import TableError
 from tabloom.functions.cells import group_value, ref
 from tabloom.functions.names import normalise_headers
-from tabloom.operators.rows import with_address
+from tabloom.operators.rows import with_address, with_stable_address
 
 
 def key_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -91,7 +91,7 @@ def removed_rows(
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """The rows :func:`dedup` leaves out."""
-    at, order = _ordered(df, order_by)
+    at, order = with_stable_address(df) if order_by is None else (df, list(order_by))
     pick = F.min if keep == "first" else F.max
     place = pick(F.struct(*[ref(c) for c in order])).alias("_kept")
     kept = at.groupBy(*_keys(df, columns)).agg(place).select(

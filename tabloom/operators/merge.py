@@ -111,11 +111,18 @@ def merge_frames(frames: Sequence[DataFrame], by: str = "position", source_no: s
 
 def merge_paths(
     spark: SparkSession, paths: Sequence[str], format: str = "parquet", by: str = "position",
-    source_no: str | None = None, **options,
+    source_no: str | None = None, same_layout: bool = False, **options,
 ) -> DataFrame:
-    """Append files or folders of any readable format; a path listed twice counts once."""
-    frames = [scan(spark, p, format, **options) for p in dict.fromkeys(paths)]
-    return merge_frames(frames, by, source_no)
+    """Append files or folders of any readable format; a path listed twice counts once.
+
+    With ``same_layout`` the caller vouches that all inputs have the same columns: they
+    become one scan instead of a union of one scan per input, which is what thousands of
+    inputs need.
+    """
+    paths = list(dict.fromkeys(paths))
+    if same_layout and source_no is None:
+        return scan(spark, paths, format, **options)
+    return merge_frames([scan(spark, p, format, **options) for p in paths], by, source_no)
 
 
 def merge_tables(

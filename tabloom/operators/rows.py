@@ -9,11 +9,12 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabloom.errors import TableError
 from tabloom.functions.cells import EMPTY_LABEL, group_text, ref, to_text
+from tabloom.storage import checkpointed
 
 LEAD, HEADER, DATA, TAIL = "lead", "header", "data", "tail"
 # Place of each section in an output.
@@ -36,8 +37,8 @@ def with_address(df: DataFrame, prefix: str = "_at") -> tuple[DataFrame, list[st
     """Add columns that order rows as they lie in the source, without any job or shuffle.
 
     Parquet knows the row's index in its file. Other file formats use the block's offset
-    in the file and the position inside the task that reads it. In-memory frames use the
-    partition order.
+    in the file and the position inside the task that reads it, and must be given as
+    scanned. Other frames use the partition order, see :func:`with_stable_address`.
     """
     fields = _metadata_fields(df)
     names = [f"{prefix}{i}" for i in range(3)]
@@ -52,6 +53,17 @@ def with_address(df: DataFrame, prefix: str = "_at") -> tuple[DataFrame, list[st
     return df.select("*", *[p.alias(n) for p, n in zip(parts, names)]), names
 
 
+def with_stable_address(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Like :func:`with_address`, for callers that read the frame twice.
+
+    Places in files do not change. Partition order may, when a lost executor's part is
+    worked out again, so frames that are not file scans are written to the checkpoint
+    folder together with their addresses.
+    """
+    addressed, at = with_address(df)
+    return (checkpointed(addressed) if len(at) == 1 else addressed), at
+
+
 def _few_blocks(df: DataFrame, at: list[str]) -> bool:
     """Whether one row per block of the source is small, from the scan's plan (no job).
 
@@ -75,7 +87,7 @@ def with_row_index(df: DataFrame, name: str = "row_no") -> DataFrame:
     by block, whose rows fit a task. The window without partitions sees one row per block
     of the source, never table rows.
     """
-    addressed, at = with_address(df)
+    addressed, at = with_stable_address(df)
     if len(at) == 2:  # file, index in file
         block, offset = [at[0]], ref(at[1])
     elif len(at) == 3:  # file, block start, position in task
@@ -83,7 +95,10 @@ def with_row_index(df: DataFrame, name: str = "row_no") -> DataFrame:
     else:  # partition number in the upper 31 bits, position in the lower 33
         addressed = addressed.withColumn("_part", F.shiftright(ref(at[0]), 33))
         block, offset = ["_part"], ref(at[0])
-    sizes = addressed.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min(offset).alias("_low"))
+    # The span of offsets is the number of rows of an unfiltered block. On a filtered scan
+    # numbers have gaps, but still rise in file order.
+    span = F.max(offset) - F.min(offset) + 1
+    sizes = addressed.groupBy(*block).agg(span.alias("_n"), F.min(offset).alias("_low"))
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(
         *[ref(b).alias(f"_b{i}") for i, b in enumerate(block)],

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import csv
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
@@ -16,6 +14,7 @@ from tabloom.errors import InsufficientData, TableError
 from tabloom.functions.cells import ref, to_text
 from tabloom.functions.names import normalise_headers
 from tabloom.operators.rows import with_row_index
+from tabloom.storage import scratch_dir  # noqa: F401
 
 # Quotes inside a cell are doubled; a cell may contain line breaks and keeps its spaces.
 _CSV_READ = {
@@ -31,14 +30,6 @@ _CSV_WRITE = {
 _BYTE_ORDER_MARK = "^\ufeff"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name in the shared folder the cluster names for checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tabloom-")
-    return f"{base.rstrip('/')}/tabloom-{uuid.uuid4().hex}"
-
-
 def renamed(df: DataFrame, header_cells: Iterable[object]) -> DataFrame:
     """Give a frame the normalised names of a header row; schema only, no job."""
     return df.toDF(*normalise_headers(header_cells))
@@ -47,9 +38,14 @@ def renamed(df: DataFrame, header_cells: Iterable[object]) -> DataFrame:
 def scan(
     spark: SparkSession, path: str | list[str], format: str = "parquet", header: bool = True, **options
 ) -> DataFrame:
-    """Scan one named table. CSV cells are always text; names are made unique."""
+    """Scan one named table: a path, or a catalog table with ``format="table"``.
+
+    CSV cells are always text and their header names are made unique.
+    """
     if format == "csv":
         return read_csv(spark, path, header=header, **options)
+    if format == "table":
+        return spark.read.options(**options).table(path)
     return spark.read.format(format).options(**options).load(path)
 
 
@@ -101,6 +97,13 @@ def list_tables(spark: SparkSession, path: str) -> DataFrame:
         .distinct().orderBy("table_name")
 
 
+def list_catalog_tables(spark: SparkSession, database: str) -> DataFrame:
+    """Names of the tables in a catalog database, sorted."""
+    quoted = "`" + database.replace("`", "``") + "`"
+    found = spark.sql(f"SHOW TABLES IN {quoted}").where("not isTemporary")
+    return found.select(ref("tableName").alias("table_name")).orderBy("table_name")
+
+
 def scan_with_banner(
     spark: SparkSession, path: str, header_row: int = 1, separator: str = ","
 ) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,6 @@ def test_row_numbers_over_many_files(spark, tmp_path, format):
 
 def test_row_numbers_without_broadcast(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tabloom.operators.rows.MAX_BROADCAST_BLOCKS", 0)
-    monkeypatch.setitem(spark.__dict__, "_unused", None)
     path = str(tmp_path / "t")
     spark.range(0, 500, 1, 4).write.parquet(path)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -48,6 +47,30 @@ def test_row_numbers_without_broadcast(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_row_numbers_of_other_frames(spark, tmp_path):
+    """Filtered scans keep the file order; shuffled frames are fixed before numbering."""
+    path = str(tmp_path / "t")
+    spark.range(0, 900, 1, 3).write.parquet(path)
+    some = tl.with_row_index(spark.read.parquet(path).where("id % 7 = 3"))
+    rows = some.orderBy("row_no").collect()
+    assert [r.id for r in rows] == [i for i in range(900) if i % 7 == 3]
+    shuffled = tl.with_row_index(spark.range(500).groupBy((F.col("id") % 50).alias("k")).count())
+    assert sorted(r.row_no for r in shuffled.collect()) == list(range(1, 51))
+    rest = tl.removed_rows(spark.range(100).select((F.col("id") % 9).alias("k"), "id").repartition(5), ["k"])
+    assert rest.count() == 91
+
+
+def test_merge_of_many_files(spark, tmp_path):
+    for k in range(5):
+        spark.range(k * 10, k * 10 + 10, 1, 1).selectExpr("id", f"'s{k}' AS s").write.csv(str(tmp_path / f"{k}.csv"), header=True)
+    paths = [str(tmp_path / f"{k}.csv") for k in (0, 1, 2, 3, 4, 0)]
+    one = tl.merge_paths(spark, paths, "csv", same_layout=True)
+    assert one._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    each = tl.merge_paths(spark, paths, "csv", source_no="no")
+    assert one.columns == ["id", "s"] and one.count() == each.count() == 50
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, each.drop("no").collect()))
+
+
 def test_scan_with_banner(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes("﻿title\n\nid,,id\n1,\"a,b\",x\n2\n3,\"say \"\"hi\"\"\",z,extra\n".encode())
     lead, data = tl.scan_with_banner(spark, str(tmp_path / "b.csv"), header_row=3)
@@ -68,6 +91,17 @@ def test_list_tables(spark, tmp_path):
     assert names("d") == ["folder", "other"] and names("e") == ["a b:c%"]
 
 
+def test_catalog_tables(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE shelf LOCATION '{tmp_path}/shelf'")
+    try:
+        spark.range(3).write.saveAsTable("shelf.b")
+        spark.range(2).write.saveAsTable("shelf.a")
+        assert [r.table_name for r in tl.list_catalog_tables(spark, "shelf").collect()] == ["a", "b"]
+        assert tl.scan(spark, "shelf.b", "table").count() == 3
+    finally:
+        spark.sql("DROP DATABASE shelf CASCADE")
+
+
 def test_hot_output_is_spread_over_tasks(spark, tmp_path):
     """One key holds most rows: its output must not be written by a single task."""
     df = spark.range(0, 60000, 1, 8).select(
