@@ -109,13 +109,14 @@ def _found(sizes: DataFrame) -> DataFrame:
     )
 
 
-def _inside(long: DataFrame, target: DataFrame, buckets: Mapping[str, Column], x: Column) -> DataFrame:
+def _inside(long: DataFrame, target: DataFrame, buckets: Mapping[str, Column], x: Column, *kept: str) -> DataFrame:
     """Histogram of ``x`` over the rows in a target's bucket. At most two targets per
     column are broadcast."""
     rows = long.select("at", "v", *[b.alias(name) for name, b in buckets.items()])
-    inside = rows.join(F.broadcast(target.drop("k", "n", "before")), ["at", *buckets])
-    sizes = inside.groupBy("at", "q", x.alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    return sizes.join(F.broadcast(target), ["at", "q"])
+    inside = rows.join(F.broadcast(target), ["at", *buckets])
+    # One target per column and quartile, so these are the same on all rows of a group.
+    same = [F.max(c).alias(c) for c in ("k", "n", "before")]
+    return inside.groupBy("at", "q", *kept, x.alias("x")).agg(F.count(F.lit(1)).alias("c"), *same)
 
 
 def _exact_quartiles(long: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def _exact_quartiles(long: DataFrame) -> DataFrame:
         .where("before <= k and k < upto")
         .select("at", "q", "k", "n", "before", F.col("x").alias("b1"), (F.col("c") > SEARCHED_ROWS).alias("large"))
     )
-    second = _found(_inside(long, first, {"b1": wide}, F.when(F.col("large"), fine).otherwise(v)))
+    second = _found(_inside(long, first, {"b1": wide}, F.when(F.col("large"), fine).otherwise(v), "b1", "large"))
     open_ = second.where("large").drop("large").withColumnRenamed("x", "b2")
     third = _found(_inside(long, open_, {"b1": wide, "b2": fine}, v))
     found = second.where("not large").select("at", "q", "n", "x").unionByName(third.select("at", "q", "n", "x"))
