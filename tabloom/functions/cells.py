@@ -7,6 +7,8 @@ have had, as native expressions that stay inside whole-stage code generation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.errors import MissingColumn
@@ -158,6 +160,18 @@ def group_text(df: DataFrame, name: str, label: str = EMPTY_LABEL) -> Column:
     return F.coalesce(to_text(df, name), F.lit(label))
 
 
+def group_key(df: DataFrame, name: str, label: str = EMPTY_LABEL) -> tuple[Column, Callable[[Column], Column]]:
+    """What to group by for :func:`group_text`, and the function that makes the text of it.
+
+    Values of numbers, dates and booleans are grouped as they are, since different values
+    have different texts, and only the groups are turned into text, not the rows.
+    """
+    t = dtype(df, name)
+    if is_numeric(t) or isinstance(t, (T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return ref(name), lambda c: F.coalesce(as_text(c, t), F.lit(label))
+    return group_text(df, name, label), lambda c: c
+
+
 def group_value(df: DataFrame, name: str) -> Column:
     """Typed key for duplicate detection; maps cannot be grouped, so they go as JSON."""
     return F.to_json(ref(name)) if isinstance(dtype(df, name), T.MapType) else ref(name)

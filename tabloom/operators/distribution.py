@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.functions.cells import EMPTY_LABEL, group_text, ref, round_exact
+from tabloom.functions.cells import EMPTY_LABEL, group_key, group_text, ref, round_exact
 from tabloom.operators.rows import with_row_index
 
 BAR_LENGTH = 12
@@ -12,7 +12,9 @@ BAR_LENGTH = 12
 
 def value_counts(df: DataFrame, column: str, label: str = EMPTY_LABEL) -> DataFrame:
     """``(value, n)``: distinct cell texts with their number of rows."""
-    return df.groupBy(group_text(df, column, label).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    key, text = group_key(df, column, label)
+    sizes = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select(text(ref("key")).alias("value"), "n")
 
 
 def share_table(df: DataFrame, column: str, label: str = EMPTY_LABEL, ordered: bool = True) -> DataFrame:
@@ -59,8 +61,7 @@ def group_order(df: DataFrame, column: str, label: str = EMPTY_LABEL, row_no: st
     ``row_no`` names a row-number column; by default the physical row number is used.
     """
     numbered = df if row_no else with_row_index(df, "_row_no")
-    return (
-        numbered.groupBy(group_text(numbered, column, label).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(ref(row_no or "_row_no")).alias("first_row"))
-        .orderBy("first_row")
-    )
+    key, text = group_key(numbered, column, label)
+    first = F.min(ref(row_no or "_row_no")).alias("first_row")
+    groups = numbered.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), first)
+    return groups.select(text(ref("key")).alias("value"), "n", "first_row").orderBy("first_row")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.errors import InsufficientData, MissingColumn, TableError
-from tabloom.functions.cells import EMPTY_LABEL, TOTAL_LABEL, group_text, num, ref, round_exact
+from tabloom.functions.cells import EMPTY_LABEL, TOTAL_LABEL, group_key, num, ref, round_exact
 
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
@@ -43,10 +43,10 @@ def pivot_cells(
     if how not in AGGREGATES:
         raise TableError(f"unknown aggregate '{how}'")
     _require(df, [rows, columns, value], check_rows)
-    cells = df.groupBy(
-        group_text(df, rows, label).alias("row_key"), group_text(df, columns, label).alias("col_key")
-    ).agg(_cell(df, value, how).alias("cell"))
-    return cells.withColumn("cell", round_exact(ref("cell"), 2)) if how in ("sum", "avg") else cells
+    (row_key, row_text), (col_key, col_text) = group_key(df, rows, label), group_key(df, columns, label)
+    cells = df.groupBy(row_key.alias("r"), col_key.alias("c")).agg(_cell(df, value, how).alias("cell"))
+    cell = round_exact(ref("cell"), 2) if how in ("sum", "avg") else ref("cell")
+    return cells.select(row_text(ref("r")).alias("row_key"), col_text(ref("c")).alias("col_key"), cell.alias("cell"))
 
 
 def _exact(cell: Column) -> Column:
@@ -106,7 +106,8 @@ def crosstab(
         raise TableError(f"unknown aggregate '{how}'")
     _require(df, [rows, columns, value], check_rows=False)
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    keys = df.select(group_text(df, columns, label).alias("col_key")).distinct().limit(limit + 1)
+    key, text = group_key(df, columns, label)
+    keys = df.select(key.alias("key")).distinct().limit(limit + 1).select(text(ref("key")).alias("col_key"))
     names = sorted(r["col_key"] for r in keys.collect())
     if not names:
         raise InsufficientData("the table has no rows")

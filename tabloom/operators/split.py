@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tabloom.errors import MissingColumn, TableError
 from tabloom.functions.cells import EMPTY_LABEL, group_text, ref
 from tabloom.functions.names import safe_file_name, safe_table_name
-from tabloom.sources.tables import as_cells, _CSV_WRITE
+from tabloom.operators.distribution import value_counts
 from tabloom.operators.rows import with_address
+from tabloom.sources.tables import _CSV_WRITE, as_cells
 
 FILES, SHEETS = "files", "sheets"
 # Name of the partition column, which is the output's folder name.
@@ -42,7 +43,7 @@ def split_summary(
     df: DataFrame, column: str, mode: str = FILES, name_pattern: str = "{value}", label: str = EMPTY_LABEL
 ) -> DataFrame:
     """``(value, output, n)``: what a split makes of each key."""
-    sizes = df.groupBy(group_text(df, column, label).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = value_counts(df, column, label)
     return sizes.select("value", output_name(ref("value"), mode, name_pattern).alias("output"), "n")
 
 
@@ -70,7 +71,8 @@ def write_split(
     outputs are refused before anything is written.
     """
     tagged, folder = with_output(df, column, mode, name_pattern, label), _FOLDER[mode]
-    outputs = tagged.select(folder).distinct().limit(max_outputs + 1).count()
+    outputs = split_summary(df, column, mode, name_pattern, label).select("output").distinct() \
+        .limit(max_outputs + 1).count()
     if outputs > max_outputs:
         raise TableError(f"the split would make more than {max_outputs} outputs")
     if order_by is None:
