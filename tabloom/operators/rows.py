@@ -173,8 +173,9 @@ def attach_banner(
     """Rows of every output: lead block, header, the key's data rows, tail block.
 
     Adds ``split_key`` and ``place``; an output is its key's rows ordered by
-    ``(place, row_no)``. Banner rows are gathered once (``banner_rows`` of them at most)
-    and repeated per distinct key. Data rows are neither collected nor shuffled.
+    ``(place, row_no)``. Banner rows are gathered once and repeated per distinct key; there
+    being more than ``banner_rows`` of them fails the job. Data rows are neither collected
+    nor shuffled.
     """
     if banner_rows > MAX_BANNER_ROWS:
         raise TableError(f"{banner_rows} lead and tail rows cannot be repeated in every output")
@@ -188,10 +189,10 @@ def attach_banner(
     )
     data = placed.where(ref("section") == DATA).drop("section")
     repeated = [LEAD, TAIL] + ([HEADER] if keep_header else [])
-    banner = (
-        placed.where(ref("section").isin(repeated))
-        .agg(F.sort_array(F.collect_list(F.struct("place", "row_no", *[ref(c) for c in fields]))))
-        .scalar()
-    )
+    rows = F.sort_array(F.collect_list(F.struct("place", "row_no", *[ref(c) for c in fields])))
+    too_many = F.raise_error(F.lit(f"more than {banner_rows} lead, header and tail rows"))
+    # One row more than announced is enough to tell that there are too many.
+    gathered = placed.where(ref("section").isin(repeated)).limit(banner_rows + 1).agg(rows.alias("rows"))
+    banner = gathered.select(F.when(F.size("rows") <= banner_rows, F.col("rows")).otherwise(too_many)).scalar()
     copies = data.select("split_key").distinct().select("split_key", F.explode(banner).alias("row"))
     return data.unionByName(copies.select("split_key", "row.*"))

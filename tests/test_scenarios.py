@@ -210,3 +210,5 @@ def test_split_without_lead(edge):
     assert sizes == {"(空)": 3, **{f"部门{k}": 81 for k in range(5)}}
     with pytest.raises(tl.TableError):
         tl.attach_banner(sections, "b", banner_rows=10**9)
+    with pytest.raises(Exception, match="more than 0 lead"):
+        tl.attach_banner(sections, "b", banner_rows=0).collect()
