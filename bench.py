@@ -12,7 +12,7 @@ sys.path.insert(0, ROOT)
 
 import tabloom as tl  # noqa: E402
 from registry.recipes import STEPS  # noqa: E402
-from tabloom.sources.tables import scratch_dir  # noqa: E402
+from tabloom.storage import scratch_dir  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")

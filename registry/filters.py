@@ -6,7 +6,7 @@ from functools import partial
 
 import tabloom as tl
 from registry.common import MESSY_SQL, blank_sql, messy, num0_sql, table
-from tabloom.sources.tables import scratch_dir
+from tabloom.storage import scratch_dir
 from tabloom.streaming.stateless import run_stateless
 
 

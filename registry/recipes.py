@@ -7,7 +7,7 @@ from functools import partial
 import tabloom as tl
 from registry.common import round_sql, table
 from tabloom.plans import recipe
-from tabloom.sources.tables import scratch_dir
+from tabloom.storage import scratch_dir
 
 STEPS = [
     {"op": "filter", "conditions": [

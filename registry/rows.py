@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import tabloom as tl
 from registry.common import table
 from tabloom.operators.split import write_banner_split
-from tabloom.sources.tables import scratch_dir
+from tabloom.storage import scratch_dir
 
 
 def _numbered(name):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 import tabloom as tl
 from registry.common import table, text_sql
 from tabloom.functions.names import safe_file_name, safe_table_name
-from tabloom.sources.tables import scratch_dir
+from tabloom.storage import scratch_dir
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()

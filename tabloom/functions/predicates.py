@@ -26,7 +26,6 @@ _COMPARE = {"gt": operator.gt, "lt": operator.lt, "gte": operator.ge, "lte": ope
 OPERATORS = ("eq", "neq", "gt", "lt", "gte", "lte", "contains", "not_contains", "between",
              "is_empty", "not_empty")
 
-_FALSE = False
 _INT_RANGE = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
 
 
@@ -81,7 +80,7 @@ def _numeric(df: DataFrame, name: str, tests: list[tuple[str, float]]) -> Column
         value = num0(df, name)
         return reduce(operator.and_, [_COMPARE[op](value, F.lit(v)) for op, v in tests])
     # Dates and nested values are never numbers; only an empty cell can count as 0.
-    return c.isNull() if empty_matches else F.lit(_FALSE)
+    return c.isNull() if empty_matches else F.lit(False)
 
 
 def _whole_text(value: float) -> str:
@@ -124,7 +123,7 @@ def _equal(df: DataFrame, name: str, target: object, negate: bool) -> Column:
     if isinstance(t, _LITERAL_TYPES) and text not in ("nan", "inf", "-inf"):
         literal = _typed_literal(t, text)
         if literal is None:
-            same = c.isNotNull() if negate else F.lit(_FALSE)
+            same = c.isNotNull() if negate else F.lit(False)
         else:
             same = (c != literal) if negate else (c == literal)
     else:
@@ -144,11 +143,11 @@ def condition(df: DataFrame, cond: Mapping) -> Column:
         return _equal(df, name, target, negate=op == "neq")
     if op in _COMPARE:
         value = _target_number(target)
-        return F.lit(_FALSE) if value is None else _numeric(df, name, [(op, value)])
+        return F.lit(False) if value is None else _numeric(df, name, [(op, value)])
     if op == "between":
         low, high = _target_number(target), _target_number(cond.get("value2"))
         if low is None or high is None:
-            return F.lit(_FALSE)
+            return F.lit(False)
         return _numeric(df, name, [("gte", low), ("lte", high)])
     if op in ("contains", "not_contains"):
         found = F.contains(F.lower(text0(df, name)), F.lit(str(target).lower()))
@@ -166,5 +165,5 @@ def predicate(df: DataFrame, conditions: Iterable[Mapping], logic: str = "AND")
     if logic == "AND":
         return reduce(operator.and_, parts) if parts else F.lit(True)
     if logic == "OR":
-        return reduce(operator.or_, parts) if parts else F.lit(_FALSE)
+        return reduce(operator.or_, parts) if parts else F.lit(False)
     raise TableError(f"unknown logic '{logic}'")

@@ -14,7 +14,6 @@ from tabloom.errors import InsufficientData, TableError
 from tabloom.functions.cells import ref, to_text
 from tabloom.functions.names import normalise_headers
 from tabloom.operators.rows import with_row_index
-from tabloom.storage import scratch_dir  # noqa: F401
 
 # Quotes inside a cell are doubled; a cell may contain line breaks and keeps its spaces.
 _CSV_READ = {
