@@ -14,6 +14,9 @@ SLICE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of words without signs: ASCII letters and digits, and all beyond ASCII.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -59,12 +62,13 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[edges[0]:edges[-1]], edges - edges[0]
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words between ASCII white space (space, and 9 to 13); `lower` changes A-Z only."""
+def words(texts: pa.Array, lower: bool = False, inside: np.ndarray = ~_SPACE) -> Words:
+    """Runs of the bytes inside words, all but ASCII white space (space, and 9 to 13) unless
+    told otherwise; `lower` changes A-Z only."""
     data, edges = joined(texts)
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = inside[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
