@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, language, neardup, packing, quality, sharding, tokens, toxicity
+from tabloom.llm import decontaminate, language, neardup, packing, quality, sharding, substrings, tokens, toxicity
 from tabloom.storage import scratch_dir
 
 
@@ -18,6 +18,10 @@ def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24, seed=20240607)
     return placed.select(
@@ -51,7 +55,7 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_quality, op4_feistel_shards, op5_digest_cache, op6_winnowing, op7_golay_simhash, op8_noisy_or,
+    op2_ngram_quality, op3_difference_cover, op4_feistel_shards, op5_digest_cache, op6_winnowing, op7_golay_simhash, op8_noisy_or,
     op9_cutting_stock, op10_string_kernel,
 )}
 
