@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, language, neardup, packing, quality, sharding, substrings, tokens, toxicity
+from tabloom.llm import (
+    decontaminate, language, lm, neardup, packing, quality, sharding, substrings, tokens, toxicity,
+)
 from tabloom.storage import scratch_dir
 
 
@@ -14,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,8 +61,8 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_ngram_quality, op3_difference_cover, op4_feistel_shards, op5_digest_cache, op6_winnowing, op7_golay_simhash, op8_noisy_or,
-    op9_cutting_stock, op10_string_kernel,
+    op1_pitman_yor, op2_ngram_quality, op3_difference_cover, op4_feistel_shards, op5_digest_cache, op6_winnowing,
+    op7_golay_simhash, op8_noisy_or, op9_cutting_stock, op10_string_kernel,
 )}
 
 OP6_SQL = r"""
