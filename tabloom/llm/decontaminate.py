@@ -56,19 +56,12 @@ def _sized(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).withColumn("digest", F.xxhash64("text"))
 
-    Words are runs of a-z, digits and non-ASCII after A-Z is lowered. A window is 10 consecutive
-    words of an item, or all words of a shorter item; a document word inside any occurrence of a
-    window is hit. Winnowing keeps the smallest 5-gram hash of every 6 grams on both sides, so
-    each shared span of 10 words shares a fingerprint; shorter items are looked up by the hash of
-    all their words. Hits are extended to the windows around them, which are compared as text.
 
-    A null text has no words; rows equal in id and text are judged once and returned as often as
-    they occur; null ids are kept. Empty tables, on either side, give no hits. Items with equal
-    windows all count; null item ids are left out. Other columns are not read.
-    """
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents with hits only: _id, _digest (of the text), n_hit, n_items, items_sha256."""
     items = benchmark.select(F.col(item_column).cast("string").alias("item"), item_words(text_or_empty(item_text)).alias("words")).where(
         F.col("item").isNotNull() & (F.size("words") > 0))
     short = sorted(r[0] for r in items.where(F.size("words") < WINDOW).select(F.size("words")).distinct().collect())  # of 1 to 9
@@ -79,8 +72,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         whole = F.when(F.size("words") == length, _grams(F.col("words"), length)).otherwise(whole)
     fingerprints = winnowed(items, "words", "marks").select(F.explode(F.concat("marks", whole)).alias("gram")).distinct()
 
-    text = text_or_empty(text_column)
-    keyed = docs.select(F.col(id_column).alias("id"), text.alias("text")).withColumn("digest", F.xxhash64("text"))
+    keyed = _keyed(docs, id_column, text_column)
     worded = keyed.select("id", "digest", item_words(F.col("text")).alias("words"))
     marks = F.concat("marks", *[_grams(F.col("words"), length) for length in short])
     hits = (
@@ -104,9 +96,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
             F.greatest(done["end"], span["start"] + span["length"]).alias("end"),
             (done["total"] + F.greatest(F.lit(0), span["start"] + span["length"] - F.greatest(done["end"], span["start"]))).alias("total")),
         lambda done: done["total"])
-    judged = found.select(
+    return found.select(
         F.col("id").alias("_id"), F.col("digest").alias("_digest"), merged.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **columns: str) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Words are runs of a-z, digits and non-ASCII after A-Z is lowered. A window is 10 consecutive
+    words of an item, or all words of a shorter item; a document word inside any occurrence of a
+    window is hit. Winnowing keeps the smallest 5-gram hash of every 6 grams on both sides, so
+    each shared span of 10 words shares a fingerprint; shorter items are looked up by the hash of
+    all their words. Hits are extended to the windows around them, which are compared as text.
+
+    A null text has no words; rows equal in id and text are judged once and returned as often as
+    they occur; null ids are kept. Empty tables, on either side, give no hits. Items with equal
+    windows all count; null item ids are left out. Other columns are not read.
+    """
+    judged = contaminated(docs, benchmark, id_column, text_column, **columns)
+    keyed = _keyed(docs, id_column, text_column)
     counted = keyed.select("id", "digest", F.regexp_count("text", F.lit(INSIDE)).cast("long").alias("n_words"))
     joined = counted.join(judged, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     return joined.select(
@@ -116,6 +125,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
         F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **columns: str) -> DataFrame:
+    """The rows of `docs`, all columns, whose text holds no window of the benchmark."""
+    judged = contaminated(docs, benchmark, id_column, text_column, **columns).select("_id", "_digest")
+    same = F.col(id_column).eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty(text_column)) == F.col("_digest"))
+    return docs.join(judged, same, "left_anti")
+
+
 def _around(words: Column, hits: Column, gram: int, before: int, length: int) -> Column:
     """Starts (from 1) of the spans of `length` words that hold a gram among the hits."""
     positions = F.filter(F.transform(_grams(words, gram), lambda h, i: F.when(F.array_contains(hits, h), i + 1)), lambda p: p.isNotNull())

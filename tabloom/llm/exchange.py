@@ -54,8 +54,7 @@ def write_chunks(docs: DataFrame, make: Callable, fields: str, most: int = CHUNK
         def chunk():
             columns = pa.Table.from_batches(held).combine_chunks()
             made = make([columns.column(k).chunk(0) for k in range(columns.num_columns)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + number], pa.int64())] + [pa.array([made[n]]) for n in names], names=["chunk", *names])
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + number], pa.int64())] + [_one(made[n]) for n in names], names=["chunk", *names])
 
         for batch in batches:
             for start, stop in slices(batch.column(1), max(most // 4, 1)):
@@ -72,6 +71,13 @@ def write_chunks(docs: DataFrame, make: Callable, fields: str, most: int = CHUNK
     return bucketed(rows, "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _one(value) -> pa.Array:
+    """A column of one row; an array is a row's list."""
+    if isinstance(value, pa.Array):
+        return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
+    return pa.array([value])
+
+
 def bucket_bits(spark, entries: int) -> int:
     """Bits of a hash that name its bucket: enough for even tasks and buckets of bounded size."""
     wanted = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries // BUCKET_ENTRIES, 1)
@@ -104,9 +110,10 @@ def ask(chunks: DataFrame, entries: Callable, bits: int) -> DataFrame:
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
-    """One row at a time as Python values; binary columns are not copied twice."""
+    """One row at a time as Python values; lists of ids and other columns stay arrays."""
     for k in range(batch.num_rows):
-        yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+        row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
+        yield {name: value.values if name in ("ids", "carried") else value.as_py() for name, value in row.items()}
 
 
 def answered(asked: DataFrame, answer: Callable) -> DataFrame:

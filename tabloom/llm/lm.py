@@ -41,7 +41,7 @@ def _make(columns: list[pa.Array]) -> dict:
         counts.append(found.counts + 1)
     distinct, codes = np.unique(np.concatenate(keys), return_inverse=True)
     return {
-        "ids": ids.to_pylist(), "train": np.packbits(np.asarray(train.to_numpy(zero_copy_only=False), bool)).tobytes(),
+        "ids": ids, "train": np.packbits(np.asarray(train.to_numpy(zero_copy_only=False), bool)).tobytes(),
         "counts": np.concatenate(counts).astype("<i8").tobytes(), "keys": distinct.astype("<u8").tobytes(), "codes": pack(codes.astype("<i4")),
         "tokens": len(codes), "distinct": len(distinct),
     }
@@ -389,11 +389,10 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            id_type = batch.schema.field("ids").type.value_type
             for row in rows_of(batch):
                 found = _document_scores(row, contexts, bits, int(n_tokens), int(n_words))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["id"], id_type)] + [pa.array(found[k]) for k in ("n_tokens", "n_known", "base_score", "score")],
+                    [found["id"]] + [pa.array(found[k]) for k in ("n_tokens", "n_known", "base_score", "score")],
                     names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     done = chunks.join(replies, "chunk", "left").mapInArrow(results, f"id {kind}, n_tokens long, n_known long, base_score double, score double")

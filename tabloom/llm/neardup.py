@@ -47,18 +47,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for start, stop in slices(texts):
-            found = [fingerprint(text) for text in texts.slice(start, stop - start).cast(pa.binary()).to_pylist()]
-            signed = pa.array(np.array(found, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), signed], names=batch.schema.names[:1] + ["fingerprint"])
+        for start, stop in slices(batch.column(1)):
+            ids, texts, digests = batch.slice(start, stop - start).columns
+            found = [fingerprint(text) for text in texts.cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [ids, digests, pa.array(np.array(found, np.uint64).view(np.int64))], names=[batch.schema.names[0], "digest", "fingerprint"])
 
 
 def simhash(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Id and fingerprint (a signed 64-bit number) of every row; a null text is empty."""
+    """Id, text digest and fingerprint (signed 64-bit numbers) of every row; a null text is empty."""
     ship(docs.sparkSession)
     kind = docs.select(id_column).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_column), text_or_empty(text_column)).mapInArrow(_fingerprints, f"`{id_column}` {kind}, fingerprint long")
+    text = text_or_empty(text_column)
+    return docs.select(F.col(id_column).alias("id"), text, F.xxhash64(text).alias("digest")).mapInArrow(
+        _fingerprints, f"id {kind}, digest long, fingerprint long")
 
 
 @cache
@@ -185,6 +187,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = tuple(state)
 
 
+def classes(marked: DataFrame) -> DataFrame:
+    """Fingerprint, root (of its component) and least_id of every distinct fingerprint."""
+    prints = written(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("documents"), F.min("id").alias("least_id")))
+    roots = components(links(prints.select("fingerprint", "documents")))
+    return prints.join(roots, prints["fingerprint"] == roots["node"], "left").select(
+        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id.
 
@@ -196,11 +206,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     has a null component_id. An empty table gives an empty result. Other columns are not read.
     """
     marked = written(simhash(docs, id_column, text_column))
-    prints = written(marked.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("documents"), F.min(id_column).alias("least_id")))
-    roots = components(links(prints.select("fingerprint", "documents")))
-    members = prints.join(roots, prints["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
+    members = classes(marked)
     smallest = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = members.join(smallest, "root").select("fingerprint", "component_id")
-    return marked.join(classes, "fingerprint").select(
-        F.col(id_column), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+    found = members.join(smallest, "root").select("fingerprint", "component_id")
+    return marked.join(found, "fingerprint").select(
+        F.col("id").alias(id_column), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, with one document of each component: the smallest id,
+    and of rows with that id the smallest text digest, once. Null ids come last."""
+    marked = written(simhash(docs, id_column, text_column))
+    stays = (
+        marked.join(classes(marked).select("fingerprint", "root"), "fingerprint")
+        .groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("_stays"))
+        .select(F.col("_stays.id").alias("_stays_id"), F.col("_stays.digest").alias("_stays_digest"))
+    )
+    keyed = docs.withColumn("_stays_key", F.xxhash64(text_or_empty(text_column)))
+    same = F.col(id_column).eqNullSafe(F.col("_stays_id")) & (F.col("_stays_key") == F.col("_stays_digest"))
+    kept = keyed.join(stays, same, "left_semi")
+    # Whole rows move once more only if there are rows equal in id and text.
+    if not marked.groupBy("id", "digest").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_column, "_stays_key"])
+    return kept.select(*[f"`{c}`" for c in docs.columns])

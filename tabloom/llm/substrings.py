@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import ship
 from tabloom.llm.exchange import answered, ask, bucket_bits, flags, pack, rows_of, unpack, write_chunks
-from tabloom.llm.textbatch import Words, runs_hash, slices, spans_hash, words
+from tabloom.llm.linear import per_document
+from tabloom.llm.textbatch import Words, joined, runs_hash, slices, spans_hash, words
 
 #: Consecutive words that may not be repeated. For any two positions some shift below PERIOD
 #: takes both to residues in COVER (the differences of COVER are all residues), so two equal
@@ -25,31 +26,26 @@ ANCHOR = WINDOW - PERIOD + 1
 SENT = 5
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-_LAST = np.int64(np.iinfo(np.int64).max)
+_LAST = int(np.iinfo(np.int64).max)
 
 
 def _make(columns: list[pa.Array]) -> dict:
-    """A chunk: ids, and the words of its texts, one space between words, one line per text."""
-    ids, texts = columns
-    lines, total = [], 0
-    for start, stop in slices(texts):
-        found = words(texts.slice(start, stop - start))
-        data = found.bytes.tobytes()
-        for a, b in zip(found.edges[:-1], found.edges[1:], strict=True):
-            lines.append(b" ".join(data[a:b].split()))
-        total += len(found.start)
-    text = b"\n".join(lines)
-    return {"ids": ids.to_pylist(), "size": len(text), "words": total, "text": pa.compress(text, "zstd", asbytes=True)}
+    """A chunk: ids, columns that are carried along, and the texts end to end."""
+    ids, texts, carried = columns
+    data, edges = joined(texts)
+    total = sum(len(words(texts.slice(start, stop - start)).start) for start, stop in slices(texts))
+    return {"ids": ids, "carried": carried, "words": total, "size": len(data), "edges": edges.astype("<i8").tobytes(), "text": pack(data)}
 
 
 class _Chunk:
     """Words of a chunk: their hashes, the first word of each text, and positions in the text."""
 
     def __init__(self, row: dict):
-        self.ids = row["ids"]
-        self.lines = bytes(unpack(row["text"], row["size"])).split(b"\n")
-        texts = pa.array(self.lines, pa.binary()).cast(pa.large_binary()).view(pa.large_string())
-        hashes, counts = [], []
+        self.ids, self.data = row["ids"], unpack(row["text"], row["size"])
+        self.edges = np.frombuffer(row["edges"], "<i8")
+        whole = pa.py_buffer(self.data)
+        texts = pa.Array.from_buffers(pa.large_string(), len(self.edges) - 1, [None, pa.py_buffer(row["edges"]), whole])
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for start, stop in slices(texts):
             found: Words = words(texts.slice(start, stop - start))
             hashes.append(spans_hash(found.bytes, found.start, found.end))
@@ -75,8 +71,7 @@ class _Chunk:
         np.add.at(steps, repeated + 1, -1)
         place = np.flatnonzero((np.cumsum(steps[:-1]) > 0) & (self.left >= WINDOW))
         hashes = runs_hash(self.hashes, WINDOW)[place] if len(place) else np.zeros(0, np.uint64)
-        order_of = np.array([_LAST if i is None else i for i in self.ids], np.int64)
-        ids = order_of[self.document[place]]
+        ids = self.ids.fill_null(_LAST).to_numpy()[self.document[place]]
         order = np.lexsort((self.position[place], ids, hashes))
         return hashes[order], ids[order], place[order]
 
@@ -162,13 +157,15 @@ def _removed(chunk: _Chunk, found: tuple, least: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """One row per document: id, n_words, n_removed, kept_sha256; with `carry`, more.
 
     Words are runs of bytes other than ASCII white space. Every word goes that is covered by a
     window of 20 words whose sequence also starts earlier: in a smaller id, or at an earlier
-    start under the same id. All windows are judged on the input. kept_text is the kept words
-    with one space between them; kept_sha256 is its SHA-256.
+    start under the same id. All windows are judged on the input. kept_sha256 is the SHA-256 of
+    the kept words with one space between them. With `carry`, a list of other columns, these
+    are added as a struct `carried`, and kept_text: the text as it was if nothing was removed,
+    else the kept words with one space between them.
 
     Chunks send anchor hashes, then hashes and places of the windows that have a repeated
     anchor, so a passage costs an entry per chunk however many documents share it. Windows are
@@ -181,8 +178,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kind = docs.select(id_column).schema[0].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_column} is {kind}; an integer is needed to tell which document is earlier")
-    chunks = write_chunks(
-        docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")), _make, "ids array<long>, size long, words long, text binary")
+    others = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), others.alias("carried"))
+    carried = rows.schema["carried"].dataType.simpleString()
+    chunks = write_chunks(rows, _make, f"ids array<long>, carried array<{carried}>, words long, size long, edges binary, text binary")
     total = chunks.agg(F.sum("words")).first()[0] or 0
     bits = bucket_bits(spark, total * len(COVER) // PERIOD)
 
@@ -203,19 +202,21 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 chunk, found = _candidates(row, bits)
                 hashes = found[0]
                 removed = _removed(chunk, found, flags(row["least"], hashes[_firsts(hashes)], bits))
-                kept = []
-                for k, line in enumerate(chunk.lines):
+                arrays = [chunk.ids, pa.array(chunk.counts.astype(np.int64)), pa.array(per_document(removed, chunk.first).astype(np.int64))]
+                kept, texts = [], []
+                for k in range(len(chunk.counts)):
+                    text = bytes(chunk.data[chunk.edges[k]:chunk.edges[k + 1]])
                     gone = removed[chunk.first[k]:chunk.first[k + 1]]
-                    kept.append(b" ".join([w for w, g in zip(line.split(b" "), gone.tolist(), strict=True) if not g]) if gone.any() else line)
-                arrays = [
-                    pa.array(chunk.ids, pa.int64()), pa.array(chunk.counts.astype(np.int64)),
-                    pa.array(np.add.reduceat(np.append(removed, False).astype(np.int64), chunk.first[:-1]) * (chunk.counts > 0)),
-                    pa.array([hashlib.sha256(text).hexdigest() for text in kept])]
-                if with_text:
-                    arrays.append(pa.array([text.decode() for text in kept]))
+                    left = text.split()
+                    if gone.any():
+                        left = [w for w, g in zip(left, gone.tolist(), strict=True) if not g]
+                        text = b" ".join(left)
+                    kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
+                    texts.append(text.decode())
+                arrays += [pa.array(kept, pa.string())] + ([pa.array(texts, pa.string()), row["carried"]] if carry else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    names = ["id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    names = ["id", "n_words", "n_removed", "kept_sha256"] + (["kept_text", "carried"] if carry else [])
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + (f", kept_text string, carried {carried}" if carry else "")
     done = marked.join(least, "chunk", "left").mapInArrow(results, schema)
     return done.select(F.col("id").cast(kind).alias(id_column), *names[1:])
