@@ -32,10 +32,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = remove_repeats(docs, carry=carry)
-    kept = found.select("doc_id", F.col("kept_text").alias("text"), *[F.col("carried").getField(c).alias(c) for c in carry], "n_removed")
+    kept = found.select("doc_id", F.col("kept_text").alias("text"), *[F.col("carried").getField(c).alias(c) for c in carry], F.col("n_removed").alias("_removed"))
     if "n_chars" in carry:
         kind = dict(docs.dtypes)["n_chars"]
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        kept = kept.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return kept.select(*docs.columns)
 
 

@@ -96,13 +96,13 @@ def predict(model: dict | None, texts: pa.Array) -> dict:
 
 def fit_language(docs: DataFrame, rows: int = SAMPLE_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> dict | None:
     """The model, from at most `rows` texts of each language, chosen by a hash of their id."""
-    known = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(
-        F.col(id_column).cast("string").alias("_id"), F.col(label_column).alias("label"))
+    known = docs.select(F.col(id_column).cast("string").alias("_id"), F.col(text_column).alias("text"), F.col(label_column).alias("label")).where(
+        F.col("label").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("label").orderBy(F.xxhash64("_id"), "_id")
     # Bounded by `rows` for each language; ranks are cut before rows move.
-    chosen = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows).select("_id").distinct()
-    sample = docs.where(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).join(
-        F.broadcast(chosen), F.col(id_column).cast("string") == F.col("_id")).select(F.col(text_column).alias("text"), F.col(label_column).alias("label"))
+    ranked = known.select("_id", "label").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rows)
+    chosen = ranked.select(F.col("_id").alias("_chosen"), F.col("label").alias("_label")).distinct()
+    sample = known.join(F.broadcast(chosen), (F.col("_id") == F.col("_chosen")) & (F.col("label") == F.col("_label"))).select("text", "label")
     return trained(sample, _prepared, _fit)
 
 

@@ -165,7 +165,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Node and root (the smallest node of its component) of every node that has an edge.
+    """Node and root (the smallest node of its component) of every node that is not a root itself.
 
     Alternating large and small stars: neighbours are handed to the smallest neighbour until
     every component is a star. Each round is a written table, so a lost executor costs a round

@@ -96,7 +96,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_
     """The classifier, from at most `rows` labelled documents; None without any."""
     chosen = sampled(labels.where(F.col(label_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")), "_id", rows)
     # Bounded by `rows`.
-    sample = docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_id")).select(F.col(text_column).alias("text"), "label")
+    texts = docs.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "label")
     return trained(sample, _prepared, _fit)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ship
-from tabloom.llm.exchange import answered, ask, bucket_bits, flags, pack, rows_of, unpack, write_chunks
+from tabloom.llm.exchange import CHUNK_BYTES, answered, ask, bucket_bits, flags, pack, rows_of, unpack, write_chunks
 from tabloom.llm.linear import per_document
 from tabloom.llm.textbatch import Words, joined, runs_hash, slices, spans_hash, words
 
@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     others = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), others.alias("carried"))
     carried = rows.schema["carried"].dataType.simpleString()
-    chunks = write_chunks(rows, _make, f"ids array<long>, carried array<{carried}>, words long, size long, edges binary, text binary")
+    chunks = write_chunks(rows, _make, f"ids array<long>, carried array<{carried}>, words long, size long, edges binary, text binary", CHUNK_BYTES)
     total = chunks.agg(F.sum("words")).first()[0] or 0
     bits = bucket_bits(spark, total * len(COVER) // PERIOD)
 

@@ -117,7 +117,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id
     known = labels.where(F.col(label_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label"))
     chosen = sampled(known.where("label = 1"), "_id", rows).unionByName(sampled(known.where("label = 0"), "_id", rows))
     # Bounded by twice `rows`.
-    sample = docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_id")).select(F.col(text_column).alias("text"), "label")
+    texts = docs.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "label")
     return trained(sample, _prepared, _fit)
 
 
