@@ -188,20 +188,36 @@ def round_exact(x: Column, digits: int = 2) -> Column:
     Spark's ``round`` and ``bround`` round the shortest decimal text of the value, so
     0.165 (stored slightly above) or 1.005 (stored slightly below) can go the wrong way.
     The product with 10^digits is split in two (error-free multiplication), so a product
-    that lands on .5 is decided by its rounding error. Good for digits <= 7. The
-    expression repeats ``x`` many times: give it a column, not a long expression.
+    that lands on .5 is decided by its rounding error. Powers of ten are exact up to 22;
+    beyond, the text of the value decides. The expression repeats ``x`` many times: give it
+    a column, not a long expression.
     """
-    if not 0 <= digits <= 7:
-        raise ValueError("digits must be between 0 and 7")
+    if digits < 0:
+        return _round_to_multiple(x, float(10**-digits))
+    if digits > 22:
+        return F.bround(x, digits)
     scale = float(10**digits)
     product = x * scale
     down = F.floor(product)
     wide = x * 134217729.0
     high = wide - (wide - x)
-    error = (high * scale - product) + (x - high) * scale
+    scale_high = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    scale_low = scale - scale_high
+    error = ((high * scale_high - product) + high * scale_low + (x - high) * scale_high) + (x - high) * scale_low
     looks_tied = product - down.cast("double") == 0.5
     decided = down.cast("double") + F.when(error > 0, F.lit(1.0)).otherwise(F.lit(0.0))
     whole = F.when(looks_tied & (error != 0), decided).otherwise(F.rint(product))
     # From 2^53 on, the spacing of doubles near x is wider than the last digit. Adding
     # zero turns -0.0 into 0.0.
     return F.when(F.abs(product) >= float(2**53), x).otherwise(whole / scale + 0.0)
+
+
+def _round_to_multiple(x: Column, unit: float) -> Column:
+    """Round to a multiple of a power of ten; the remainder of doubles is exact."""
+    rest = F.try_mod(x, F.lit(unit))
+    base = x - rest
+    next_ = base + F.signum(rest) * unit
+    odd = F.abs(F.try_mod(base / unit, F.lit(2.0))) == 1.0
+    beyond = F.abs(rest) > unit / 2
+    tied = F.abs(rest) == unit / 2
+    return F.when(beyond | (tied & odd), next_).otherwise(base) + 0.0

@@ -135,11 +135,9 @@ class _Builder:
             raise FormulaError("unsupported call")
         name, count = node.func.id, len(node.args)
         if name == "round" and count == 2:
-            digits = node.args[1]
-            if not (isinstance(digits, ast.Constant) and type(digits.value) is int and 0 <= digits.value <= 7):
-                raise FormulaError("round takes a fixed number of digits from 0 to 7")
+            digits = _whole_number(node.args[1])
             value = self.bind(self.build(node.args[0]))
-            return self.join(lambda x: round_exact(x, digits.value), value)
+            return self.join(lambda x: round_exact(x, digits), value)
         args = [self.bind(self.build(a)) for a in node.args]
         if name in ("min", "max") and count >= 2:
             pick = F.least if name == "min" else F.greatest
@@ -155,6 +153,14 @@ class _Builder:
         raise FormulaError(f"'{name}' with {count} values is not allowed in a formula")
 
 
+def _whole_number(node: ast.expr) -> int:
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        return -_whole_number(node.operand)
+    if not (isinstance(node, ast.Constant) and type(node.value) is int):
+        raise FormulaError("round takes a fixed number of digits")
+    return node.value
+
+
 def _compile(df: DataFrame, text: str, prefix: str) -> tuple[_Builder, _Value]:
     body, inputs = text, {}
     for i, name in enumerate(df.columns):

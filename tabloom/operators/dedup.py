@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabloom.errors import TableError
 from tabloom.functions.cells import group_value, ref
 from tabloom.functions.names import normalise_headers
-from tabloom.operators.rows import with_address, with_stable_address
+from tabloom.operators.rows import with_address
 
 
 def key_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -90,8 +90,12 @@ def removed_rows(
     df: DataFrame, columns: Sequence[str] | None = None, keep: str = "first",
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The rows :func:`dedup` leaves out."""
-    at, order = with_stable_address(df) if order_by is None else (df, list(order_by))
+    """The rows :func:`dedup` leaves out; ``order_by``, if given, must be unique per row.
+
+    Keepers, one line per key, are taken out by their place: two scans and, if there are many
+    keepers, one shuffle by place, which is unique and even, so that no key is a hot task.
+    """
+    at, order = _ordered(df, order_by)
     pick = F.min if keep == "first" else F.max
     place = pick(F.struct(*[ref(c) for c in order])).alias("_kept")
     kept = at.groupBy(*_keys(df, columns)).agg(place).select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.errors import InsufficientData, MissingColumn, TableError
 from tabloom.functions.cells import EMPTY_LABEL, TOTAL_LABEL, group_key, num, ref, round_exact
+from tabloom.functions.names import normalise_headers
 
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
@@ -57,10 +58,9 @@ def _total(how: str) -> Column:
     """Sum of displayed cells. Sums and averages have two decimals, so they are added as
     decimals and the result does not depend on the order of addition."""
     cell = ref("cell")
-    if how in ("sum", "avg"):
-        exact = F.when(F.max(F.abs(cell)) < 1e30, F.try_sum(_exact(cell)).cast("double"))
-        return F.coalesce(exact, F.sum(cell))
-    return F.sum(cell)
+    # Cells too large for the decimal type leave no exact sum; the sum of doubles stands in.
+    return F.coalesce(F.when(F.count(_exact(cell)) == F.count(cell), F.try_sum(_exact(cell)).cast("double")), F.sum(cell)) \
+        if how in ("sum", "avg") else F.sum(cell)
 
 
 def pivot_long(
@@ -99,8 +99,9 @@ def crosstab(
     """Table with one column per column key, keys sorted as text, missing cells 0, a total
     column and a total row at the end.
 
-    The column keys become column names, so they are fetched first and their number is
-    limited by ``spark.sql.pivotMaxValues``; beyond it use :func:`pivot_long`.
+    The column keys become column names, made unique where they differ in case only or equal
+    another column's. They are fetched first, and Spark's own ``spark.sql.pivotMaxValues``
+    limits their number; beyond it use :func:`pivot_long`, which has no limit.
     """
     if how not in AGGREGATES:
         raise TableError(f"unknown aggregate '{how}'")
@@ -112,20 +113,21 @@ def crosstab(
     if not names:
         raise InsufficientData("the table has no rows")
     if len(names) > limit:
-        raise TableError(f"more than {limit} column keys; use the long form")
+        raise TableError(f"more than {limit} column keys, set by spark.sql.pivotMaxValues; pivot_long has no limit")
 
     cells = pivot_cells(df, rows, columns, value, how, label)
     zero = F.lit(0).cast(cells.schema["cell"].dataType)
 
+    # Keys may be any text, also equal but for case, so columns are named when all is done.
+    codes = [f"c{i}" for i in range(len(names))]
+
     def wide(long: DataFrame, key: Column, last: int) -> DataFrame:
-        table = long.groupBy(key.alias("row_key")).pivot("col_key", names).agg(F.first("cell"))
-        filled = [F.coalesce(ref(n), zero).alias(n) for n in names]
-        return table.select(F.lit(last).alias("_last"), "row_key", *filled)
+        table = long.select(key.alias("k"), "col_key", "cell").groupBy("k").pivot("col_key", names).agg(F.first("cell"))
+        table = table.toDF("k", *codes)
+        return table.select(F.lit(last).alias("at_end"), "k", *[F.coalesce(c, zero).alias(c) for c in codes])
 
     body = wide(cells, ref("row_key"), 0)
     sums = cells.groupBy("col_key").agg(_total(how).alias("cell"))
-    table = body.unionByName(wide(sums, F.lit(total), 1)).orderBy("_last", "row_key")
-    first = corner or f"{rows} \\ {columns}"
-    return table.select(
-        ref("row_key").alias(first), *[ref(n) for n in names], _across([ref(n) for n in names], how).alias(total)
-    )
+    table = body.unionByName(wide(sums, F.lit(total), 1)).orderBy("at_end", "k")
+    shown = table.select("k", *codes, _across([ref(c) for c in codes], how).alias("total"))
+    return shown.toDF(*normalise_headers([corner or f"{rows} \\ {columns}", *names, total]))

@@ -14,16 +14,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabloom.errors import TableError
 from tabloom.functions.cells import EMPTY_LABEL, group_text, ref, to_text
-from tabloom.storage import checkpointed
 
 LEAD, HEADER, DATA, TAIL = "lead", "header", "data", "tail"
 # Place of each section in an output.
 _PLACE = {LEAD: 0, HEADER: 1, DATA: 2, TAIL: 3}
-# Lead and tail rows are repeated in every output, so they are asked for by row number
-# and their count is known before the job; more than this is refused, never cut.
-MAX_BANNER_ROWS = 100_000
-# First row numbers of file blocks are broadcast up to this many blocks (about 30 MB).
-MAX_BROADCAST_BLOCKS = 250_000
+# Plan nodes that leave each source row in its place, and sources whose rows have one.
+_IN_PLACE = {"Project", "SubqueryAlias", "Filter"}
+_FIXED = {"LocalRelation", "Range", "LogicalRDD"}
+
+
+def _nodes(df: DataFrame) -> list:
+    """Nodes of the analysed plan, from the result down."""
+    found, left = [], [df._jdf.queryExecution().analyzed()]
+    while left:
+        node = left.pop()
+        found.append(node)
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def _names(df: DataFrame) -> set[str]:
+    """Names of the plan's nodes; a coalesce, which keeps the order of rows, is left out."""
+    return {n.nodeName() for n in _nodes(df) if not (n.nodeName() == "Repartition" and not n.shuffle())}
 
 
 def _metadata_fields(df: DataFrame) -> list[str]:
@@ -33,81 +45,68 @@ def _metadata_fields(df: DataFrame) -> list[str]:
         return []
 
 
-def with_address(df: DataFrame, prefix: str = "_at") -> tuple[DataFrame, list[str]]:
-    """Add columns that order rows as they lie in the source, without any job or shuffle.
+def _address(df: DataFrame) -> list[Column]:
+    """Columns that order rows as they lie in the source: file, block in the file, place.
 
-    Parquet knows the row's index in its file. Other file formats use the block's offset
-    in the file and the position inside the task that reads it, and must be given as
-    scanned. Other frames use the partition order, see :func:`with_stable_address`.
+    Parquet knows the row's index in its file; other file formats use the block's offset and
+    the position inside the task that reads it. A frame made of local rows, or of a range, has
+    its partitions in order. Any other frame (joined, exploded, merged, shuffled) has no place
+    for its rows, or one place for several, and is refused: give ``order_by``.
     """
-    fields = _metadata_fields(df)
-    names = [f"{prefix}{i}" for i in range(3)]
+    names = _names(df)
+    fields = _metadata_fields(df) if "LogicalRelation" in names and names <= _IN_PLACE | {"LogicalRelation"} else []
     if "row_index" in fields:
-        parts = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
-    elif "file_block_start" in fields:
-        parts = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                 F.monotonically_increasing_id()]
-    else:
-        parts = [F.monotonically_increasing_id()]
-    names = names[: len(parts)]
-    return df.select("*", *[p.alias(n) for p, n in zip(parts, names)]), names
+        return [F.col("_metadata.file_path"), F.lit(0).cast("bigint"), F.col("_metadata.row_index")]
+    if "file_block_start" in fields:
+        return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+    if names & _FIXED and names <= _IN_PLACE | _FIXED:
+        place = F.monotonically_increasing_id()  # the partition in the upper 31 bits
+        return [F.lit(""), F.shiftright(place, 33), place]
+    raise TableError("the rows of this table have no order of their own; name unique columns in order_by")
 
 
-def with_stable_address(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Like :func:`with_address`, for callers that read the frame twice.
-
-    Places in files do not change. Partition order may, when a lost executor's part is
-    worked out again, so frames that are not file scans are written to the checkpoint
-    folder together with their addresses.
-    """
-    addressed, at = with_address(df)
-    return (checkpointed(addressed) if len(at) == 1 else addressed), at
-
+def with_address(df: DataFrame, prefix: str = "_at") -> tuple[DataFrame, list[str]]:
+    """Add columns that order rows as they lie in the source, without any job or shuffle."""
+    names = [f"{prefix}{i}" for i in range(3)]
+    return df.select("*", *[p.alias(n) for p, n in zip(_address(df), names)]), names
 
-def _few_blocks(df: DataFrame, at: list[str]) -> bool:
-    """Whether one row per block of the source is small, from the scan's plan (no job).
 
-    A split is either as large as a task takes, or the last piece of a file, so there are
-    at most as many blocks as tasks and files. A frame that is not a file scan has one row
-    of two numbers per partition.
-    """
-    if len(at) == 1:
-        return True
-    files = len(df.inputFiles())
-    blocks = files if len(at) == 2 else files + df.rdd.getNumPartitions()
-    return blocks <= MAX_BROADCAST_BLOCKS
+def address_struct(df: DataFrame, input_no: int) -> Column:
+    """The place of a row among several inputs, as one column that sorts like the rows lie."""
+    file, block, at = _address(df)
+    return F.struct(F.lit(input_no).alias("input"), file.alias("file"), block.alias("block"), at.alias("at"))
 
 
-def with_row_index(df: DataFrame, name: str = "row_no") -> DataFrame:
+def with_row_index(df: DataFrame, name: str = "row_no", address: str | None = None) -> DataFrame:
     """Add the 1-based physical row number over all files, in file-path order.
 
-    Rows are numbered inside their file block; the first number of each block comes from
-    a running sum over one small row per block, which is broadcast while there are few
-    enough, so the table itself is neither sorted nor shuffled. Beyond that it is joined
-    by block, whose rows fit a task. The window without partitions sees one row per block
-    of the source, never table rows.
+    ``address`` names the column that a merge added (see ``merge_frames``); rows are then
+    numbered input by input. Rows are numbered inside their file block, cut into pieces of a
+    million rows; the first number of each piece comes from a running sum over one small row
+    per piece, joined by piece, so a huge file is many keys and the table is never sorted. The
+    window without partitions sees one row per piece, never table rows. A filtered frame is
+    refused: what is left of a block does not tell how many rows it had.
     """
-    addressed, at = with_stable_address(df)
-    if len(at) == 2:  # file, index in file
-        block, offset = [at[0]], ref(at[1])
-    elif len(at) == 3:  # file, block start, position in task
-        block, offset = at[:2], ref(at[2])
-    else:  # partition number in the upper 31 bits, position in the lower 33
-        addressed = addressed.withColumn("_part", F.shiftright(ref(at[0]), 33))
-        block, offset = ["_part"], ref(at[0])
-    # The span of offsets is the number of rows of an unfiltered block. On a filtered scan
-    # numbers have gaps, but still rise in file order.
-    span = F.max(offset) - F.min(offset) + 1
-    sizes = addressed.groupBy(*block).agg(span.alias("_n"), F.min(offset).alias("_low"))
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    if "Filter" in _names(df):
+        raise TableError("number the rows before they are filtered")
+    if address is None:
+        addressed, (*block, place) = with_address(df)
+    else:
+        if not _names(df) <= {"Project", "SubqueryAlias", "Union", "LogicalRelation"} | _FIXED:
+            raise TableError("number the rows of a merge before anything else")
+        addressed = df.select("*", *[ref(address)[f].alias(f"_at{i}") for i, f in enumerate(("input", "file", "block", "at"))])
+        block, place = ["_at0", "_at1", "_at2"], "_at3"
+    # Places in a task start anywhere but rise by one, so pieces are whole numbers of them.
+    addressed = addressed.withColumn("_piece", F.shiftright(ref(place), 20))
+    keys = [*block, "_piece"]
+    sizes = addressed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(ref(place)).alias("_low"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(
-        *[ref(b).alias(f"_b{i}") for i, b in enumerate(block)],
+        *[ref(b).alias(f"_b{i}") for i, b in enumerate(keys)],
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - ref("_low")).alias("_base"),
     )
-    if _few_blocks(df, at):
-        bases = F.broadcast(bases)
-    joined = addressed.join(bases, [ref(b) == ref(f"_b{i}") for i, b in enumerate(block)], "inner")
-    return joined.select(*[ref(c) for c in df.columns], (offset + ref("_base") + 1).alias(name))
+    joined = addressed.join(bases, [ref(b) == ref(f"_b{i}") for i, b in enumerate(keys)], "inner")
+    return joined.select(*[ref(c) for c in df.columns], (ref(place) + ref("_base") + 1).alias(name))
 
 
 def _row_count(numbered: DataFrame, row_no: str) -> Column:
@@ -165,7 +164,6 @@ def split_sections(
 def attach_banner(
     sections: DataFrame,
     column: str,
-    banner_rows: int,
     keep_header: bool = True,
     label: str = EMPTY_LABEL,
     row_no: str = "row_no",
@@ -173,12 +171,9 @@ def attach_banner(
     """Rows of every output: lead block, header, the key's data rows, tail block.
 
     Adds ``split_key`` and ``place``; an output is its key's rows ordered by
-    ``(place, row_no)``. Banner rows are gathered once and repeated per distinct key; there
-    being more than ``banner_rows`` of them fails the job. Data rows are neither collected
-    nor shuffled.
+    ``(place, row_no)``. The numbers of the banner rows reach the distinct keys as one scalar
+    array; the rows themselves are joined by number. Data rows do not move.
     """
-    if banner_rows > MAX_BANNER_ROWS:
-        raise TableError(f"{banner_rows} lead and tail rows cannot be repeated in every output")
     place = F.lit(None).cast("int")
     for name, number in _PLACE.items():
         place = F.when(ref("section") == name, F.lit(number)).otherwise(place)
@@ -189,10 +184,7 @@ def attach_banner(
     )
     data = placed.where(ref("section") == DATA).drop("section")
     repeated = [LEAD, TAIL] + ([HEADER] if keep_header else [])
-    rows = F.sort_array(F.collect_list(F.struct("place", "row_no", *[ref(c) for c in fields])))
-    too_many = F.raise_error(F.lit(f"more than {banner_rows} lead, header and tail rows"))
-    # One row more than announced is enough to tell that there are too many.
-    gathered = placed.where(ref("section").isin(repeated)).limit(banner_rows + 1).agg(rows.alias("rows"))
-    banner = gathered.select(F.when(F.size("rows") <= banner_rows, F.col("rows")).otherwise(too_many)).scalar()
-    copies = data.select("split_key").distinct().select("split_key", F.explode(banner).alias("row"))
-    return data.unionByName(copies.select("split_key", "row.*"))
+    banner = placed.where(ref("section").isin(repeated)).drop("section", "split_key")
+    numbers = banner.agg(F.collect_list("row_no")).scalar()
+    keys = data.select("split_key").distinct().select("split_key", F.explode(numbers).alias("row_no"))
+    return data.unionByName(keys.join(banner, "row_no"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tabloom.errors import MissingColumn, TableError
+from tabloom.errors import MissingColumn
 from tabloom.functions.cells import EMPTY_LABEL, group_text, ref
 from tabloom.functions.names import safe_file_name, safe_table_name
 from tabloom.operators.distribution import value_counts
@@ -16,7 +16,6 @@ from tabloom.sources.tables import _CSV_WRITE, as_cells
 FILES, SHEETS = "files", "sheets"
 # Name of the partition column, which is the output's folder name.
 _FOLDER = {FILES: "split_part", SHEETS: "split_table"}
-MAX_OUTPUTS = 10_000
 
 
 def output_name(key: Column, mode: str = FILES, name_pattern: str = "{value}") -> Column:
@@ -61,26 +60,22 @@ def split_collisions(
 def write_split(
     df: DataFrame, column: str, path: str, mode: str = FILES, name_pattern: str = "{value}",
     format: str = "parquet", keep_header: bool = True, order_by: Sequence[str] | None = None,
-    label: str = EMPTY_LABEL, max_outputs: int = MAX_OUTPUTS,
+    label: str = EMPTY_LABEL,
 ) -> None:
     """Write one folder of files per key; keys with the same cleaned name share it.
 
-    Rows are rebalanced by output, not hashed: small outputs are packed together and an
-    output that holds a large share of the rows is spread over as many tasks as its size
-    asks for. Rows are in source order within each file. More than ``max_outputs``
-    outputs are refused before anything is written.
+    Rows are dealt by ranges of output and source order: small outputs share a task, an
+    output that holds a large share of the rows is spread over several, and its files in the
+    order of their names hold its rows in source order. Each CSV file has the header line.
     """
     tagged, folder = with_output(df, column, mode, name_pattern, label), _FOLDER[mode]
-    outputs = split_summary(df, column, mode, name_pattern, label).select("output").distinct() \
-        .limit(max_outputs + 1).count()
-    if outputs > max_outputs:
-        raise TableError(f"the split would make more than {max_outputs} outputs")
     if order_by is None:
         placed, order = with_address(df, "_at")
         placed = with_output(placed, column, mode, name_pattern, label)
     else:
         placed, order = tagged, list(order_by)
-    spread = placed.hint("rebalance", ref(folder)).sortWithinPartitions(folder, *[ref(c) for c in order])
+    places = [ref(folder), *[ref(c) for c in order]]
+    spread = placed.repartitionByRange(*places).sortWithinPartitions(*places)
     kept = spread.select(*[ref(c) for c in df.columns], ref(folder))
     writer = (as_cells(kept) if format == "csv" else kept).write.partitionBy(folder).format(format)
     if format == "csv":
@@ -91,11 +86,16 @@ def write_split(
 def write_banner_split(
     banner: DataFrame, path: str, mode: str = FILES, name_pattern: str = "{value}"
 ) -> None:
-    """Write outputs that carry lead, header and tail rows (see ``rows.attach_banner``)."""
+    """Write outputs that carry lead, header and tail rows (see ``rows.attach_banner``).
+
+    The files of an output, in the order of their names, are its lines in order, however many
+    there are: lead rows, one header, data rows, tail rows.
+    """
     folder = _FOLDER[mode]
     cells = [c for c in banner.columns if c not in ("split_key", "place", "row_no")]
     named = banner.withColumn(folder, output_name(ref("split_key"), mode, name_pattern))
-    spread = named.hint("rebalance", ref(folder)).sortWithinPartitions(folder, "split_key", "place", "row_no")
+    places = [folder, "split_key", "place", "row_no"]
+    spread = named.repartitionByRange(*places).sortWithinPartitions(*places)
     out = as_cells(spread.select(*[ref(c) for c in cells], ref(folder)))
     out.write.partitionBy(folder).options(header="false", **_CSV_WRITE).csv(path)
 

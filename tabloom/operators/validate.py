@@ -11,9 +11,6 @@ from tabloom.functions.cells import (
     as_text, dtype, group_value, is_blank, is_numeric, is_text, num, ref, round_exact,
 )
 
-# Rows of a bucket that are searched value by value, without one more level of buckets.
-SEARCHED_ROWS = 1_000_000
-
 
 def _may_hold_numbers(t: T.DataType) -> bool:
     return is_numeric(t) or is_text(t) or isinstance(t, T.BooleanType)
@@ -124,11 +121,9 @@ def _exact_quartiles(long: DataFrame) -> DataFrame:
 
     Sorting a column would need one task per column. Instead the bucket that holds the
     wanted position is found from a histogram of values rounded to 10 binary digits (at
-    most 512 lines per power of two). A bucket of few rows is searched value by value; a
-    large one by buckets of 25 digits first. Each level is a scan with partial
-    aggregation; only counts are shuffled, and a value that fills a third of the table is
-    one histogram line. Without large buckets the third scan does not run: its broadcast
-    side is empty.
+    most 512 lines per power of two), then from one of 25 digits inside it, then by value.
+    Each level is a scan with partial aggregation; only counts are shuffled, and a value that
+    fills a third of the table is one histogram line.
     """
     v, by_value = F.col("v"), Window.partitionBy("at").orderBy("x")
     wide, fine = _bucket(v, 10), _bucket(v, 25)
@@ -142,12 +137,10 @@ def _exact_quartiles(long: DataFrame) -> DataFrame:
         .withColumn("n", F.sum("c").over(Window.partitionBy("at"))).where("n >= 4")
         .select("*", F.inline(ranks)).withColumn("before", F.col("upto") - F.col("c"))
         .where("before <= k and k < upto")
-        .select("at", "q", "k", "n", "before", F.col("x").alias("b1"), (F.col("c") > SEARCHED_ROWS).alias("large"))
+        .select("at", "q", "k", "n", "before", F.col("x").alias("b1"))
     )
-    second = _found(_inside(long, first, {"b1": wide}, F.when(F.col("large"), fine).otherwise(v), "b1", "large"))
-    open_ = second.where("large").drop("large").withColumnRenamed("x", "b2")
-    third = _found(_inside(long, open_, {"b1": wide, "b2": fine}, v))
-    found = second.where("not large").select("at", "q", "n", "x").unionByName(third.select("at", "q", "n", "x"))
+    second = _found(_inside(long, first, {"b1": wide}, fine, "b1")).withColumnRenamed("x", "b2")
+    found = _found(_inside(long, second, {"b1": wide, "b2": fine}, v)).select("at", "q", "n", "x")
     pick = lambda q: F.max(F.when(F.col("q") == q, F.col("x")))
     return found.groupBy("at", "n").agg(pick(1).alias("q1"), pick(3).alias("q3"))
 
@@ -169,7 +162,7 @@ def _bounds(long: DataFrame, multiplier: float, exact: bool, accuracy: int) -> D
     )
 
 
-def _named(found: DataFrame, names: list[str], *fields: str) -> DataFrame:
+def _named(found: DataFrame, names: list[str], *fields: str | Column) -> DataFrame:
     labels = F.array(*[F.lit(c) for c in names]) if names else F.array().cast("array<string>")
     return found.select(F.element_at(labels, F.col("at") + 1).alias("column"), *fields)
 
@@ -204,14 +197,29 @@ def outliers(
     """``(column, outliers, lower, upper)``: numbers strictly outside the bounds, which are
     shown rounded to two digits. Columns without bounds are left out."""
     names = _number_columns(df, columns)
-    long = _long_numbers(df, names)
-    # One line of bounds per column of the table is broadcast.
-    limited = long.join(F.broadcast(_bounds(long, multiplier, exact, accuracy)), "at")
-    outside = F.count_if((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper")))
-    counted = limited.groupBy("at", "lower", "upper").agg(outside.alias("outliers")).select(
-        "at", "outliers", round_exact(F.col("lower")).alias("lower"), round_exact(F.col("upper")).alias("upper")
-    )
-    return _named(counted, names, "outliers", "lower", "upper")
+    limits = _limits(df, names, multiplier, exact, accuracy)
+    cells = df.select(limits.alias("_limits"), *[num(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    limit = lambda i: F.col("_limits")[i]
+    outside = [
+        F.count_if((F.col(f"v{i}") < limit(i)["lower"]) | (F.col(f"v{i}") > limit(i)["upper"])).alias(f"n{i}")
+        for i in range(len(names))
+    ]
+    counted = cells.agg(F.first("_limits").alias("_limits"), *outside)
+    lines = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("outliers"), limit(i).alias("limit"))
+                      for i, c in enumerate(names)])
+    if not names:
+        return _named(_bounds(_long_numbers(df, names), multiplier, exact, accuracy), names, F.lit(0).cast("bigint").alias("outliers"), "lower", "upper")
+    return counted.select(F.explode(lines).alias("line")).where("line.limit is not null").select(
+        "line.column", "line.outliers", round_exact(F.col("line.limit.lower")).alias("lower"),
+        round_exact(F.col("line.limit.upper")).alias("upper"))
+
+
+def _limits(df: DataFrame, names: list[str], multiplier: float, exact: bool, accuracy: int) -> Column:
+    """The bounds of all columns, in their order, as one scalar array; NULL without bounds."""
+    bounds = _bounds(_long_numbers(df, names), multiplier, exact, accuracy)
+    by_column = F.map_from_entries(F.collect_list(F.struct("at", F.struct("lower", "upper"))))
+    places = F.array(*[F.lit(i) for i in range(len(names))]).cast("array<int>")
+    return bounds.agg(F.transform(places, lambda i: F.try_element_at(by_column, i))).scalar()
 
 
 def outlier_rows(
@@ -223,10 +231,7 @@ def outlier_rows(
     The bounds, one line per column of the table, reach the rows as one scalar array.
     """
     names = _number_columns(df, columns)
-    bounds = _bounds(_long_numbers(df, names), multiplier, exact, accuracy)
-    by_column = F.map_from_entries(F.collect_list(F.struct("at", F.struct("lower", "upper"))))
-    places = F.array(*[F.lit(i) for i in range(len(names))]).cast("array<int>")
-    limits = bounds.agg(F.transform(places, lambda i: F.try_element_at(by_column, i))).scalar()
+    limits = _limits(df, names, multiplier, exact, accuracy)
     cells = F.array(*[F.struct(F.lit(c).alias("c"), num(df, c).alias("v")) for c in names])
 
     def outside(cell: Column, limit: Column) -> Column:
@@ -308,12 +313,14 @@ def issues(report_lines: DataFrame) -> DataFrame:
 def write_issues(report_lines: DataFrame, path: str) -> bool:
     """Write what did not pass, one folder per check; nothing is written if all passed.
 
-    A report has a few lines per column of the table, so it is worked out once and its
-    lines pass through the driver.
+    A report has a few lines per column of the table; it is worked out once and kept while
+    they are looked at and written.
     """
-    found = issues(report_lines)
-    lines = [tuple(r) for r in found.collect()]
-    if not lines:
-        return False
-    report_lines.sparkSession.createDataFrame(lines, found.schema).coalesce(1).write.partitionBy("check").json(path)
-    return True
+    found = issues(report_lines).persist()
+    try:
+        if found.isEmpty():
+            return False
+        found.coalesce(1).write.partitionBy("check").json(path)
+        return True
+    finally:
+        found.unpersist()

@@ -96,6 +96,18 @@ def list_tables(spark: SparkSession, path: str) -> DataFrame:
         .distinct().orderBy("table_name")
 
 
+def table_paths(spark: SparkSession, path: str) -> dict[str, str]:
+    """Paths of a dataset folder's tables by the names that :func:`list_tables` gives."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = {}
+    for status in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop):
+        entry = status.getPath().getName()
+        if not entry.startswith(("_", ".")):
+            name = unquote(entry.partition("=")[2]) if "=" in entry else re.sub(r"\.[A-Za-z0-9]+$", "", entry)
+            found[name] = status.getPath().toString()
+    return found
+
+
 def list_catalog_tables(spark: SparkSession, database: str) -> DataFrame:
     """Names of the tables in a catalog database, sorted."""
     quoted = "`" + database.replace("`", "``") + "`"
@@ -178,7 +190,7 @@ def _convert(spark: SparkSession, path: str, source: str, target: str, out: str)
             df.write.format(target).save(out)
         return (path, True, None, int(seen.get["rows"]))
     except Exception as error:  # one bad input must not stop the others
-        return (path, False, str(error).split("\n", 1)[0][:500], None)
+        return (path, False, str(error), None)
 
 
 def convert_many(
@@ -186,13 +198,13 @@ def convert_many(
 ) -> DataFrame:
     """Convert each input to ``target`` format in its own Spark job.
 
-    Returns ``(input, ok, error, rows)``, one row per input in the given order. ``parallel``
-    jobs are submitted at a time so that small inputs do not leave the cluster idle.
+    Returns ``(input, ok, error, rows, output)``, one row per input in the given order. Inputs
+    of one name get outputs of their own (``t.orc``, ``t_2.orc``). ``parallel`` jobs are
+    submitted at a time so that small inputs do not leave the cluster idle.
     """
-    def out_of(path: str) -> str:
-        stem = path.rstrip("/").rsplit("/", 1)[-1]
-        return f"{output_dir.rstrip('/')}/{stem.rsplit('.', 1)[0] if '.' in stem else stem}.{target}"
-
+    stems = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
+    names = normalise_headers([s.rsplit(".", 1)[0] if "." in s else s for s in stems])
+    outputs = [f"{output_dir.rstrip('/')}/{n}.{target}" for n in names]
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        done = list(pool.map(lambda p: _convert(spark, p, source, target, out_of(p)), paths))
-    return spark.createDataFrame(done, "input string, ok boolean, error string, rows bigint")
+        done = list(pool.map(lambda p, out: (*_convert(spark, p, source, target, out), out), paths, outputs))
+    return spark.createDataFrame(done, "input string, ok boolean, error string, rows bigint, output string")

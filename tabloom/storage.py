@@ -5,26 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from tabloom.errors import TableError
 
 
 def _base(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="tabloom-")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise TableError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tabloom-")
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name in the folder the cluster names for checkpoints.
 
-    A local temporary folder is used only where none is named, as in tests.
+    A local temporary folder is used only where none is named and all runs in one process,
+    as in tests; a cluster without a shared folder is an error.
     """
     return f"{_base(spark)}/tabloom-{uuid.uuid4().hex}"
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame written to the checkpoint folder, so that reading it twice, or again
-    after a lost executor, gives the same rows in the same order."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_base(df.sparkSession))
-    return df.checkpoint()
