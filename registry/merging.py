@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import tabloom as tl
 from registry.common import table, text_sql
+from tabloom.storage import scratch_dir
 
 
 def _m1_position(spark, sf_dir):
@@ -46,6 +47,21 @@ def _m7_mixed_types(spark, sf_dir):
     return tl.merge_by_position([customer, part])
 
 
+def _m2_split_tables(spark, sf_dir):
+    """Tables picked from the outputs of a split by the names that listing them gives."""
+    path = scratch_dir(spark)
+    tl.write_split(table(spark, sf_dir, "part"), "p_brand", path, mode="sheets")
+    names = [r.table_name for r in tl.list_tables(spark, path).collect()][:3]
+    return tl.merge_tables(spark, path, names)
+
+
+def _m7_decimals(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("decimal(10,2)").alias("amount"), F.col("c_custkey").alias("key"))
+    part = table(spark, sf_dir, "part").select(F.col("p_retailprice").cast("decimal(12,3)"), F.col("p_size").cast("decimal(4,1)"))
+    merged = tl.merge_by_position([customer, part])
+    return merged.select(F.col("amount").cast("string").alias("amount"), F.col("key").cast("string").alias("key"))
+
+
 def _m8_summary(spark, sf_dir):
     return tl.merge_summary([table(spark, sf_dir, name) for name in ("orders", "lineitem", "part")])
 
@@ -53,6 +69,7 @@ def _m8_summary(spark, sf_dir):
 QUERIES = {
     "M1_position": _m1_position, "M2_tables": _m2_tables, "M3_by_name": _m3_by_name,
     "M4_empty_input": _m4_empty_input, "M5_ragged": _m5_ragged, "M6_paths": _m6_paths,
+    "M2_split_tables": _m2_split_tables, "M7_decimals": _m7_decimals,
     "M7_mixed_types": _m7_mixed_types, "M8_summary": _m8_summary,
 }
 
@@ -72,4 +89,9 @@ ORACLES = {
         UNION ALL SELECT p_size, p_name, p_retailprice FROM part""",
     "M8_summary": """SELECT 3::bigint AS inputs, (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem)
         + (SELECT count(*) FROM part) AS rows""",
+    "M2_split_tables": """SELECT * FROM part
+        WHERE p_brand IN (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 3)""",
+    "M7_decimals": """SELECT cast(cast(cast(c_acctbal AS decimal(10,2)) AS decimal(13,3)) AS varchar) AS amount,
+        cast(cast(c_custkey AS decimal(20,1)) AS varchar) AS key FROM customer
+        UNION ALL SELECT cast(cast(p_retailprice AS decimal(12,3)) AS varchar), cast(cast(p_size AS decimal(4,1)) AS varchar) FROM part""",
 }

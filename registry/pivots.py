@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import tabloom as tl
 from registry.common import MESSY_SQL, messy, num_sql, round_sql, table
 
@@ -25,7 +27,22 @@ def _long(how, value="o_totalprice"):
     return lambda s, d: tl.pivot_long(_orders(s, d), "o_orderpriority", "o_orderstatus", value, how)
 
 
+def _odd_keys(spark, sf_dir, keys):
+    """Orders whose status becomes one of two column keys that are hard to tell apart."""
+    status = F.when(F.col("o_orderstatus") == "F", keys[0]).otherwise(keys[1]).alias("status")
+    return tl.crosstab(_orders(spark, sf_dir).select("o_orderpriority", status, "o_totalprice"), "o_orderpriority", "status", "o_totalprice")
+
+
+def _odd_keys_sql(first, second, total):
+    cells = """count(*) FILTER (o_orderstatus = 'F')""", """count(*) FILTER (o_orderstatus <> 'F')"""
+    columns = f'{cells[0]} AS "{first}", {cells[1]} AS "{second}", count(*) AS "{total}" FROM orders'
+    return f"""SELECT o_orderpriority AS "o_orderpriority \\ status", {columns} GROUP BY 1
+        UNION ALL SELECT '合计', {columns}"""
+
+
 QUERIES = {
+    "V8_crosstab_case_keys": lambda s, d: _odd_keys(s, d, ("A", "a")),
+    "V8_crosstab_label_keys": lambda s, d: _odd_keys(s, d, ("row_key", "合计")),
     "V2_count": _cells("count"), "V3_sum": _cells("sum"), "V4_avg": _cells("avg"),
     "V5_min": _cells("min"), "V6_max": _cells("max"),
     "V8_crosstab": _crosstab("count"),
@@ -101,3 +118,7 @@ ORACLES |= {
         f"""SELECT l_returnflag AS row_key, cast(l_suppkey AS varchar) AS col_key, {_AGG['sum']} AS cell
             FROM (SELECT *, l_quantity AS v FROM lineitem) GROUP BY 1, 2""", "sum"),
 }
+ORACLES |= {
+    "V8_crosstab_case_keys": _odd_keys_sql("A", "a_2", "合计"),
+    "V8_crosstab_label_keys": _odd_keys_sql("row_key", "合计", "合计_2"),
+}

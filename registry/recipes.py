@@ -31,7 +31,7 @@ def _c1_saved(spark, sf_dir):
 
 def _c3_summary(spark, sf_dir):
     out = scratch_dir(spark)
-    return tl.run_with_summary(table(spark, sf_dir, "lineitem"), STEPS[:2], lambda df: df.write.parquet(out))
+    return tl.run_with_summary(table(spark, sf_dir, "lineitem"), STEPS, lambda df: df.write.parquet(out))
 
 
 def _c2_dedup_split(spark, sf_dir):
@@ -60,5 +60,7 @@ ORACLES = {
         count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1""",
     "C3_summary": """SELECT 0 AS step_no, 'input' AS op, count(*) AS rows FROM lineitem
         UNION ALL SELECT 1, 'filter', count(*) FROM lineitem WHERE l_quantity > 30 AND l_returnflag <> 'N'
-        UNION ALL SELECT 2, 'columns', count(*) FROM lineitem WHERE l_quantity > 30 AND l_returnflag <> 'N'""",
+        UNION ALL SELECT 2, 'columns', count(*) FROM lineitem WHERE l_quantity > 30 AND l_returnflag <> 'N'
+        UNION ALL SELECT 3, 'pivot', (count(DISTINCT l_returnflag) + 1) * (count(DISTINCT l_linestatus) + 1)
+        FROM lineitem WHERE l_quantity > 30 AND l_returnflag <> 'N'""",
 }

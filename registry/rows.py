@@ -34,13 +34,46 @@ def _x1_text_files(spark, sf_dir):
     return tl.with_row_index(spark.read.text(path))
 
 
+def _ordered_folder(spark, frame, key):
+    """A folder whose files, in the order of their names, rise by the key, and grow in size."""
+    path = scratch_dir(spark)
+    frame.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _x1_merged(spark, sf_dir):
+    """Numbers over a merge of two folders, whose files Spark packs by size."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    low = _ordered_folder(spark, orders.where("o_orderkey % 3 = 0"), "o_orderkey")
+    high = _ordered_folder(spark, orders.where("o_orderkey % 3 > 0"), "o_orderkey")
+    merged = tl.merge_by_position([high, low], address="at")
+    return tl.with_row_index(merged, address="at").drop("at")
+
+
+def _x1_filtered(spark, sf_dir):
+    """A filtered scan has no physical numbers: refused, with the reason as the row."""
+    try:
+        tl.with_row_index(table(spark, sf_dir, "orders").where("o_orderkey > 10"))
+    except tl.TableError as error:
+        return table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("rows"), F.lit(str(error)).alias("error"))
+    raise AssertionError("numbered")
+
+
+def _x5_written_order(spark, sf_dir):
+    """Lines of one output with their place over all of its files, read in name order."""
+    path = scratch_dir(spark)
+    write_banner_split(_x5_banner(spark, sf_dir), path)
+    key = table(spark, sf_dir, "events").agg(F.min("event_type").alias("k")).first().k
+    return tl.with_row_index(spark.read.text(f"{path}/split_part={key}"), "line_no")
+
+
 def _x5_banner(spark, sf_dir):
-    return tl.attach_banner(_sections(spark, sf_dir, (901, 903)), "event_type", banner_rows=6)
+    return tl.attach_banner(_sections(spark, sf_dir, (901, 903)), "event_type")
 
 
 def _x5_no_header(spark, sf_dir):
     sections = _sections(spark, sf_dir, None, include_lead=False)
-    return tl.attach_banner(sections, "event_type", banner_rows=1, keep_header=False)
+    return tl.attach_banner(sections, "event_type", keep_header=False)
 
 
 def _x5_written(spark, sf_dir):
@@ -53,6 +86,8 @@ QUERIES = {
     "X1_row_index": _numbered("events"),
     "X1_many_files": _x1_many_files,
     "X1_text_files": _x1_text_files,
+    "X1_merged": _x1_merged,
+    "X1_filtered": _x1_filtered,
     "X2_range": lambda s, d: tl.row_range(_numbered("orders")(s, d), 100, 1400),
     "X2_range_beyond": lambda s, d: tl.row_range(_numbered("orders")(s, d), 1, 100_000_000),
     "X3_preview": lambda s, d: tl.row_range_preview(_numbered("orders")(s, d), 2, 5),
@@ -61,6 +96,7 @@ QUERIES = {
     "X5_banner": _x5_banner,
     "X5_no_header": _x5_no_header,
     "X5_written": _x5_written,
+    "X5_written_order": _x5_written_order,
 }
 
 _EVENTS = "(SELECT event_id, event_type, value, row_number() OVER (ORDER BY event_id) AS row_no FROM events)"
@@ -85,6 +121,9 @@ ORACLES = {
     "X1_many_files": "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders",
     "X1_text_files": """SELECT concat_ws(',', o_orderkey, o_orderstatus) AS value,
         row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders""",
+    "X1_merged": """SELECT o_orderkey, o_orderpriority,
+        row_number() OVER (ORDER BY o_orderkey % 3 = 0, o_orderkey) AS row_no FROM orders""",
+    "X1_filtered": "SELECT count(*) AS rows, 'number the rows before they are filtered' AS error FROM orders",
     "X2_range": f"SELECT * FROM ({_ORDERS}) WHERE row_no BETWEEN 100 AND 1400",
     "X2_range_beyond": f"SELECT * FROM ({_ORDERS}) WHERE false",
     "X3_preview": f"""SELECT string_agg('Row' || row_no || ': ' || o_orderkey || ', ' || o_custkey || ', ' || o_orderstatus,
@@ -97,4 +136,8 @@ ORACLES = {
     "X5_written": f"""SELECT event_id || ',' || event_type || ',' ||
         CASE WHEN value = floor(value) THEN cast(cast(value AS bigint) AS varchar) ELSE cast(value AS varchar) END AS value,
         split_key AS split_part FROM ({_BANNER})""",
+    "X5_written_order": f"""SELECT event_id || ',' || event_type || ',' ||
+        CASE WHEN value = floor(value) THEN cast(cast(value AS bigint) AS varchar) ELSE cast(value AS varchar) END AS value,
+        row_number() OVER (ORDER BY place, row_no) AS line_no
+        FROM ({_BANNER}) WHERE split_key = (SELECT min(event_type) FROM events)""",
 }

@@ -78,6 +78,16 @@ def _s7_formats(spark, sf_dir):
     return tl.scan(spark, path, "csv").select("p_partkey", "p_name", "p_size", "p_retailprice")
 
 
+def _s7_same_names(spark, sf_dir):
+    """Two inputs of one name: each has an output and a row count of its own."""
+    base = scratch_dir(spark)
+    for folder, name in (("x", "customer"), ("y", "supplier")):
+        table(spark, sf_dir, name).write.parquet(f"{base}/{folder}/t.parquet")
+    done = tl.convert_many(spark, [f"{base}/x/t.parquet", f"{base}/y/t.parquet"], "parquet", "orc", f"{base}/out").collect()
+    counted = [(r.output.rsplit("/", 1)[-1], r.ok, r.rows, spark.read.orc(r.output).count()) for r in done]
+    return spark.createDataFrame(counted, "output string, ok boolean, rows long, read_back long")
+
+
 def _s8_write_if(spark, sf_dir):
     """A filter with matches and one without: only the first leaves an output."""
     out, orders = scratch_dir(spark), table(spark, sf_dir, "orders")
@@ -131,7 +141,7 @@ QUERIES = {
     "S1_scan": lambda s, d: tl.scan(s, f"{d}/orders.parquet"),
     "S2_header": _s2_header, "S3_banner": _s3_banner, "S3_lead": _s3_lead, "S4_tables": _s4_tables,
     "S5_csv_numbers": _roundtrip("customer"), "S5_csv_line_breaks": _roundtrip("conversations"),
-    "S6_csv_lines": _s6_lines, "S7_convert": _s7_convert, "S7_formats": _s7_formats, "S8_write_if": _s8_write_if,
+    "S6_csv_lines": _s6_lines, "S7_same_names": _s7_same_names, "S7_convert": _s7_convert, "S7_formats": _s7_formats, "S8_write_if": _s8_write_if,
     "S9_split_files": _s9_files, "S9_split_one": _s9_one_file, "S10_split_sheets": _s10_sheets,
     "S10_sheet_names": _s10_sheet_names, "S11_keys": _s11_keys, "S12_no_header": _s12_no_header,
     "S13_summary": lambda s, d: tl.split_summary(table(s, d, "pages"), "url"),
@@ -173,4 +183,6 @@ ORACLES = {
     "S13_summary": f"SELECT url AS value, {_FILE_KEY} AS output, count(*) AS n FROM pages GROUP BY 1, 2",
     "S14_collisions": f"""SELECT {_SHEET_KEY} AS output, count(DISTINCT url) AS keys, count(*) AS n FROM pages
         GROUP BY 1 HAVING count(DISTINCT url) > 1""",
+    "S7_same_names": """SELECT 't.orc' AS output, true AS ok, count(*) AS rows, count(*) AS read_back FROM customer
+        UNION ALL SELECT 't_2.orc', true, count(*), count(*) FROM supplier""",
 }

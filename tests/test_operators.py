@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tabloom as tl
+from tabloom.functions.cells import round_exact
 from tabloom.functions.predicates import OPERATORS, predicate
 
 ROWS = [
@@ -147,7 +148,7 @@ def test_formulas_match_python(spark):
 
 def test_formula_failures(spark, messy):
     calc = lambda text: [{"name": "x", "expression": text}]
-    for bad in ("{v} + remark", "{v} *", "__import__('os')", "[1][0]", "'a'", "{nope} + 1", "abs({id}, 2)", "round({id}, -1)",
+    for bad in ("{v} + remark", "{v} *", "__import__('os')", "[1][0]", "'a'", "{nope} + 1", "abs({id}, 2)", "round({id}, {id})",
                 "{id}.real", "lambda: 1", "(1,)[0]", "1 if", "max({id})"):
         assert {r.x for r in tl.column_ops(messy, ["id"], calc=calc(bad)).collect()} == {None}, bad
         with pytest.raises(tl.FormulaError):
@@ -366,3 +367,11 @@ def test_sections(spark):
     # A tail range reaching into the lead rows starts after the header.
     assert sections(header_row=3, tail=(1, 5)) == {
         1: "lead", 2: "lead", 3: "header", 4: "tail", 5: "tail", **{i: "data" for i in range(6, 11)}}
+
+
+def test_round_with_any_digits(spark):
+    values = [0.1234567885, 2.5, 3.5, -2.5, 1e-9, 123456.789, 1.005, 250.0, 350.0, -250.0, 149.99, 1e15, 0.0, 98765.4321, 5e-10, 2**52 + 0.5]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (-3, -2, -1, 0, 1, 2, 5, 7, 8, 9, 12, 15):
+        found = [r[0] for r in df.select(round_exact(F.col("x"), digits)).collect()]
+        assert found == [round(v, digits) + 0.0 for v in values], digits

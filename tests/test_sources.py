@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import tabloom as tl
+from tabloom.storage import scratch_dir
+from tabloom.operators.split import write_banner_split
 from tabloom.operators.split import write_split
 from tabloom.plans import recipe
 from tabloom.streaming.stateless import run_stateless
@@ -34,8 +36,7 @@ def test_row_numbers_over_many_files(spark, tmp_path, format):
     assert [r[0] for r in rows] == sorted(r[0] for r in rows)
 
 
-def test_row_numbers_without_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("tabloom.operators.rows.MAX_BROADCAST_BLOCKS", 0)
+def test_row_numbers_without_broadcast(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(0, 500, 1, 4).write.parquet(path)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -48,16 +49,78 @@ def test_row_numbers_without_broadcast(spark, tmp_path, monkeypatch):
 
 
 def test_row_numbers_of_other_frames(spark, tmp_path):
-    """Filtered scans keep the file order; shuffled frames are fixed before numbering."""
+    """Rows without a place of their own are refused instead of numbered or removed wrongly."""
     path = str(tmp_path / "t")
     spark.range(0, 900, 1, 3).write.parquet(path)
-    some = tl.with_row_index(spark.read.parquet(path).where("id % 7 = 3"))
-    rows = some.orderBy("row_no").collect()
-    assert [r.id for r in rows] == [i for i in range(900) if i % 7 == 3]
-    shuffled = tl.with_row_index(spark.range(500).groupBy((F.col("id") % 50).alias("k")).count())
-    assert sorted(r.row_no for r in shuffled.collect()) == list(range(1, 51))
-    rest = tl.removed_rows(spark.range(100).select((F.col("id") % 9).alias("k"), "id").repartition(5), ["k"])
-    assert rest.count() == 91
+    scan = spark.read.parquet(path)
+    twice = scan.select(F.explode(F.array("id", "id")).alias("id"))
+    shuffled = spark.range(500).groupBy((F.col("id") % 50).alias("k")).count()
+    for df in (scan.where("id % 7 = 3"), twice, shuffled, scan.unionByName(scan), scan.join(scan, "id"), scan.repartition(5)):
+        with pytest.raises(tl.TableError):
+            tl.with_row_index(df)
+    for df in (twice, shuffled.withColumnRenamed("k", "id"), scan.unionByName(scan), scan.join(scan, "id")):
+        key = df.select("id", (F.col("id") % 9).alias("k"))
+        for refused in (lambda: tl.removed_rows(key, ["k"]), lambda: tl.keep_first(key, ["k"])):
+            with pytest.raises(tl.TableError):
+                refused()
+    # A filter leaves the remaining rows in their places, so first and last are known.
+    some = scan.where("id % 7 = 3").select("id", (F.col("id") % 9).alias("k"))
+    assert sorted(r.id for r in tl.keep_first(some, ["k"]).collect()) == sorted(
+        min(i for i in range(900) if i % 7 == 3 and i % 9 == k) for k in range(9))
+    for keep in ("first", "last"):
+        kept, removed = tl.dedup(some, ["k"], keep), tl.removed_rows(some, ["k"], keep)
+        assert sorted(r.id for r in kept.unionByName(removed).collect()) == [i for i in range(900) if i % 7 == 3]
+
+
+@pytest.mark.parametrize("format", ["parquet", "json"])
+def test_merged_rows_keep_their_order(spark, tmp_path, format):
+    """Folders whose files rise in size, so that Spark packs the last one first."""
+    paths, start = [], 0
+    for folder in ("b", "a"):
+        for k, n in enumerate((3, 40, 5000)):
+            spark.range(start, start + n, 1, 1).select("id", F.lit(1).alias("k")).write.format(format).save(f"{tmp_path}/{folder}/{k}")
+            start += n
+        paths.append(f"{tmp_path}/{folder}")
+    merged = tl.merge_paths(spark, paths, format, address="at", recursiveFileLookup="true")
+    assert tl.keep_first(merged, ["k"], ["at"]).head().id == 0
+    assert tl.keep_last(merged, ["k"], ["at"]).head().id == start - 1
+    assert sorted(r.id for r in tl.removed_rows(merged, ["k"], order_by=["at"]).collect()) == list(range(1, start))
+    numbered = tl.with_row_index(merged, address="at")
+    assert [(r.id, r.row_no) for r in numbered.orderBy("row_no").collect()] == [(i, i + 1) for i in range(start)]
+    with pytest.raises(tl.TableError):
+        tl.keep_first(merged.drop("at"), ["k"])
+
+
+def test_hot_banner_output_is_in_order(spark, tmp_path):
+    numbered = tl.with_row_index(spark.range(0, 60000, 1, 4).select(F.lit("hot").alias("k"), F.concat("id", F.lit("-" * 20)).alias("v")))
+    sections = tl.split_sections(numbered, header_row=3, tail=(59999, 60000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_banner_split(tl.attach_banner(sections, "k"), str(tmp_path / "o"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted((tmp_path / "o" / "split_part=hot").glob("part-*"))
+    lines = "".join(f.read_text() for f in files).splitlines()
+    assert len(files) > 1 and [int(line.split(",")[1].split("-")[0]) for line in lines] == list(range(60000))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(tl.TableError):
+        scratch_dir(Session)
+
+
+def test_split_into_many_outputs(spark, tmp_path):
+    path = str(tmp_path / "o")
+    tl.write_split(spark.range(1_500).select(F.col("id").cast("string").alias("k"), "id"), "k", path)
+    assert sum(1 for _ in (tmp_path / "o").glob("split_part=*")) == 1_500
 
 
 def test_merge_of_many_files(spark, tmp_path):
@@ -129,9 +192,6 @@ def test_split_names(spark, tmp_path):
         got.setdefault(r.split_part, set()).add(r.n)
     assert got == {"007": {1}, "a_b": {2, 3}, "(空)": {4, 6}, "_": {5}}
     assert [tuple(r) for r in tl.split_collisions(df, "k").collect()] == [("a_b", 2, 2)]
-    with pytest.raises(tl.TableError):
-        tl.write_split(df, "k", path + "2", order_by=["n"], max_outputs=2)
-    assert not (tmp_path / "o2").exists()
     tl.write_split(df, "k", path + "3", format="csv", order_by=["n"], keep_header=True)
     text = "".join(p.read_text() for p in sorted((tmp_path / "o3" / "split_part=a_b").glob("part-*")))
     assert text == "k,n\na/b,2\na:b,3\n"
