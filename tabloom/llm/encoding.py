@@ -15,7 +15,7 @@ from array import array
 from itertools import chain
 
 #: Runs remembered by a worker process, and the longest run that is worth it.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 LONGEST = 48
 
 _EDGE_SPACE = re.compile(r"\A\s|\s\Z|\A\Z")

@@ -12,7 +12,7 @@ from tabloom.llm.linear import Adagrad, per_document, sampled, scored, sigmoid,
 from tabloom.llm.textbatch import Words, mixed, ngram_hash, runs_hash, spans_hash, words
 
 #: Labelled rows the classifier is fitted on (every fifth for calibration), and its size.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 3000
 DIMENSIONS = 1 << 16
 CHARACTERS = (3, 4)
 #: Fixed thresholds: words a text needs, its share of repeated words in per cent, and the
@@ -62,14 +62,13 @@ def _fit(features: list[bytes], labels: list[int]) -> dict:
     column, value = np.concatenate(ids).astype(np.int64), np.concatenate(shares).astype(float)
     size = (1 + len(CHARACTERS)) * DIMENSIONS
 
-    fitting = ~calibrating[rows]
     model, bias = Adagrad(size, 4.0), Adagrad(1, 0.3)
-    r, c, v = rows[fitting], column[fitting], value[fitting]
+    # Rows for calibration weigh nothing in the fit.
     weight = np.where(calibrating, 0, np.where(good > 0, 0.5 / max(good[~calibrating].mean(), 1e-9), 0.5 / max(1 - good[~calibrating].mean(), 1e-9)))
     for _ in range(60):
-        z = np.bincount(r, v * model.weights[c], len(good)) + bias.weights[0]
+        z = np.bincount(rows, value * model.weights[column], len(good)) + bias.weights[0]
         error = (sigmoid(z) - good) * weight / max(weight.sum(), 1)
-        model.step(np.bincount(c, v * error[r], size) + 1e-8 * model.weights)
+        model.step(np.bincount(column, value * error[rows], size) + 1e-8 * model.weights)
         bias.step(np.array([error.sum()]))
     z = np.bincount(rows, value * model.weights[column], len(good)) + bias.weights[0]
     slope, offset = _platt(z[calibrating], good[calibrating])
