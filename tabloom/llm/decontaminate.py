@@ -80,7 +80,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
         .groupBy("id", "digest").agg(F.collect_set("gram").alias("hits"))
     )
     # Only documents with hits are taken apart again; their hits say where to look.
-    near = keyed.dropDuplicates(["id", "digest"]).alias("k").join(
+    near = keyed.alias("k").join(
         hits.alias("h"), F.col("k.id").eqNullSafe(F.col("h.id")) & (F.col("k.digest") == F.col("h.digest"))
     ).select("k.id", "k.digest", item_words(F.col("text")).alias("words"), "hits")
     spans = near.select("id", "digest", "words", F.explode(F.array_distinct(F.concat(
