@@ -295,7 +295,7 @@ def test_packing(spark, docs, none):
 
 def test_patterns_hold_the_demand_with_little_waste():
     rng = np.random.default_rng(2)
-    for capacity, sizes in ((64, rng.integers(1, 65, 5000)), (256, rng.gamma(2, 40, 20_000).astype(int).clip(1, 256)), (10, [6] * 7 + [3])):
+    for capacity, sizes in ((64, rng.integers(1, 65, 5000)), (96, rng.gamma(2, 15, 20_000).astype(int).clip(1, 96)), (10, [6] * 7 + [3])):
         demand = Counter(int(s) for s in sizes)
         patterns = packing.cutting_patterns(demand, capacity)
         held = Counter()
