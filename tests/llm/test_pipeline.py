@@ -87,6 +87,6 @@ def test_repeated_rows_leave_one(spark, sf):
     text = " ".join(f"word{k}" for k in range(30))
     docs = spark.createDataFrame([(7, text, "en", "s", 1)] * 5 + [(None, text + " end", "en", "s", 1)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
     after = corpus_pipeline.simhash_near_dedup(spark, docs, sf)
-    assert len(after.collect()) == len(slow_components({slow_fingerprint(r[0]) for r in pairs_of(docs, "text")}))
+    assert len(after.collect()) == len(set(slow_components({slow_fingerprint(r[0]) for r in pairs_of(docs, "text")}).values()))
     assert after.select(F.max("doc_id")).first()[0] == 7
     assert key((1, None)) < key((None, 1))
