@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tabloom as tl
-from registry.common import MESSY_SQL, blank_sql, messy, num_sql, round_sql, table, text_sql
+from registry.common import MESSY_SQL, blank_sql, messy, num_sql, refused, round_sql, table, text_sql
 from tabloom.operators import validate
 
 _CELLS = ("p_partkey", "p_type", "p_size", "p_retailprice", "cell")
@@ -19,6 +19,11 @@ def _quality(spark, sf_dir):
     return messy(spark, sf_dir).select("p_type", "p_size", "cell")
 
 
+def _l9_no_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return refused(orders, lambda: tl.report(orders.where("o_orderkey IS NULL"), _CHECKS))
+
+
 _CHECKS = {"empty": True, "empty_threshold": 10, "outliers": True, "outlier_multiplier": 0.25,
            "type_check": True, "duplicates": True}
 
@@ -37,6 +42,7 @@ QUERIES = {
     "L7_dups_whole_rows": lambda s, d: tl.duplicate_rows(_lineitem(s, d)),
     "L8_report": lambda s, d: tl.report(_quality(s, d), _CHECKS),
     "L8_issues": lambda s, d: tl.issues(tl.report(_quality(s, d), _CHECKS)),
+    "L9_no_rows": _l9_no_rows,
     "L10_outlier_rows": lambda s, d: tl.outlier_rows(table(s, d, "events"), ["value", "user_id"]),
 }
 
@@ -116,6 +122,7 @@ ORACLES = {
         (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicates""",
     "L8_report": _REPORT,
     "L8_issues": f"SELECT * FROM ({_REPORT}) WHERE NOT passed",
+    "L9_no_rows": "SELECT count(*) AS rows, 'the table has no rows' AS error FROM orders",
     "L10_outlier_rows": f"""SELECT e.*, 'value' AS outlier_columns FROM events e,
         {_bounds_sql(('value',), 'events', 1.5)} b WHERE e.value < lower OR e.value > upper""",
 }

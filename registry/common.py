@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+import tabloom as tl
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refused(df: DataFrame, call: Callable[[], object]) -> DataFrame:
+    """``(rows, error)``: the table's rows, and the reason why the call is refused."""
+    try:
+        call()
+    except tl.TableError as error:
+        return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(str(error)).alias("error"))
+    raise AssertionError("not refused")
+
+
+def in_order(df: DataFrame, name: str = "line_no") -> DataFrame:
+    """A small sorted result with the place of each of its rows, so that its order is compared too."""
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    return placed.withColumn(name, F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
 # The test tables hold no empty cells and no mixed text, so queries about those rules use
 # this column, derived from every row of ``part`` with the same CASE on both sides.
 CELL = """CASE

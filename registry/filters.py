@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 import tabloom as tl
-from registry.common import MESSY_SQL, blank_sql, messy, num0_sql, table
+from registry.common import MESSY_SQL, blank_sql, messy, num0_sql, refused, table
 from tabloom.storage import scratch_dir
 from tabloom.streaming.stateless import run_stateless
 
@@ -89,6 +89,12 @@ def _f12_stream(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows")
 
 
+def _f14_missing_column(spark, sf_dir):
+    """A column that the table lacks is named before anything is read."""
+    orders = table(spark, sf_dir, "orders")
+    return refused(orders, lambda: tl.filter_rows(orders, [{"column": "o_size", "operator": "eq", "value": "1"}]))
+
+
 QUERIES = {name: partial(_on_cell, **dict(zip(("operator", "value", "value2"), args)))
            for name, (args, _) in _CELL_CASES.items()}
 QUERIES |= {
@@ -99,6 +105,7 @@ QUERIES |= {
     "F12_unmatched": _unmatched,
     "F13_or": _on("lineitem", _OR, "OR"),
     "F13_no_conditions": _on("orders", [], "OR"),
+    "F14_missing_column": _f14_missing_column,
     "F16_incomplete": _f16_incomplete,
     "K1_counts": _k1_counts,
 }
@@ -116,6 +123,7 @@ ORACLES |= {
     "F13_or": """SELECT * FROM lineitem WHERE l_quantity <= 2 OR l_linenumber = 7
         OR contains(cast(l_shipdate AS varchar), '1999-12-')""",
     "F13_no_conditions": "SELECT * FROM orders WHERE false",
+    "F14_missing_column": """SELECT count(*) AS rows, 'column ''o_size'' does not exist' AS error FROM orders""",
     "F16_incomplete": "SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'",
     "K1_counts": f"SELECT count(*) AS total, count(*) FILTER ({_N} > 20) AS matched FROM {MESSY_SQL}",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tabloom as tl
-from registry.common import MESSY_SQL, messy, num_sql, round_sql, table
+from registry.common import MESSY_SQL, in_order, messy, num_sql, refused, round_sql, table
 
 _STATUS = ("F", "O", "P")
 _CORNER = "o_orderpriority \\ o_orderstatus"
@@ -40,7 +40,21 @@ def _odd_keys_sql(first, second, total):
         UNION ALL SELECT '合计', {columns}"""
 
 
+def _v7_unknown(spark, sf_dir):
+    orders = _orders(spark, sf_dir)
+    return refused(orders, lambda: tl.crosstab(orders, "o_orderpriority", "o_orderstatus", "o_totalprice", "median"))
+
+
+def _v14_no_rows(spark, sf_dir):
+    """A table without rows is reported before a column that it lacks."""
+    orders = _orders(spark, sf_dir)
+    return refused(orders, lambda: tl.crosstab(orders.where("o_orderkey IS NULL"), "o_orderpriority", "o_size", "o_totalprice"))
+
+
 QUERIES = {
+    "V7_unknown_aggregate": _v7_unknown,
+    "V9_order": lambda s, d: in_order(_crosstab("count")(s, d)),
+    "V14_no_rows": _v14_no_rows,
     "V8_crosstab_case_keys": lambda s, d: _odd_keys(s, d, ("A", "a")),
     "V8_crosstab_label_keys": lambda s, d: _odd_keys(s, d, ("row_key", "合计")),
     "V2_count": _cells("count"), "V3_sum": _cells("sum"), "V4_avg": _cells("avg"),
@@ -119,6 +133,10 @@ ORACLES |= {
             FROM (SELECT *, l_quantity AS v FROM lineitem) GROUP BY 1, 2""", "sum"),
 }
 ORACLES |= {
+    "V7_unknown_aggregate": "SELECT count(*) AS rows, 'unknown aggregate ''median''' AS error FROM orders",
+    "V9_order": f"""SELECT *, (row_number() OVER (ORDER BY "{_CORNER}" = '合计', "{_CORNER}"))::int AS line_no
+        FROM ({_crosstab_sql("count")})""",
+    "V14_no_rows": "SELECT count(*) AS rows, 'the table has no rows' AS error FROM orders",
     "V8_crosstab_case_keys": _odd_keys_sql("A", "a_2", "合计"),
     "V8_crosstab_label_keys": _odd_keys_sql("row_key", "合计", "合计_2"),
 }

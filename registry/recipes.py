@@ -40,7 +40,17 @@ def _c2_dedup_split(spark, sf_dir):
     return tl.run_recipe(table(spark, sf_dir, "orders"), steps)
 
 
+def _c2_merge(spark, sf_dir):
+    """Nations appended below customers by position; the first row of each nation in that order stays."""
+    steps = [{"op": "columns", "keep": ["c_nationkey", "c_custkey", "c_name"]},
+             {"op": "merge", "paths": [f"{sf_dir}/nation.parquet"], "address": "at"},
+             {"op": "dedup", "columns": ["c_nationkey"], "order_by": ["at"]},
+             {"op": "columns", "keep": ["c_nationkey", "c_custkey"]}]
+    return tl.run_recipe(table(spark, sf_dir, "customer"), steps)
+
+
 QUERIES = {"C1_saved_recipe": _c1_saved, "C2_recipe": partial(revenue_pivot), "C2_dedup_split": _c2_dedup_split,
+           "C2_merge": _c2_merge,
            "C3_summary": _c3_summary}
 
 _ROWS = f"""SELECT l_returnflag AS flag, l_linestatus, {round_sql('l_extendedprice * (1 - l_discount)')} AS revenue
@@ -58,6 +68,9 @@ ORACLES = {
     "C2_recipe": _PIVOT,
     "C2_dedup_split": """SELECT o_orderpriority AS value, o_orderpriority AS output,
         count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1""",
+    "C2_merge": """SELECT c_nationkey, arg_min(c_custkey, (input, place)) AS c_custkey FROM (
+        SELECT 1 AS input, c_custkey AS place, c_nationkey, cast(c_custkey AS varchar) AS c_custkey FROM customer
+        UNION ALL SELECT 2, n_nationkey, n_nationkey, n_name FROM nation) GROUP BY 1""",
     "C3_summary": """SELECT 0 AS step_no, 'input' AS op, count(*) AS rows FROM lineitem
         UNION ALL SELECT 1, 'filter', count(*) FROM lineitem WHERE l_quantity > 30 AND l_returnflag <> 'N'
         UNION ALL SELECT 2, 'columns', count(*) FROM lineitem WHERE l_quantity > 30 AND l_returnflag <> 'N'

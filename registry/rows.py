@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tabloom as tl
-from registry.common import table
+from registry.common import refused, table
 from tabloom.operators.split import write_banner_split
 from tabloom.storage import scratch_dir
 
@@ -50,13 +50,16 @@ def _x1_merged(spark, sf_dir):
     return tl.with_row_index(merged, address="at").drop("at")
 
 
+def _x2_range_files(spark, sf_dir):
+    """A range over many files, of which only those that hold it are read."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return tl.source_range(_ordered_folder(spark, orders, "o_orderkey"), 100, 1400)
+
+
 def _x1_filtered(spark, sf_dir):
     """A filtered scan has no physical numbers: refused, with the reason as the row."""
-    try:
-        tl.with_row_index(table(spark, sf_dir, "orders").where("o_orderkey > 10"))
-    except tl.TableError as error:
-        return table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("rows"), F.lit(str(error)).alias("error"))
-    raise AssertionError("numbered")
+    orders = table(spark, sf_dir, "orders")
+    return refused(orders, lambda: tl.with_row_index(orders.where("o_orderkey > 10")))
 
 
 def _x5_written_order(spark, sf_dir):
@@ -89,6 +92,7 @@ QUERIES = {
     "X1_merged": _x1_merged,
     "X1_filtered": _x1_filtered,
     "X2_range": lambda s, d: tl.row_range(_numbered("orders")(s, d), 100, 1400),
+    "X2_range_files": _x2_range_files,
     "X2_range_beyond": lambda s, d: tl.row_range(_numbered("orders")(s, d), 1, 100_000_000),
     "X3_preview": lambda s, d: tl.row_range_preview(_numbered("orders")(s, d), 2, 5),
     "X4_sections": lambda s, d: _sections(s, d, (901, 950)),
@@ -125,6 +129,7 @@ ORACLES = {
         row_number() OVER (ORDER BY o_orderkey % 3 = 0, o_orderkey) AS row_no FROM orders""",
     "X1_filtered": "SELECT count(*) AS rows, 'number the rows before they are filtered' AS error FROM orders",
     "X2_range": f"SELECT * FROM ({_ORDERS}) WHERE row_no BETWEEN 100 AND 1400",
+    "X2_range_files": f"SELECT o_orderkey, o_orderpriority, row_no FROM ({_ORDERS}) WHERE row_no BETWEEN 100 AND 1400",
     "X2_range_beyond": f"SELECT * FROM ({_ORDERS}) WHERE false",
     "X3_preview": f"""SELECT string_agg('Row' || row_no || ': ' || o_orderkey || ', ' || o_custkey || ', ' || o_orderstatus,
         '; ' ORDER BY row_no) AS preview FROM ({_ORDERS}) WHERE row_no BETWEEN 2 AND 5""",

@@ -42,6 +42,18 @@ def _s3_lead(spark, sf_dir):
     return tl.scan_with_banner(spark, path, header_row=3)[0]
 
 
+def _s3_banner_quoted(spark, sf_dir):
+    """Conversations below a banner, with their line breaks inside quoted cells."""
+    path = scratch_dir(spark)
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.concat_ws(",", "conv_id", "turn", "role", quoted).alias("value"))
+    top = spark.createDataFrame(
+        [(-3, 0, "Conversations"), (-2, 0, ""), (-1, 0, "conv,turn,role,text")], "conv_id bigint, turn bigint, value string")
+    top.unionByName(lines).orderBy("conv_id", "turn").select("value").write.text(path)
+    return tl.scan_with_banner(spark, path, header_row=3)[1]
+
+
 def _s4_tables(spark, sf_dir):
     names = [r["table_name"] for r in tl.list_tables(spark, sf_dir).collect()]
     counted = [table(spark, sf_dir, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("rows")) for n in names]
@@ -139,7 +151,8 @@ def _s12_no_header(spark, sf_dir):
 
 QUERIES = {
     "S1_scan": lambda s, d: tl.scan(s, f"{d}/orders.parquet"),
-    "S2_header": _s2_header, "S3_banner": _s3_banner, "S3_lead": _s3_lead, "S4_tables": _s4_tables,
+    "S2_header": _s2_header, "S3_banner": _s3_banner, "S3_lead": _s3_lead, "S3_banner_quoted": _s3_banner_quoted,
+    "S4_tables": _s4_tables,
     "S5_csv_numbers": _roundtrip("customer"), "S5_csv_line_breaks": _roundtrip("conversations"),
     "S6_csv_lines": _s6_lines, "S7_same_names": _s7_same_names, "S7_convert": _s7_convert, "S7_formats": _s7_formats, "S8_write_if": _s8_write_if,
     "S9_split_files": _s9_files, "S9_split_one": _s9_one_file, "S10_split_sheets": _s10_sheets,
@@ -157,6 +170,8 @@ ORACLES = {
     "S3_banner": """SELECT 3 + row_number() OVER (ORDER BY c_custkey) AS row_no, cast(c_custkey AS varchar) AS key,
         c_name AS name, cast(NULL AS varchar) AS Col2, c_mktsegment AS key_2 FROM customer""",
     "S3_lead": "SELECT 1::bigint AS row_no, 'Customer report' AS value UNION ALL SELECT 2, ''",
+    "S3_banner_quoted": """SELECT 3 + row_number() OVER (ORDER BY conv_id, turn) AS row_no, cast(conv_id AS varchar) AS conv,
+        cast(turn AS varchar) AS turn, role, nullif(text, '') AS text FROM conversations""",
     "S4_tables": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in TABLES),
     "S5_csv_numbers": f"""SELECT cast(c_custkey AS varchar) AS c_custkey, c_name,
         cast(c_nationkey AS varchar) AS c_nationkey, {text_sql('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer""",

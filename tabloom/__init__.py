@@ -13,7 +13,9 @@ from tabloom.operators.merge import (
     merge_by_name, merge_by_position, merge_frames, merge_paths, merge_summary, merge_tables,
 )
 from tabloom.operators.pivot import crosstab, pivot_cells, pivot_long
-from tabloom.operators.rows import attach_banner, row_range, row_range_preview, split_sections, with_row_index
+from tabloom.operators.rows import (
+    attach_banner, row_range, row_range_preview, source_range, split_sections, with_row_index,
+)
 from tabloom.operators.split import (
     read_split, split_collisions, split_summary, with_output, write_banner_split, write_split,
 )

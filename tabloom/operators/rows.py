@@ -96,6 +96,10 @@ def with_row_index(df: DataFrame, name: str = "row_no", address: str | None = No
             raise TableError("number the rows of a merge before anything else")
         addressed = df.select("*", *[ref(address)[f].alias(f"_at{i}") for i, f in enumerate(("input", "file", "block", "at"))])
         block, place = ["_at0", "_at1", "_at2"], "_at3"
+    return _numbered(addressed, df.columns, block, place, name)
+
+
+def _numbered(addressed: DataFrame, columns: list[str], block: list[str], place: str, name: str) -> DataFrame:
     # Places in a task start anywhere but rise by one, so pieces are whole numbers of them.
     addressed = addressed.withColumn("_piece", F.shiftright(ref(place), 20))
     keys = [*block, "_piece"]
@@ -106,7 +110,37 @@ def with_row_index(df: DataFrame, name: str = "row_no", address: str | None = No
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - ref("_low")).alias("_base"),
     )
     joined = addressed.join(bases, [ref(b) == ref(f"_b{i}") for i, b in enumerate(keys)], "inner")
-    return joined.select(*[ref(c) for c in df.columns], (ref(place) + ref("_base") + 1).alias(name))
+    return joined.select(*[ref(c) for c in columns], (ref(place) + ref("_base") + 1).alias(name))
+
+
+def source_range(df: DataFrame, start: int, end: int, name: str = "row_no") -> DataFrame:
+    """Rows ``start``..``end`` of a source with their numbers, reading only the files they lie
+    in; none at all when the table does not reach ``end``.
+
+    Files are numbered in path order, so those of a range are neighbours: one job counts the
+    rows of each file, without any column of the table (Parquet answers from its footers), and
+    brings one row to the driver, the first and the last path and the rows before them. The
+    window without partitions sees one row per file. Frames are those of ``with_row_index``.
+    """
+    if "Filter" in _names(df):
+        raise TableError("number the rows before they are filtered")
+    file = _address(df)[0]
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = (
+        df.select(file.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    )
+    wanted = (F.col("before") < end) & (F.col("before") + F.col("n") >= start)
+    low, high, skipped, total = files.agg(
+        F.min(F.when(wanted, F.col("file"))), F.max(F.when(wanted, F.col("file"))),
+        F.min(F.when(wanted, F.col("before"))), F.sum("n"),
+    ).first()
+    reached = 1 <= start <= end <= (total or 0)
+    kept = df.where(file.between(low, high)) if reached else df.where(F.lit(False))
+    addressed = kept.select("*", *[p.alias(f"_at{i}") for i, p in enumerate(_address(df))])
+    numbered = _numbered(addressed, df.columns, ["_at0", "_at1"], "_at2", name)
+    shifted = numbered.select(*[ref(c) for c in df.columns], (ref(name) + F.lit(skipped or 0).cast("long")).alias(name))
+    return shifted.where(ref(name).between(start, end))
 
 
 def _row_count(numbered: DataFrame, row_no: str) -> Column:

@@ -18,9 +18,12 @@ from tabloom.operators.columns import column_ops
 from tabloom.operators.dedup import dedup, duplicate_groups, removed_rows
 from tabloom.operators.distribution import share_table, value_counts
 from tabloom.operators.filtering import filter_rows
+from tabloom.operators.merge import merge_frames
 from tabloom.operators.pivot import crosstab, pivot_long
+from tabloom.operators.rows import source_range, with_row_index
 from tabloom.operators.split import split_summary, with_output
-from tabloom.operators.validate import empty_rates, outliers, report, type_kinds
+from tabloom.operators.validate import empty_rates, outlier_rows, outliers, report, type_kinds
+from tabloom.sources.tables import scan
 
 
 def _filter(df: DataFrame, conditions: Sequence[Mapping], logic: str = "AND") -> DataFrame:
@@ -31,9 +34,19 @@ def _report(df: DataFrame, checks: Mapping) -> DataFrame:
     return report(df, checks, check_rows=False)
 
 
+def _merge(df: DataFrame, paths: Sequence[str], format: str = "parquet", by: str = "position",
+           source_no: str | None = None, address: str | None = None, **options) -> DataFrame:
+    """The table so far, then the inputs at ``paths``."""
+    added = [scan(df.sparkSession, p, format, **options) for p in dict.fromkeys(paths)]
+    return merge_frames([df, *added], by, source_no, address)
+
+
 OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "filter": _filter,
     "columns": column_ops,
+    "merge": _merge,
+    "row_numbers": with_row_index,
+    "row_range": source_range,
     "dedup": dedup,
     "duplicate_groups": duplicate_groups,
     "removed_rows": removed_rows,
@@ -46,6 +59,7 @@ OPERATORS: dict[str, Callable[..., DataFrame]] = {
     "empty_rates": empty_rates,
     "type_kinds": type_kinds,
     "outliers": outliers,
+    "outlier_rows": outlier_rows,
     "validate": _report,
 }
 

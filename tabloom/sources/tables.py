@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tabloom.errors import InsufficientData, TableError
 from tabloom.functions.cells import ref, to_text
@@ -17,7 +17,7 @@ from tabloom.operators.rows import with_row_index
 
 # Quotes inside a cell are doubled; a cell may contain line breaks and keeps its spaces.
 _CSV_READ = {
-    "quote": '"', "escape": '"', "inferSchema": "false", "multiLine": "true",
+    "quote": '"', "escape": '"', "inferSchema": "false",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "encoding": "UTF-8",
 }
 _CSV_WRITE = {
@@ -51,10 +51,14 @@ def scan(
 def read_csv(spark: SparkSession, path: str | list[str], header: bool = True, **options) -> DataFrame:
     """CSV with every cell as text; short rows are padded with empty cells.
 
-    A byte order mark is ignored. Cells may hold line breaks, so one file is read by one
-    task; for single huge files with one record per line pass ``multiLine="false"`` to
-    have them read in blocks.
+    A byte order mark is ignored. Cells may hold line breaks. Where no line has an odd number
+    of quotes, no record goes beyond its line, and files are read in blocks by many tasks; else
+    one file is read by one task. One job looks at the lines for that; ``multiLine="true"`` or
+    ``"false"`` saves it.
     """
+    if "multiLine" not in options:
+        plain = not {"quote", "escape", "lineSep", "encoding", "charset"} & set(options)
+        options["multiLine"] = str(not plain or not _odd_lines(spark, path).isEmpty()).lower()
     reader = spark.read.options(**{**_CSV_READ, **options})
     df = reader.csv(path, header=header)
     if not df.columns:
@@ -65,6 +69,15 @@ def read_csv(spark: SparkSession, path: str | list[str], header: bool = True, **
     return df.toDF(*normalise_headers(cells))
 
 
+def _odd(line: Column) -> Column:
+    """Whether a line has an odd number of quotes, so that a cell goes on in the next one."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))).bitwiseAND(1) == 1
+
+
+def _odd_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path).where(_odd(F.col("value")))
+
+
 def _repeats(columns: list[str]) -> bool:
     """Whether the reader may have made repeated header names unique, by adding their index."""
     bases = [c.removesuffix(str(i)).lower() for i, c in enumerate(columns) if c.endswith(str(i))]
@@ -121,7 +134,9 @@ def scan_with_banner(
     """Delimited text whose header is row ``header_row``: ``(lead rows, data rows)``.
 
     Both carry ``row_no``; lead rows are raw lines, data rows are text cells. Only the
-    first ``header_row`` lines come to the driver. One record per line.
+    first ``header_row`` lines come to the driver. Where cells hold line breaks, rows below the
+    header are numbered by record, without lines that are empty, and one file is read by one
+    task; lead lines and the header have no such cells.
     """
     raw = spark.read.text(path)
     lines = with_row_index(raw).select(F.regexp_replace("value", _BYTE_ORDER_MARK, "").alias("value"), "row_no")
@@ -133,6 +148,13 @@ def scan_with_banner(
     parsed = F.from_csv("value", _ddl(names),
                         {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
     lead = lines.where(ref("row_no") < header_row).select("row_no", "value")
+    if not _odd_lines(spark, path).isEmpty():
+        # The CSV reader leaves out empty lines, so its records come that many numbers early.
+        reader = spark.read.schema(_ddl(names)).options(**{**_CSV_READ, "multiLine": "true", "sep": separator})
+        skipped = lines.where(ref("row_no") < header_row).agg(F.count_if(F.col("value") == "")).scalar()
+        records = with_row_index(reader.csv(path), "_record")
+        data = records.select((ref("_record") + skipped).alias("row_no"), *[ref(n) for n in names])
+        return lead, data.where(ref("row_no") > header_row)
     data = lines.where(ref("row_no") > header_row).select("row_no", parsed.alias("cells"))
     return lead, data.select("row_no", *[F.col("cells").getField(n).alias(n) for n in names])
 
@@ -166,15 +188,17 @@ def write_if(df: DataFrame, write: Callable[[DataFrame], None], found: DataFrame
     return True
 
 
-def _require_utf8(spark: SparkSession, path: str) -> None:
-    if not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty():
-        raise TableError("not valid UTF-8")
-
-
 def _load(spark: SparkSession, path: str, format: str) -> DataFrame:
+    options = {}
     if format == "csv":
-        _require_utf8(spark, path)
-    df = scan(spark, path, format)
+        # One look at the lines tells both whether they are text and whether cells hold breaks.
+        invalid, broken = spark.read.text(path).agg(
+            F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)),
+            F.coalesce(F.bool_or(_odd(F.col("value"))), F.lit(False))).first()
+        if invalid:
+            raise TableError("not valid UTF-8")
+        options["multiLine"] = str(broken).lower()
+    df = scan(spark, path, format, **options)
     if not df.columns:
         raise InsufficientData("no columns")
     return df

@@ -224,3 +224,44 @@ def test_stateless_steps_on_a_stream(spark, tmp_path):
     query.option("checkpointLocation", str(tmp_path / "state")).start(str(tmp_path / "out")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.id, r.half) for r in rows) == [(i, i / 2) for i in range(10, 100)]
+
+
+def test_range_reads_its_files_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for k in range(6):  # later files are larger, so that tasks don't get them in name order
+        spark.range(k * 100, k * 100 + 100, 1, 1).select("id", F.repeat(F.lit("x"), k * 50).alias("pad")).write.parquet(f"{path}/k{k}")
+    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    for start, end in ((1, 600), (150, 160), (100, 101), (600, 600), (500, 601), (0, 3), (9, 8)):
+        expected = list(range(start, end + 1)) if 1 <= start <= end <= 600 else []
+        got = tl.source_range(df, start, end).orderBy("row_no").collect()
+        assert [(r.id, r.row_no) for r in got] == [(n - 1, n) for n in expected]
+    with pytest.raises(tl.TableError):
+        tl.source_range(df.where("id > 3"), 1, 2)
+    assert tl.source_range(spark.range(5), 2, 3).count() == 2
+    within = tl.source_range(df, 150, 160)
+    for k in (0, 2, 5):
+        for part in (tmp_path / "t" / f"k{k}").glob("part-*"):
+            part.write_bytes(b"not to be read")
+    assert within.count() == 11
+
+
+def test_csv_is_read_in_blocks(spark, tmp_path):
+    rows = [f'{k},"a ""b"" {k}"' for k in range(4000)]
+    (tmp_path / "flat.csv").write_text("\n".join(["id,v", *rows]) + "\n")
+    (tmp_path / "deep.csv").write_text("\n".join(["id,v", *rows, '4000,"x\ny"']) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        flat, deep = (tl.read_csv(spark, str(tmp_path / f"{n}.csv")) for n in ("flat", "deep"))
+        assert flat.rdd.getNumPartitions() > 3 and deep.rdd.getNumPartitions() == 1
+        assert sorted((int(r.id), r.v) for r in flat.collect()) == [(k, f'a "b" {k}') for k in range(4000)]
+        assert deep.count() == 4001 and deep.where("id = '4000'").head().v == "x\ny"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_banner_with_line_breaks_in_cells(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('title\n\nid,v\n1,"a\nb"\n2,plain\n3,"c, ""d""\ne"\n')
+    lead, data = tl.scan_with_banner(spark, str(tmp_path / "q.csv"), header_row=3)
+    assert [tuple(r) for r in lead.orderBy("row_no").collect()] == [(1, "title"), (2, "")]
+    assert [tuple(r) for r in data.orderBy("row_no").collect()] == [
+        (4, "1", "a\nb"), (5, "2", "plain"), (6, "3", 'c, "d"\ne')]
