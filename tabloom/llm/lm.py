@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import in_fold, ship, written
-from tabloom.llm.exchange import ask, bucket_bits, by_bucket, cuts, gathered, pack, rows_of, unpack, write_chunks
+from tabloom.llm.exchange import ask, bucket_bits, bucketed, by_bucket, cuts, gathered, pack, rows_of, unpack, write_chunks
 from tabloom.llm.linear import per_document
 from tabloom.llm.textbatch import slices, spans_hash, words
 
-#: Restaurants below the root: the classes of the previous token (leading bits of its hash)
-#: that are most frequent in training. A token after any other is a customer of the root.
-CONTEXTS, CLASS_BITS = 255, 12
-ROOT = CONTEXTS
+#: Every previous word, by its 64-bit hash, has a restaurant below the root. A bucket numbers
+#: its own; one without a list of contexts has CONTEXTS. The number after the last is no
+#: restaurant: a customer, or a token, straight at the root.
+CONTEXTS = ROOT = 255
 #: Strengths of the context restaurants and the root, and the base measure's share for words
 #: that training doesn't have; the rest is even over those that it has.
 STRENGTH, ROOT_STRENGTH, UNKNOWN = 5.0, 1.0, 0.5
@@ -51,7 +51,7 @@ _FIELDS = "train binary, counts binary, keys binary, codes binary, tokens long,
 
 
 class _Tokens:
-    """A chunk's tokens, and for each the class of the token before it in its text."""
+    """A chunk's tokens, and for each the code of the token before it in its text."""
 
     def __init__(self, row: dict):
         self.ids = row["ids"]
@@ -60,100 +60,98 @@ class _Tokens:
         self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(self.counts)).astype(bool)
         self.keys = np.frombuffer(row["keys"], "<u8")
         self.codes = np.frombuffer(unpack(row["codes"], 4 * row["tokens"]), "<i4").astype(np.int64)
-        classes = (self.keys >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
-        before = np.empty(len(self.codes), np.int64)
-        before[1:] = classes[self.codes[:-1]]
-        before[self.first[:-1]] = int(_END[0] >> np.uint64(64 - CLASS_BITS))
-        self.before = before
+        self.before = np.empty(len(self.codes), np.int64)
+        self.before[1:] = self.codes[:-1]
+        self.before[self.first[:-1]] = np.searchsorted(self.keys, _END[0])  # each text has an end
 
-    def pairs(self, contexts: np.ndarray) -> np.ndarray:
-        """Each token's key and restaurant in one number that sorts like the keys."""
-        return self.codes * (ROOT + 1) + contexts[self.before]
+    def pairs(self) -> np.ndarray:
+        """Each token and the one before in one number that sorts like the keys."""
+        return self.codes * len(self.keys) + self.before
+
+    def apart(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the tokens of pairs and of those before them."""
+        return self.keys[pairs // len(self.keys)], self.keys[pairs % len(self.keys)]
 
     def training(self) -> np.ndarray:
         return np.repeat(self.train, self.counts)
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often a token of each class stands before a training token: one row per class and task."""
-    total = np.zeros(1 << CLASS_BITS, np.int64)
-    for batch in batches:
-        for row in rows_of(batch):
-            tokens = _Tokens(row)
-            total += np.bincount(tokens.before[tokens.training()], minlength=len(total))
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["class", "n"])
-
-
-def _runs(pairs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted pairs: the key of each, and where runs of one key begin, with the end."""
-    codes = pairs // (ROOT + 1)
-    begin = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    return keys[codes], begin, (pairs % (ROOT + 1)).astype(np.uint8)
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of sorted columns begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
 
 
 def _encode(keys: np.ndarray, dishes: np.ndarray, *columns: np.ndarray) -> bytes:
     """Sorted (key, restaurant) pairs: number of keys, keys, pairs of each key, restaurants, more."""
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    each = np.diff(np.append(begin, len(keys))).astype("<i2")
+    begin = _begins(keys)
+    each = np.diff(np.append(begin, len(keys))).astype("<i4")
     return len(begin).to_bytes(4, "little") + pack(keys[begin].astype("<u8"), each, dishes, *columns)
 
 
 def _decode(data: bytes, pairs: int, *kinds: str) -> tuple:
     """What _encode was given, with the keys' runs: keys, word of each pair, restaurants, more."""
     count = int.from_bytes(data[:4], "little")
-    extra = [np.dtype(k) for k in kinds]
-    raw = unpack(data[4:], 10 * count + pairs + sum(pairs * k.itemsize for k in extra))
-    keys = np.frombuffer(raw, "<u8", count)
-    each = np.frombuffer(raw, "<i2", count, 8 * count).astype(np.int64)
-    at = 10 * count
-    dishes = np.frombuffer(raw, np.uint8, pairs, at)
-    at += pairs
-    more = []
-    for k in extra:
-        more.append(np.frombuffer(raw, k, pairs, at))
-        at += pairs * k.itemsize
-    return keys, np.repeat(np.arange(count), each), dishes, *more
-
-
-def _training_entries(row: dict, contexts: np.ndarray):
+    keys, each, *more = _parts(data[4:], (count, "<u8"), (count, "<i4"), *((pairs, k) for k in kinds))
+    return keys, np.repeat(np.arange(count), each), *more
+
+
+def _parts(data: bytes, *parts: tuple[int, str]) -> list[np.ndarray]:
+    """The arrays that were packed together, by their lengths and types."""
+    sizes = [n * np.dtype(k).itemsize for n, k in parts]
+    raw, ends = unpack(data, sum(sizes)), np.cumsum([0, *sizes])
+    return [np.frombuffer(raw[a:a + size], k) for (_, k), a, size in zip(parts, ends, sizes)]
+
+
+def _training_entries(row: dict):
     tokens = _Tokens(row)
-    pairs, n = np.unique(tokens.pairs(contexts)[tokens.training()], return_counts=True)
-    keys, _, dishes = _runs(pairs, tokens.keys)
-    return keys, lambda a, b: _encode(keys[a:b], dishes[a:b], n[a:b].astype("<i8"))
+    pairs, n = np.unique(tokens.pairs()[tokens.training()], return_counts=True)
+    keys, contexts = tokens.apart(pairs)
+    return keys, lambda a, b: _encode(keys[a:b], contexts[a:b], n[a:b].astype("<i8"))
 
 
-def _asked_entries(row: dict, contexts: np.ndarray):
+def _asked_entries(row: dict):
     tokens = _Tokens(row)
-    keys, _, dishes = _runs(np.unique(tokens.pairs(contexts)), tokens.keys)
-    return keys, lambda a, b: _encode(keys[a:b], dishes[a:b])
+    keys, contexts = tokens.apart(np.unique(tokens.pairs()))
+    return keys, lambda a, b: _encode(keys[a:b], contexts[a:b])
+
+
+def _asked_contexts(row: dict):
+    keys = np.frombuffer(row["keys"], "<u8")
+    return keys, lambda a, b: pack(keys[a:b])
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """The counts of one bucket of words, over all chunks, as one row."""
+    """The counts of one bucket of words, over all chunks, as one row; it numbers its contexts."""
     rows = table.to_pylist()
-    keys, dishes, counts = [], [], []
+    keys, contexts, counts = [], [], []
     for row in rows:
-        own, word, dish, n = _decode(row["data"], row["size"], "<i8")
+        own, word, context, n = _decode(row["data"], row["size"], "<u8", "<i8")
         keys.append(own[word])
-        dishes.append(dish)
+        contexts.append(context)
         counts.append(n)
-    keys, dishes, counts = np.concatenate(keys), np.concatenate(dishes), np.concatenate(counts)
-    order = np.lexsort((dishes, keys))
-    keys, dishes = keys[order], dishes[order]
-    begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (dishes[1:] != dishes[:-1])]))
+    keys, contexts, counts = np.concatenate(keys), np.concatenate(contexts), np.concatenate(counts)
+    order = np.lexsort((contexts, keys))
+    keys, contexts = keys[order], contexts[order]
+    begin = _begins(keys, contexts)
     counts = np.add.reduceat(counts[order], begin)
+    names, dishes = np.unique(contexts[begin], return_inverse=True)
     return pa.table({
         "bucket": pa.array([rows[0]["bucket"]], pa.int32()), "size": pa.array([len(begin)], pa.int64()),
-        "data": pa.array([_encode(keys[begin], dishes[begin], counts.astype("<i8"))], pa.binary())})
+        "data": pa.array([_encode(keys[begin], dishes.astype("<i4"), counts.astype("<i8"))], pa.binary()),
+        "contexts": pa.array([names.astype("<u8").tobytes()], pa.binary())})
 
 
 class Totals(NamedTuple):
-    """Tables of each context restaurant, tables and customers of the root."""
+    """Tables of each context restaurant, tables and customers of the root; the draws of what
+    pulls customers to new tables, or None for their means."""
 
     tables: np.ndarray
     root_tables: float
     root_customers: float
+    pulls: np.ndarray | None = None
+    root_pull: float | None = None
 
 
 class Settings(NamedTuple):
@@ -167,38 +165,64 @@ class Settings(NamedTuple):
     seed: int
 
 
+class State(NamedTuple):
+    """Tables of each dish and of each word in the root, and the customers at the largest of them."""
+
+    seated: np.ndarray
+    rest: np.ndarray
+    tables: np.ndarray
+    root_rest: np.ndarray
+
+
 class Bucket:
     """The dishes of a bucket of words: every customer of a word, in whichever restaurant."""
 
     def __init__(self, row: dict):
         self.number = row["bucket"]
-        self.keys, word, dishes, counts = _decode(row["data"], row["size"], "<i8")
-        below = dishes != ROOT
+        self.contexts = np.frombuffer(row["contexts"], "<u8") if row.get("contexts") is not None else None
+        self.restaurants = CONTEXTS if self.contexts is None else len(self.contexts)
+        self.keys, word, dishes, counts = _decode(row["data"], row["size"], "u1" if self.contexts is None else "<i4", "<i8")
+        below = dishes != self.restaurants
         self.word, self.dish, self.count = word[below], dishes[below].astype(np.int64), counts[below]
         self.total = np.bincount(word, counts, len(self.keys)).astype(np.int64)
         self.direct = self.total - np.bincount(self.word, self.count, len(self.keys)).astype(np.int64)
 
+    def root_customers(self, seated: np.ndarray) -> np.ndarray:
+        return self.direct + np.bincount(self.word, seated, len(self.keys)).astype(np.int64)
+
+    def start(self) -> State:
+        ones = np.ones(len(self.count), np.int64)
+        return State(ones, self.count, np.ones(len(self.keys), np.int64), self.root_customers(ones))
+
     def root_prediction(self, customers, tables, totals: Totals, settings: Settings) -> np.ndarray:
         base = (1 - UNKNOWN) / max(settings.words, 1)
         mass = customers - settings.root_discount * tables
         return (mass + (ROOT_STRENGTH + settings.root_discount * totals.root_tables) * base) / (totals.root_customers + ROOT_STRENGTH)
 
-    def sweeps(self, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """After each sweep: tables of each dish, customers and tables of each word in the root.
-
-        A sweep takes all customers of a dish out and seats them again in turn, given the word's
-        prediction by the parent restaurant and the other totals of the sweep before.
-        """
-        customers, tables = self.direct + np.bincount(self.word, minlength=len(self.keys)), np.ones(len(self.keys))
-        base = np.full(len(self.keys), (1 - UNKNOWN) / max(settings.words, 1))
+    def sweep(self, state: State, k: int, totals: Totals, settings: Settings) -> State:
+        """Take all customers of each dish out and seat them again in turn, given the word's
+        prediction by the root and the other totals of the sweep before."""
+        rng = np.random.default_rng([settings.seed, self.number, k])
+        base = (1 - UNKNOWN) / max(settings.words, 1)
+        root_pull = ROOT_STRENGTH + settings.root_discount * totals.root_tables if totals.root_pull is None else totals.root_pull
+        pulls = STRENGTH + settings.discount * totals.tables if totals.pulls is None else totals.pulls
+        above = self.root_prediction(self.root_customers(state.seated), state.tables, totals, settings)
+        seated = seat(self.count, pulls[self.dish] * above[self.word], settings.discount, rng)
+        customers = self.root_customers(seated)
+        return state._replace(seated=seated, tables=seat(customers, np.full(len(customers), root_pull * base), settings.root_discount, rng))
+
+    def sweeps(self, settings: Settings) -> Iterator[State]:
+        state = self.start()
         for k, totals in enumerate(settings.history):
-            rng = np.random.default_rng([settings.seed, self.number, k])
-            above = self.root_prediction(customers, tables, totals, settings)
-            opening = (STRENGTH + settings.discount * totals.tables)[self.dish] * above[self.word]
-            seated = seat(self.count, opening, settings.discount, rng)
-            customers = self.direct + np.bincount(self.word, seated, len(self.keys)).astype(np.int64)
-            tables = seat(customers, (ROOT_STRENGTH + settings.root_discount * totals.root_tables) * base, settings.root_discount, rng)
-            yield seated, customers, tables
+            state = self.sweep(state, k, totals, settings)
+            yield state
+
+    def pack_state(self, state: State) -> bytes:
+        return pack(state.seated.astype("<i8"), state.rest.astype("<i8"), state.tables.astype("<i8"), state.root_rest.astype("<i8"))
+
+    def unpack_state(self, data: bytes) -> State:
+        n, words_ = len(self.count), len(self.keys)
+        return State(*_parts(data, (n, "<i8"), (n, "<i8"), (words_, "<i8"), (words_, "<i8")))
 
 
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -225,27 +249,11 @@ def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.ra
     return result
 
 
-def _summed(model: DataFrame, measure) -> dict[int, float]:
-    """Sums over all buckets of the values that `measure(bucket)` gives by number; few numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, float] = {}
-        for batch in batches:
-            for row in rows_of(batch):
-                for k, v in measure(Bucket(row)).items():
-                    total[k] = total.get(k, 0) + float(v)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())], names=["k", "v"])
-
-    # Ordered, so that sums of floats come out the same each time; all terms are whole numbers.
-    return {r["k"]: r["v"] for r in model.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-
-
-def _start(bucket: Bucket) -> dict[int, float]:
+def _start(bucket: Bucket) -> np.ndarray:
     """Customers and dishes of each context, then counts of the root."""
-    found = dict(enumerate(np.bincount(bucket.dish, bucket.count, CONTEXTS)))
-    found |= {CONTEXTS + k: n for k, n in enumerate(np.bincount(bucket.dish, minlength=CONTEXTS))}
+    n = bucket.restaurants
     root = (len(bucket.keys), bucket.total.sum(), bucket.direct.sum() + len(bucket.dish), (bucket.count == 1).sum(), (bucket.count == 2).sum(), (bucket.total == 1).sum(), (bucket.total == 2).sum())
-    return found | {2 * CONTEXTS + k: n for k, n in enumerate(root)}
+    return np.concatenate([np.bincount(bucket.dish, bucket.count, n), np.bincount(bucket.dish, minlength=n), root])
 
 
 def _discount(once: float, twice: float) -> float:
@@ -253,14 +261,13 @@ def _discount(once: float, twice: float) -> float:
     return float(min(max(once / max(once + 2 * twice, 1), 0.05), 0.95))
 
 
-def _after_sweep(settings: Settings):
-    def measure(bucket: Bucket) -> dict[int, float]:
-        for seated, customers, tables in bucket.sweeps(settings):
-            pass
-        found = dict(enumerate(np.bincount(bucket.dish, seated, CONTEXTS)))
-        return found | {CONTEXTS: tables.sum(), CONTEXTS + 1: customers.sum()}
+def _sums(bucket: Bucket, state: State) -> np.ndarray:
+    """Tables of each context, then tables and customers of the root."""
+    return np.concatenate([np.bincount(bucket.dish, state.seated, bucket.restaurants), [state.tables.sum(), bucket.direct.sum() + state.seated.sum()]])
+
 
-    return measure
+def _after_sweep(settings: Settings):
+    return lambda bucket: _sums(bucket, list(bucket.sweeps(settings))[-1])
 
 
 class Prediction(NamedTuple):
@@ -271,72 +278,226 @@ class Prediction(NamedTuple):
     unknown: np.ndarray
 
 
+def _unknown_root(totals: Totals, settings: Settings) -> float:
+    return (ROOT_STRENGTH + settings.root_discount * totals.root_tables) / (totals.root_customers + ROOT_STRENGTH) * UNKNOWN
+
+
 def _prediction(settings: Settings) -> Prediction:
     samples = settings.history[-SAMPLES:]
-    shares = np.ones((ROOT + 1, SAMPLES))
+    shares = np.ones((len(settings.customers) + 1, SAMPLES))
     for k, totals in enumerate(samples):
-        shares[:ROOT, k] = (STRENGTH + settings.discount * totals.tables) / (settings.customers + STRENGTH)
-    root = np.array([(ROOT_STRENGTH + settings.root_discount * t.root_tables) / (t.root_customers + ROOT_STRENGTH) * UNKNOWN for t in samples])
-    return Prediction(settings, shares, (shares * root).mean(axis=1))
+        shares[:-1, k] = (STRENGTH + settings.discount * totals.tables) / (settings.customers + STRENGTH)
+    return Prediction(settings, shares, (shares * np.array([_unknown_root(t, settings) for t in samples])).mean(axis=1))
+
+
+def _sampled(bucket: Bucket, states: list[State], after: list[Totals], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Root predictions of each word in each sample, and each dish's own averaged mass."""
+    roots = [bucket.root_prediction(bucket.root_customers(s.seated), s.tables, totals, settings) for s, totals in zip(states, after, strict=True)]
+    return np.stack(roots, axis=1), np.mean([bucket.count - settings.discount * s.seated for s in states], axis=0)
 
 
 def _averaged(bucket: Bucket, prediction: Prediction) -> tuple[np.ndarray, np.ndarray]:
     """Root predictions of each word in each sample, and each dish's own averaged probability."""
     settings = prediction.settings
-    roots, own = [], np.zeros(len(bucket.dish))
-    for k, (seated, customers, tables) in enumerate(bucket.sweeps(settings._replace(history=settings.history[:-1]))):
-        if k >= BURN_IN:
-            roots.append(bucket.root_prediction(customers, tables, settings.history[k + 1], settings))
-            own += (bucket.count - settings.discount * seated) / (settings.customers[bucket.dish] + STRENGTH) / SAMPLES
-    return np.stack(roots, axis=1), own
+    states = list(bucket.sweeps(settings._replace(history=settings.history[:-1])))[BURN_IN:]
+    roots, mass = _sampled(bucket, states, settings.history[-SAMPLES:], settings)
+    return roots, mass / (settings.customers[bucket.dish] + STRENGTH)
+
+
+#: Messages between buckets of words and of contexts. Rows of a bucket's own have no room (-1).
+_MESSAGE = "bucket int, room int, data binary, tables double, customers double"
+
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.float64())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "room", "data", "tables", "customers"), columns, kinds, strict=True)})
 
 
-def _answer(prediction: Prediction):
+def _uneven(bucket: Bucket) -> np.ndarray:
+    """Contexts whose tables in this bucket may change: those with a dish of two customers or more."""
+    found = np.zeros(bucket.restaurants, bool)
+    found[bucket.dish[bucket.count > 1]] = True
+    return found
+
+
+def _links(bits: int):
+    """Model rows to what the rooms start from: contexts, their customers and dishes, and whether they change."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                bucket = Bucket(row)
+                start, uneven, n = _start(bucket), _uneven(bucket).astype("u1"), bucket.restaurants
+                rooms, ends = cuts(bucket.contexts, bits)
+                rows = []
+                for room, a, b in zip(rooms, ends[:-1], ends[1:], strict=True):
+                    rows.append((bucket.number, int(room), pack(bucket.contexts[a:b], start[a:b].astype("<i8"), start[n + a:n + b].astype("<i8"), uneven[a:b]), float(b - a), None))
+                yield from _messages(rows).to_batches()
+
+    return run
+
+
+_ROOM = "room int, size long, links long, data binary, askers binary"
+
+
+def _room(table: pa.Table) -> pa.Table:
+    """A bucket of contexts as one row: contexts, customers, dishes, tables that never change,
+    and for each asking bucket the places of its contexts that do."""
+    keys, customers, dishes, links = [], [], [], []
+    for row in sorted(table.to_pylist(), key=lambda row: row["bucket"]):
+        n = int(row["tables"])
+        key, c, d, uneven = _parts(row["data"], (n, "<u8"), (n, "<i8"), (n, "<i8"), (n, "u1"))
+        keys.append(key)
+        customers.append(c)
+        dishes.append(d)
+        links.append((row["bucket"], uneven.astype(bool)))
+    names, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = lambda values: np.bincount(place, np.concatenate(values), len(names)).astype("<i8")
+    fixed = total([np.where(uneven, 0, d) for d, (_, uneven) in zip(dishes, links, strict=True)])
+    changing = place[np.concatenate([uneven for _, uneven in links])].astype("<i4")
+    askers = np.array([(b, uneven.sum()) for b, uneven in links if uneven.any()], "<i8").reshape(-1, 2)
+    return pa.table({
+        "room": pa.array([table["room"][0].as_py()], pa.int32()), "size": pa.array([len(names)], pa.int64()), "links": pa.array([len(changing)], pa.int64()),
+        "data": pa.array([pack(names, total(customers), total(dishes), fixed, changing)], pa.binary()), "askers": pa.array([askers.tobytes()], pa.binary())})
+
+
+class Room:
+    """A bucket of contexts."""
+
+    def __init__(self, row: dict):
+        n = row["size"]
+        self.number = row["room"]
+        self.keys, self.customers, self.dishes, self.fixed, self.changing = _parts(row["data"], (n, "<u8"), (n, "<i8"), (n, "<i8"), (n, "<i8"), (row["links"], "<i4"))
+        self.askers = np.frombuffer(row["askers"], "<i8").reshape(-1, 2)
+
+
+def _drawn(discount: float, seed: int, k: int):
+    """Tables that the buckets sent to the totals of the contexts, and the pulls drawn for them."""
+
+    def run(sent: pa.Table, rooms: pa.Table) -> pa.Table:
+        room = Room(rooms.to_pylist()[0])
+        tables = room.dishes.astype(float)
+        if k:
+            data = [_parts(row["data"], (int(row["tables"]), "<i8"))[0] for row in sorted(sent.to_pylist(), key=lambda row: row["bucket"])]
+            tables = room.fixed + np.bincount(room.changing, np.concatenate([np.zeros(0), *data]), len(room.keys))
+        pulls = discount * np.random.default_rng([seed, room.number, k, 1]).gamma(STRENGTH / discount + tables)
+        ends = np.concatenate([[0], np.cumsum(room.askers[:, 1])])
+        rows = [(-1, room.number, pack(tables.astype("<i8")), None, None)]
+        for (bucket, n), a in zip(room.askers.tolist(), ends[:-1]):
+            rows.append((bucket, room.number, pack(pulls[room.changing[a:a + n]].astype("<f8")), float(n), None))
+        return _messages(rows)
+
+    return run
+
+
+def _swept(settings: Settings, k: int, bits: int):
+    """A sweep of a bucket: its state, and for each room the tables of the contexts that change."""
+    totals = settings.history[-1]
+
+    def run(got: pa.Table, model: pa.Table) -> pa.Table:
+        bucket = Bucket(model.to_pylist()[0])
+        rows = sorted(got.to_pylist(), key=lambda row: row["room"])
+        uneven = np.flatnonzero(_uneven(bucket))
+        pulls = np.ones(bucket.restaurants)  # of no matter where each dish has one customer
+        pulls[uneven] = np.concatenate([np.zeros(0), *[_parts(r["data"], (int(r["tables"]), "<f8"))[0] for r in rows if r["room"] >= 0]])
+        before = [bucket.unpack_state(r["data"]) for r in rows if r["room"] < 0]
+        state = bucket.sweep(before[0] if before else bucket.start(), k, totals._replace(pulls=pulls), settings)
+        sums = _sums(bucket, state)
+        out = [(bucket.number, -1, bucket.pack_state(state), *map(float, sums[-2:]))]
+        rooms, ends = cuts(bucket.contexts[uneven], bits)
+        for room, a, b in zip(rooms, ends[:-1], ends[1:], strict=True):
+            out.append((bucket.number, int(room), pack(sums[uneven[a:b]].astype("<i8")), float(b - a), None))
+        return _messages(out)
+
+    return run
+
+
+_ANSWER = "chunk long, bucket int, data binary"
+
+
+def _answers(rows: list[dict], data: list[bytes], sign: int = 1) -> pa.Table:
+    """Buckets of words answer under their number, rooms under -1 - theirs."""
+    return pa.table({
+        "chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] if sign > 0 else -1 - r["bucket"] for r in rows], pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def _answer(settings: Settings):
+    """For each key asked: customers and root predictions; for each pair its own mass."""
+    after = settings.history[-SAMPLES:]
+    unknown = np.array([_unknown_root(t, settings) for t in after])
+
     def run(asked: pa.Table, model: pa.Table) -> pa.Table:
         rows = sorted(asked.to_pylist(), key=lambda row: row["chunk"])
-        bucket = Bucket(model.to_pylist()[0]) if model.num_rows else None
+        parts = sorted(model.to_pylist(), key=lambda row: row["sample"])
+        bucket = Bucket(parts[0]) if parts else None
         if bucket:
-            roots, own = _averaged(bucket, prediction)
-            places = bucket.word * (ROOT + 1) + bucket.dish
+            roots, own = _sampled(bucket, [bucket.unpack_state(p["data"]) for p in parts[1:]], after, settings)
+            places = bucket.word * bucket.restaurants + bucket.dish
         data = []
         for row in rows:
-            keys, word, dish = _decode(row["data"], row["size"])
-            chance, count = prediction.unknown[dish], np.zeros(len(keys), np.int64)
+            keys, word, contexts = _decode(row["data"], row["size"], "<u8")
+            count, chances, mass = np.zeros(len(keys), np.int64), np.tile(unknown, (len(keys), 1)), np.zeros(len(word))
             if bucket:
                 at = np.minimum(np.searchsorted(bucket.keys, keys), len(bucket.keys) - 1)
                 known = bucket.keys[at] == keys
-                count[known] = bucket.total[at[known]]
-                pairs = np.flatnonzero(known[word])
-                here, dishes = at[word[pairs]], dish[pairs].astype(np.int64)
-                chance[pairs] = (roots[here] * prediction.shares[dishes]).mean(axis=1)
-                if len(places):
-                    wanted = here * (ROOT + 1) + dishes
-                    found = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-                    chance[pairs] += np.where(places[found] == wanted, own[found], 0)
-            data.append(len(keys).to_bytes(4, "little") + pack(count.astype("<i8"), np.log10(chance).astype("<f4")))
-        return pa.table({
-            "chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "data": pa.array(data, pa.binary())})
+                count[known], chances[known] = bucket.total[at[known]], roots[at[known]]
+                dish = np.minimum(np.searchsorted(bucket.contexts, contexts), bucket.restaurants - 1)
+                pairs = np.flatnonzero(known[word] & (bucket.contexts[dish] == contexts))
+                wanted = at[word[pairs]] * bucket.restaurants + dish[pairs]
+                found = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+                mass[pairs] = np.where(places[found] == wanted, own[found], 0)
+            data.append(len(keys).to_bytes(4, "little") + pack(count.astype("<i8"), chances.astype("<f4"), mass.astype("<f4")))
+        return _answers(rows, data)
 
     return run
 
 
-def _document_scores(row: dict, contexts: np.ndarray, bits: int, tokens_total: int, words_total: int) -> dict:
+def _context_answer(asked: pa.Table, rooms: pa.Table) -> pa.Table:
+    """For each context asked: its customers, and its tables in each sample."""
+    rows = sorted(asked.to_pylist(), key=lambda row: row["chunk"])
+    parts = sorted(rooms.to_pylist(), key=lambda row: row["sample"])
+    room = Room(parts[0]) if parts else None
+    if room:
+        values = np.stack([room.customers, *[_parts(p["data"], (len(room.keys), "<i8"))[0] for p in parts[1:]]], axis=1)
+    data = []
+    for row in rows:
+        (keys,) = _parts(row["data"], (row["size"], "<u8"))
+        found = np.zeros((len(keys), 1 + SAMPLES), "<i8")
+        if room:
+            at = np.minimum(np.searchsorted(room.keys, keys), len(room.keys) - 1)
+            known = room.keys[at] == keys
+            found[known] = values[at[known]]
+        data.append(pack(found))
+    return _answers(rows, data, -1)
+
+
+def _document_scores(row: dict, settings: Settings, bits: int, tokens_total: int) -> dict:
     tokens = _Tokens(row)
-    pairs, which = np.unique(tokens.pairs(contexts), return_inverse=True)
-    keys, _, _ = _runs(pairs, tokens.keys)
-    answers, buckets_and_ends = by_bucket(row["answers"]), cuts(keys, bits)
-    counts, logs = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-    for b, start, stop in zip(buckets_and_ends[0], buckets_and_ends[1][:-1], buckets_and_ends[1][1:], strict=True):
-        data = answers[int(b)]
-        n = int.from_bytes(data[:4], "little")
-        raw = unpack(data[4:], 8 * n + 4 * int(stop - start))
-        counts.append(np.frombuffer(raw, "<i8", n))
-        logs.append(np.frombuffer(raw, "<f4", int(stop - start), 8 * n))
-    count, log = np.concatenate(counts), np.concatenate(logs).astype(float)
-    base = np.log10(count + 1.0) - np.log10(float(tokens_total + words_total + 1))
+    pairs, which = np.unique(tokens.pairs(), return_inverse=True)
+    word, context = pairs // len(tokens.keys), pairs % len(tokens.keys)
+    answers = by_bucket(row["answers"])
+    counts, roots, own = [np.zeros(0, np.int64)], [np.zeros((0, SAMPLES), "<f4")], [np.zeros(0, "<f4")]
+    buckets, ends = cuts(tokens.keys[word], bits)
+    for b, start, stop in zip(buckets, ends[:-1], ends[1:], strict=True):
+        n = int.from_bytes(answers[int(b)][:4], "little")
+        count, root, mass = _parts(answers[int(b)][4:], (n, "<i8"), (SAMPLES * n, "<f4"), (int(stop - start), "<f4"))
+        counts.append(count)
+        roots.append(root.reshape(-1, SAMPLES))
+        own.append(mass)
+    rooms, ends = cuts(tokens.keys, bits)
+    found = [_parts(answers[-1 - int(b)], (int(stop - start) * (1 + SAMPLES), "<i8"))[0].reshape(-1, 1 + SAMPLES) for b, start, stop in zip(rooms, ends[:-1], ends[1:], strict=True)]
+    found = np.concatenate([np.zeros((0, 1 + SAMPLES), np.int64), *found])
+    customers = found[:, 0] + STRENGTH
+    shares = (STRENGTH + settings.discount * found[:, 1:]) / customers[:, None]
+    count, roots = np.concatenate(counts), np.concatenate(roots)
+    chance = np.concatenate(own) / customers[context]
+    for k in range(SAMPLES):
+        chance += roots[word, k] * shares[context, k] / SAMPLES
+    base = np.log10(count + 1.0) - np.log10(float(tokens_total + settings.words + 1))
     return {
         "id": row["ids"], "n_tokens": tokens.counts, "n_known": per_document(count[tokens.codes] > 0, tokens.first).astype(np.int64),
-        "base_score": per_document(base[tokens.codes], tokens.first), "score": per_document(log[which], tokens.first),
+        "base_score": per_document(base[tokens.codes], tokens.first), "score": per_document(np.log10(chance)[which], tokens.first),
     }
 
 
@@ -347,11 +508,11 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
     each text. Scores are log10 probabilities of the whole text: base_score by add-one counts,
     score by the model, learned from the rows where `train` holds (all if it is None).
 
-    The root restaurant has a customer for each table of the context restaurants below it, and
-    for each token in no context. All customers of a word, wherever they sit, are in one bucket
-    of words, so a sweep needs of other buckets only the restaurants' totals, a few hundred
-    numbers, taken from the sweep before. Buckets are seated anew from the seed in each job, so
-    nothing but these totals passes between jobs, and a lost executor changes nothing.
+    Every previous token has a restaurant of its own below the root, which has a customer for
+    each table there. Dishes lie in buckets of words, restaurants in buckets of contexts
+    (rooms). A sweep sends each bucket the pulls of its contexts, drawn in their rooms, and the
+    rooms the tables; contexts whose dishes have one customer each are sent once. Tables are
+    written after each sweep, so a lost executor changes nothing.
 
     A null text is empty and has the end only; without training rows all tokens are unknown;
     ids may be null; rows with one id are documents of their own; an empty table gives an empty
@@ -363,34 +524,53 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
     flag = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
     chunks = write_chunks(
         docs.select(F.col(id_column), F.col(text_column).alias("text"), flag.alias("train")), _make, f"ids array<{kind}>, {_FIELDS}", CHUNK_BYTES)
-    entries = chunks.agg(F.sum("distinct")).first()[0] or 0
-    bits = bucket_bits(spark, entries)
-
-    frequent = chunks.mapInArrow(_class_counts, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "class").limit(CONTEXTS).collect()
-    contexts = np.full(1 << CLASS_BITS, ROOT, np.int64)
-    contexts[[r["class"] for r in frequent]] = np.arange(len(frequent))
-
-    model = written(
-        ask(chunks, lambda row: _training_entries(row, contexts), bits)
-        .groupBy("bucket").applyInArrow(_merged, "bucket int, size long, data binary"), compression="none")
-    start = _summed(model, _start)
-    customers = np.array([start.get(k, 0) for k in range(CONTEXTS)])
-    n_words, n_tokens, root_customers, *counts = (start.get(2 * CONTEXTS + k, 0) for k in range(7))
-    first = Totals(np.array([start.get(CONTEXTS + k, 0) for k in range(CONTEXTS)]), n_words, root_customers)
-    settings = Settings(customers, int(n_words), _discount(*counts[:2]), _discount(*counts[2:]), [first], seed)
-    for _ in range(BURN_IN + SAMPLES):
-        sums = _summed(model, _after_sweep(settings))
-        after = Totals(np.array([sums.get(k, 0) for k in range(CONTEXTS)]), sums.get(CONTEXTS, 0), sums.get(CONTEXTS + 1, 0))
-        settings = settings._replace(history=[*settings.history, after])
-
-    asked = ask(chunks, lambda row: _asked_entries(row, contexts), bits)
+    entries = chunks.agg(F.sum("tokens")).first()[0] or 0
+    bits, parts = bucket_bits(spark, entries), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    model = bucketed(
+        ask(chunks, _training_entries, bits).groupBy("bucket").applyInArrow(_merged, "bucket int, size long, data binary, contexts binary"), "bucket", parts)
+    rooms = bucketed(model.mapInArrow(_links(bits), _MESSAGE).groupBy("room").applyInArrow(_room, _ROOM), "room", parts)
+
+    def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in _start(Bucket(row))[-7:]], names=[f"n{k}" for k in range(7)])
+
+    counted = model.mapInArrow(root, ", ".join(f"n{k} long" for k in range(7))).agg(*[F.sum(f"n{k}") for k in range(7)]).first()
+    n_words, n_tokens, root_customers, *counts = (n or 0 for n in counted)
+    settings = Settings(np.zeros(0), n_words, _discount(*counts[:2]), _discount(*counts[2:]), [], seed)
+    none = np.zeros(0)
+    rng = np.random.default_rng(seed)
+    after, states, tables = (n_words, root_customers), [], []
+    for k in range(BURN_IN + SAMPLES + 1):
+        pull = settings.root_discount * rng.gamma(ROOT_STRENGTH / settings.root_discount + after[0])
+        settings = settings._replace(history=[*settings.history, Totals(none, *after, None, pull)])
+        sent = states[-1].where("room >= 0") if k else spark.createDataFrame([], _MESSAGE)
+        drawn = written(sent.groupBy("room").cogroup(rooms.groupBy("room")).applyInArrow(_drawn(settings.discount, seed, k), _MESSAGE), compression="none")
+        tables.append(drawn.where("bucket < 0"))
+        if k == BURN_IN + SAMPLES:
+            break
+        got = drawn.where("bucket >= 0")
+        got = got.unionByName(states[-1].where("room < 0")) if k else got
+        states.append(written(got.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_swept(settings, k, bits), _MESSAGE), compression="none"))
+        after = tuple(n or 0 for n in states[-1].where("room < 0").agg(F.sum("tables"), F.sum("customers")).first())
+
+    # Of the model: its own rows as sample -1, then what the samples left.
+    def with_samples(own: DataFrame, name: str, samples: list[DataFrame]) -> DataFrame:
+        for k, rows in enumerate(samples):
+            own = own.unionByName(rows.select(name, "data", F.lit(k).alias("sample")), allowMissingColumns=True)
+        return own.withColumnRenamed(name, "bucket")
+
+    learned = with_samples(model.withColumn("sample", F.lit(-1)), "bucket", [s.where("room < 0") for s in states[-SAMPLES:]])
+    seated = with_samples(rooms.withColumn("sample", F.lit(-1)), "room", tables[-SAMPLES:]).withColumn("room", F.col("bucket"))
     replies = gathered(
-        asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_answer(_prediction(settings)), "chunk long, bucket int, data binary"))
+        ask(chunks, _asked_entries, bits).groupBy("bucket").cogroup(learned.groupBy("bucket")).applyInArrow(_answer(settings), _ANSWER)
+        .unionByName(ask(chunks, _asked_contexts, bits).groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_context_answer, _ANSWER)))
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                found = _document_scores(row, contexts, bits, int(n_tokens), int(n_words))
+                found = _document_scores(row, settings, bits, int(n_tokens))
                 yield pa.RecordBatch.from_arrays(
                     [found["id"]] + [pa.array(found[k]) for k in ("n_tokens", "n_known", "base_score", "score")],
                     names=["id", "n_tokens", "n_known", "base_score", "score"])

@@ -101,6 +101,16 @@ def test_seating():
     assert abs(lm.seat(np.full(200, 3000), np.full(200, 3.0), 0.0, rng).mean() - sum(3 / (3 + n) for n in range(3000))) < 1.5
 
 
+def test_every_previous_word_is_a_context(spark):
+    """What follows a word is known for each of 3,000 words, not for the most frequent only."""
+    n, rng = 3000, np.random.default_rng(3)
+    rows = [(k, " ".join(f"c{i} w{i}" for i in rng.permutation(n)), True) for k in range(4)]
+    rows += [(100 + 2 * i + off, f"c{i} w{(i + off) % n}", False) for i in range(n) for off in (0, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    score = {r["doc_id"]: r["score"] for r in lm.score_documents(table, table["train"]).collect()}
+    assert all(score[100 + 2 * i] - score[101 + 2 * i] > 1 for i in range(n))
+
+
 # --- quality
 
 def slow_counts(text):
