@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -24,8 +25,8 @@ CONTEXTS = ROOT = 255
 STRENGTH, ROOT_STRENGTH, UNKNOWN = 5.0, 1.0, 0.5
 #: Gibbs sweeps before the first sample, and samples whose predictions are averaged.
 BURN_IN, SAMPLES = 2, 3
-#: Customers of a dish that are seated one by one; the rest come in groups of one part in BLOCK.
-ONE_BY_ONE, BLOCK = 256, 64
+#: Customers of a dish up to which all numbers of tables are weighed; above, Metropolis steps a sweep.
+SMALL, STEPS = 64, 8
 CHUNK_BYTES = 8 << 20
 
 _END = spans_hash(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))  # no word holds a line break
@@ -200,16 +201,26 @@ class Bucket:
         return (mass + (ROOT_STRENGTH + settings.root_discount * totals.root_tables) * base) / (totals.root_customers + ROOT_STRENGTH)
 
     def sweep(self, state: State, k: int, totals: Totals, settings: Settings) -> State:
-        """Take all customers of each dish out and seat them again in turn, given the word's
-        prediction by the root and the other totals of the sweep before."""
+        """One Gibbs sweep: the root's probabilities, then the tables of all dishes given them,
+        then the tables of the root.
+
+        Given the pulls (gamma variables that stand for the restaurants' totals) and the root's
+        probabilities, drawn from their law given the tables at hand, dishes are independent, and
+        each gets its number of tables from the exact law given its customers. Only the root's
+        total mass is not drawn but set to its mean.
+        """
         rng = np.random.default_rng([settings.seed, self.number, k])
         base = (1 - UNKNOWN) / max(settings.words, 1)
         root_pull = ROOT_STRENGTH + settings.root_discount * totals.root_tables if totals.root_pull is None else totals.root_pull
         pulls = STRENGTH + settings.discount * totals.tables if totals.pulls is None else totals.pulls
-        above = self.root_prediction(self.root_customers(state.seated), state.tables, totals, settings)
-        seated = seat(self.count, pulls[self.dish] * above[self.word], settings.discount, rng)
+        before = self.root_customers(state.seated)
+        mass = rng.gamma(before - settings.root_discount * state.tables) + _tilted_stable(len(before), root_pull * base, settings.root_discount, rng)
+        above = mass / (totals.root_customers + ROOT_STRENGTH)
+        seated, rest = reseat(self.count, pulls[self.dish] * above[self.word], settings.discount, rng, state.seated, state.rest)
         customers = self.root_customers(seated)
-        return state._replace(seated=seated, tables=seat(customers, np.full(len(customers), root_pull * base), settings.root_discount, rng))
+        # Metropolis steps start from tables that the new customers allow.
+        tables, root_rest = reseat(customers, np.full(len(customers), root_pull * base), settings.root_discount, rng, *_fitted(state, before, customers))
+        return State(seated, rest, tables, root_rest)
 
     def sweeps(self, settings: Settings) -> Iterator[State]:
         state = self.start()
@@ -225,28 +236,113 @@ class Bucket:
         return State(*_parts(data, (n, "<i8"), (n, "<i8"), (words_, "<i8"), (words_, "<i8")))
 
 
+def _fitted(state: State, before: np.ndarray, customers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Root tables to go on from: those of the sweep before with the change in customers at the
+    largest, or one table for all where that can't be."""
+    rest = state.root_rest + customers - before
+    fits = (state.root_rest > 0) & (rest > 0)
+    return np.where(fits, state.tables, 1), np.where(fits, rest, customers)
+
+
+def _tilted_stable(n: int, opening: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Masses that new tables have, with Laplace exponent opening / discount ((1 + s)^discount - 1):
+    stable variables (Kanter's form), each kept with probability exp(-itself)."""
+    found, left = np.zeros(n), np.arange(n)
+    while opening > 0 and len(left):
+        u = rng.uniform(0, np.pi, len(left))
+        shape = np.sin((1 - discount) * u) * np.sin(discount * u) ** (discount / (1 - discount)) / np.sin(u) ** (1 / (1 - discount))
+        drawn = (opening / discount) ** (1 / discount) * (shape / rng.exponential(size=len(left))) ** ((1 - discount) / discount)
+        kept = rng.random(len(left)) < np.exp(-drawn)
+        found[left[kept]] = drawn[kept]
+        left = left[~kept]
+    return found
+
+
+@lru_cache(4)
+def _ways(discount: float) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: weights of t tables for n <= SMALL customers."""
+    ways = np.zeros((SMALL + 1, SMALL + 1))
+    ways[1, 1] = 1
+    for n in range(1, SMALL):
+        t = np.arange(1, n + 2)
+        ways[n + 1, t] = ways[n, t - 1] + np.maximum(n - t * discount, 0) * ways[n, t]
+    with np.errstate(divide="ignore"):
+        return np.log(ways)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - sum(np.log(x + k) for k in range(8))
+
+
 def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that the customers of each dish end up at, in a Chinese restaurant process.
+    """Tables of dishes that start with one table each."""
+    return reseat(customers, opening, discount, rng, np.minimum(customers, 1), customers)[0]
+
+
+def reseat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator, tables: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Draw the number of tables of each dish given its customers: t tables of n customers weigh
+    opening^t times the generalised Stirling number of n, t and the discount.
 
-    With n seated at t tables, the next one opens a table with odds `opening` to n - discount t.
-    The first ONE_BY_ONE are seated singly; later ones in groups of a BLOCKth of those seated,
-    within which the odds change by about that share only.
+    Up to SMALL customers the draw is direct (and leaves 0 as `rest`). Above, all tables but the
+    largest come from the law without the condition on n, and the largest takes the `rest`;
+    Metropolis steps from the tables at hand correct for that, so the law is the same.
     """
-    order = np.argsort(-customers, kind="stable")
-    left, opening = customers[order], opening[order]
-    tables, seated = np.minimum(left, 1).astype(np.float64), 1
-    while len(left) and (active := int(np.searchsorted(-left, -seated, "left"))):
-        new = opening[:active] / (opening[:active] + seated - discount * tables[:active])
-        if seated < ONE_BY_ONE:
-            group = 1
-            tables[:active] += rng.random(active) < new
-        else:
-            group = seated // BLOCK
-            tables[:active] += rng.binomial(np.minimum(group, left[:active] - seated), new)
-        seated += group
-    result = np.empty(len(tables))
-    result[order] = tables
-    return result
+    few = customers <= 1
+    tables, rest = np.where(few, customers, tables).astype(np.int64), np.where(few, customers, rest).astype(np.int64)
+    if discount == 0:  # customers open tables independently
+        for n in np.unique(customers[customers > 1]):
+            own = np.flatnonzero(customers == n)
+            tables[own] = 1 + sum(rng.random(len(own)) < opening[own] / (opening[own] + k) for k in range(1, n))
+        return tables, rest
+    some = np.flatnonzero((customers > 1) & (customers <= SMALL))
+    some = some[np.argsort(customers[some], kind="stable")]
+    begin = np.append(_begins(customers[some]), len(some))
+    for first, last in zip(begin[:-1], begin[1:]):
+        n = int(customers[some[first]])
+        for a in range(first, last, 1 << 14):
+            own = some[a:min(a + (1 << 14), last)]
+            weight = np.log(np.maximum(opening[own], 1e-300))[:, None] * np.arange(1, n + 1) + _ways(discount)[n, 1:n + 1]
+            upto = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            tables[own] = 1 + (upto < rng.random((len(own), 1)) * upto[:, -1:]).sum(axis=1)
+            rest[own] = 0
+    many = np.flatnonzero(customers > SMALL)
+    if len(many):
+        tables[many], rest[many] = _steps(customers[many], opening[many] / discount, discount, rng, tables[many], rest[many])
+    return tables, rest
+
+
+def _steps(customers, rate, discount, rng, tables, rest):
+    """Metropolis steps: the tables but the largest are a Poisson number of Sibuya sizes, thinned
+    by tilt^size so that together they have no more than about as many customers as there are."""
+    wanted = np.log(customers / (rate * discount))
+    low, high = -(np.maximum(wanted, 0) + 1) / (1 - discount) - 1, np.full(len(customers), -1e-9)
+    for _ in range(60):
+        y = (low + high) / 2
+        above = np.log1p(-np.exp(y)) - (1 - discount) * y > wanted
+        low, high = np.where(above, y, low), np.where(above, high, y)
+    tilt = np.log1p(-np.exp(low))
+
+    def weight(r):
+        r = np.maximum(r, 1).astype(float)
+        return _log_gamma(r - discount) - _log_gamma(r + 1) + r * tilt
+
+    now = weight(rest)
+    for _ in range(STEPS):
+        owner = np.repeat(np.arange(len(customers)), rng.poisson(rate))
+        p = np.clip(rng.beta(discount, 1 - discount, len(owner)), 1e-18, 1 - 1e-16)
+        sizes = 1 + np.floor(np.log(1 - rng.random(len(owner))) / np.log1p(-p))
+        kept = rng.random(len(owner)) < np.exp(sizes * tilt[owner])
+        owner, sizes = owner[kept], np.minimum(sizes[kept], 1e17)
+        t = 1 + np.bincount(owner, minlength=len(customers))
+        r = customers - np.bincount(owner, sizes, len(customers))
+        # Of equal largest tables any may be the rest.
+        ties = 1 + np.bincount(owner, sizes == r[owner], len(customers))
+        fits = (r >= 1) & (np.bincount(owner, sizes > r[owner], len(customers)) == 0) & (rng.random(len(t)) * ties < 1)
+        then = weight(r)
+        taken = fits & (np.log(1 - rng.random(len(t))) < then - now)
+        tables, rest, now = np.where(taken, t, tables), np.where(taken, r, rest).astype(np.int64), np.where(taken, then, now)
+    return tables, rest
 
 
 def _start(bucket: Bucket) -> np.ndarray:

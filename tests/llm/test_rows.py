@@ -111,6 +111,23 @@ def test_every_previous_word_is_a_context(spark):
     assert all(score[100 + 2 * i] - score[101 + 2 * i] > 1 for i in range(n))
 
 
+def exact_mean_tables(customers, opening, discount):
+    """Mean of t where t tables weigh opening^t times a generalised Stirling number."""
+    weight = np.array([0.0, opening])
+    for n in range(1, customers):
+        new = np.append(weight * (n - np.arange(n + 1) * discount), 0.0)
+        new[1:] += opening * weight
+        weight = new / new.max()
+    return (weight * np.arange(customers + 1)).sum() / weight.sum()
+
+
+@pytest.mark.parametrize("customers, opening, discount", [(10, 0.3, 0.7), (50, 1, 0.8), (200, 5, 0.8), (300, 50, 0.8), (1000, 20, 0.5), (2000, 3, 0.95)])
+def test_tables_given_their_customers(customers, opening, discount):
+    tables = lm.seat(np.full(3000, customers), np.full(3000, float(opening)), discount, np.random.default_rng(4))
+    expected = exact_mean_tables(customers, opening, discount)
+    assert abs(tables.mean() - expected) < 0.03 * expected
+
+
 # --- quality
 
 def slow_counts(text):
