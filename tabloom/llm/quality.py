@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,9 +14,11 @@ from tabloom.llm.linear import Adagrad, per_document, sampled, scored, sigmoid,
 from tabloom.llm.textbatch import Words, mixed, ngram_hash, runs_hash, spans_hash, words
 
 #: Labelled rows the classifier is fitted on (every fifth for calibration), and its size.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 6000
 DIMENSIONS = 1 << 16
 CHARACTERS = (3, 4)
+#: Features of labelled rows that are unpacked at a time in the fit.
+BLOCK = 1 << 20
 #: Fixed thresholds: words a text needs, its share of repeated words in per cent, and the
 #: calibrated probability of good quality below which it is rejected.
 MIN_WORDS, MAX_REPEAT, MIN_PROBABILITY = 10, 20, 0.5
@@ -52,25 +56,39 @@ def _prepared(texts: pa.Array) -> list[bytes]:
     return result
 
 
+def _blocks(features: list[bytes], documents: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The documents in blocks of about BLOCK features: their numbers, and of each feature the
+    place in the block, number and share. Only one block's features are unpacked at a time."""
+    sizes = np.array([len(features[k]) // 8 for k in documents], np.int64)
+    for part in np.split(documents, np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1):
+        ids = [np.frombuffer(features[k], "<u4", len(features[k]) // 8) for k in part]
+        shares = [np.frombuffer(features[k], "<f4", len(features[k]) // 8, len(features[k]) // 2) for k in part]
+        if len(part):
+            yield part, np.repeat(np.arange(len(part)), [len(i) for i in ids]), np.concatenate(ids).astype(np.int64), np.concatenate(shares)
+
+
 def _fit(features: list[bytes], labels: list[int]) -> dict:
     """Logistic regression on four fifths of the rows, Platt scaling on the rest."""
     good = np.array(labels, float)
-    ids = [np.frombuffer(f, "<u4", len(f) // 8) for f in features]
-    shares = [np.frombuffer(f, "<f4", len(f) // 8, len(f) // 2) for f in features]
     calibrating = np.arange(len(good)) % 5 == 4
-    rows = np.repeat(np.arange(len(good)), [len(i) for i in ids])
-    column, value = np.concatenate(ids).astype(np.int64), np.concatenate(shares).astype(float)
     size = (1 + len(CHARACTERS)) * DIMENSIONS
 
     model, bias = Adagrad(size, 4.0), Adagrad(1, 0.3)
     # Rows for calibration weigh nothing in the fit.
     weight = np.where(calibrating, 0, np.where(good > 0, 0.5 / max(good[~calibrating].mean(), 1e-9), 0.5 / max(1 - good[~calibrating].mean(), 1e-9)))
     for _ in range(60):
-        z = np.bincount(rows, value * model.weights[column], len(good)) + bias.weights[0]
-        error = (sigmoid(z) - good) * weight / max(weight.sum(), 1)
-        model.step(np.bincount(column, value * error[rows], size) + 1e-8 * model.weights)
-        bias.step(np.array([error.sum()]))
-    z = np.bincount(rows, value * model.weights[column], len(good)) + bias.weights[0]
+        # The gradient of all rows, added up by blocks.
+        gradient, pull = 1e-8 * model.weights, 0.0
+        for part, row, column, value in _blocks(features, np.flatnonzero(~calibrating)):
+            z = np.bincount(row, value * model.weights[column], len(part)) + bias.weights[0]
+            error = (sigmoid(z) - good[part]) * weight[part] / max(weight.sum(), 1)
+            gradient += np.bincount(column, value * error[row], size)
+            pull += error.sum()
+        model.step(gradient)
+        bias.step(np.array([pull]))
+    z = np.zeros(len(good))
+    for part, row, column, value in _blocks(features, np.flatnonzero(calibrating)):
+        z[part] = np.bincount(row, value * model.weights[column], len(part)) + bias.weights[0]
     slope, offset = _platt(z[calibrating], good[calibrating])
     return {"weights": model.weights.astype(np.float32), "bias": float(bias.weights[0]), "slope": slope, "offset": offset}
 

@@ -165,6 +165,26 @@ def test_quality_of_rows_left_out_of_the_fit(labelled, spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_all_labelled_rows_of_a_small_table_are_learned(spark, monkeypatch):
+    docs_, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(quality, "trained", lambda sample, *_: sample.count())
+    known = labels.where("quality is not null")
+    assert 3000 < known.count() == quality.fit_quality(docs_, labels)
+
+
+def test_the_fit_unpacks_little_at_a_time():
+    import tracemalloc
+
+    rng, each = np.random.default_rng(5), 20_000
+    features = [np.sort(rng.integers(0, 3 * quality.DIMENSIONS, each)).astype("<u4").tobytes() + rng.random(each).astype("<f4").tobytes() for _ in range(400)]
+    tracemalloc.start()
+    try:
+        quality._fit(features, [k % 2 for k in range(400)])
+        assert tracemalloc.get_traced_memory()[1] < 16 * 400 * each
+    finally:
+        tracemalloc.stop()
+
+
 def test_scores_do_not_depend_on_the_batch(labelled):
     texts = pa.array([r["text"] for r in labelled[0].limit(40).collect()])
     rng = np.random.default_rng(0)
