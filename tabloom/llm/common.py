@@ -33,13 +33,35 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def written(df: DataFrame, **options: str) -> DataFrame:
+def written(df: DataFrame, partition_by: str | None = None, **options: str) -> DataFrame:
     """The frame as a table in the shared folder: its plan ends there, lost executors or not."""
     path = scratch_dir(df.sparkSession)
-    df.write.options(**options).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path that their writers have committed."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    found = [status.getPath() for status in system.listStatus(place) if status.isDirectory()]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(p.getName() for p in found if system.exists(done(p, "_SUCCESS")))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
