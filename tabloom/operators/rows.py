@@ -7,6 +7,7 @@ in its source, and are read from the frame exactly as scanned (before filters or
 from __future__ import annotations
 
 import operator
+import re
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -45,6 +46,64 @@ def _metadata_fields(df: DataFrame) -> list[str]:
         return []
 
 
+def natural_key(path: Column) -> Column:
+    """A text that sorts like a file's folder, then its name with the first number as a number."""
+    name = F.substring_index(path, "/", -1)
+    folder = F.substring(path, F.lit(1), F.length(path) - F.length(name))
+    digits = F.regexp_replace(F.regexp_extract(name, "[0-9]+", 0), "^0+", "")
+    return F.concat(
+        folder, F.regexp_extract(name, "^[^0-9]*", 0), F.lpad(F.length(digits).cast("string"), 4, "0"), digits, F.lit("/"), name)
+
+
+def _natural(path: str) -> str:
+    """The same key of one path."""
+    folder, _, name = path.rpartition("/")
+    letters, digits = re.match("([^0-9]*)([0-9]*)", name).groups()
+    digits = digits.lstrip("0")
+    return f"{folder}/{letters}{len(digits):04d}{digits}/{name}"
+
+
+def _roots(df: DataFrame) -> list[str]:
+    """The paths a scan was asked for, in the order of the request."""
+    for node in _nodes(df):
+        if node.nodeName() == "LogicalRelation":
+            paths = node.relation().location().rootPaths()
+            return [paths.apply(i).toUri().toString() for i in range(paths.size())]
+    return []
+
+
+def _at_root(path: Column, roots: list[tuple[str, int]]) -> Column:
+    """The number of the last root that is not behind the path, by halving the sorted roots."""
+    if len(roots) == 1:
+        return F.lit(roots[0][1])
+    middle = len(roots) // 2
+    return F.when(path < roots[middle][0], _at_root(path, roots[:middle])).otherwise(_at_root(path, roots[middle:]))
+
+
+def _bare(path: str) -> str:
+    """A path without its scheme, so that file:/a and file:///a are one; with / at the end."""
+    return re.sub("^[a-zA-Z0-9+.-]+:/*", "/", path).rstrip("/") + "/"
+
+
+def file_order(df: DataFrame, path: Column | None = None) -> Column:
+    """What sorts the files of a scan: the place of their path in the request, then folder and
+    name, with the number in a name as a number.
+
+    Text order is the same for most tables (one folder, numbers of one width); the file names,
+    which the scan's plan holds, tell, and then the path itself is the key and costs nothing.
+    """
+    path, roots = F.col("_metadata.file_path") if path is None else path, [_bare(r) for r in _roots(df)]
+    keys = [_natural(f) for f in sorted(df.inputFiles())]
+    if roots == sorted(roots) and keys == sorted(keys):
+        return path
+    key = natural_key(path)
+    if len(roots) < 2:
+        return key
+    bare = F.concat(F.regexp_replace(path, "^[a-zA-Z0-9+.-]+:/*", "/"), F.lit("/"))
+    number = _at_root(bare, sorted((root, i) for i, root in enumerate(roots)))
+    return F.concat(F.lpad(number.cast("string"), 9, "0"), F.lit(":"), key)
+
+
 def _address(df: DataFrame) -> list[Column]:
     """Columns that order rows as they lie in the source: file, block in the file, place.
 
@@ -56,9 +115,9 @@ def _address(df: DataFrame) -> list[Column]:
     names = _names(df)
     fields = _metadata_fields(df) if "LogicalRelation" in names and names <= _IN_PLACE | {"LogicalRelation"} else []
     if "row_index" in fields:
-        return [F.col("_metadata.file_path"), F.lit(0).cast("bigint"), F.col("_metadata.row_index")]
+        return [file_order(df), F.lit(0).cast("bigint"), F.col("_metadata.row_index")]
     if "file_block_start" in fields:
-        return [F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
+        return [file_order(df), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()]
     if names & _FIXED and names <= _IN_PLACE | _FIXED:
         place = F.monotonically_increasing_id()  # the partition in the upper 31 bits
         return [F.lit(""), F.shiftright(place, 33), place]
@@ -78,7 +137,7 @@ def address_struct(df: DataFrame, input_no: int) -> Column:
 
 
 def with_row_index(df: DataFrame, name: str = "row_no", address: str | None = None) -> DataFrame:
-    """Add the 1-based physical row number over all files, in file-path order.
+    """Add the 1-based physical row number over all files, in the order of :func:`file_order`.
 
     ``address`` names the column that a merge added (see ``merge_frames``); rows are then
     numbered input by input. Rows are numbered inside their file block, cut into pieces of a
@@ -96,10 +155,12 @@ def with_row_index(df: DataFrame, name: str = "row_no", address: str | None = No
             raise TableError("number the rows of a merge before anything else")
         addressed = df.select("*", *[ref(address)[f].alias(f"_at{i}") for i, f in enumerate(("input", "file", "block", "at"))])
         block, place = ["_at0", "_at1", "_at2"], "_at3"
-    return _numbered(addressed, df.columns, block, place, name)
+    return number_rows(addressed, df.columns, block, place, name)
 
 
-def _numbered(addressed: DataFrame, columns: list[str], block: list[str], place: str, name: str) -> DataFrame:
+def number_rows(addressed: DataFrame, columns: list[str], block: list[str], place: str, name: str) -> DataFrame:
+    """The columns and a row number over blocks, in the order of the block columns, whose rows
+    have places that rise by one."""
     # Places in a task start anywhere but rise by one, so pieces are whole numbers of them.
     addressed = addressed.withColumn("_piece", F.shiftright(ref(place), 20))
     keys = [*block, "_piece"]
@@ -117,7 +178,7 @@ def source_range(df: DataFrame, start: int, end: int, name: str = "row_no") -> D
     """Rows ``start``..``end`` of a source with their numbers, reading only the files they lie
     in; none at all when the table does not reach ``end``.
 
-    Files are numbered in path order, so those of a range are neighbours: one job counts the
+    Files are numbered in their order, so those of a range are neighbours: one job counts the
     rows of each file, without any column of the table (Parquet answers from its footers), and
     brings one row to the driver, the first and the last path and the rows before them. The
     window without partitions sees one row per file. Frames are those of ``with_row_index``.
@@ -138,7 +199,7 @@ def source_range(df: DataFrame, start: int, end: int, name: str = "row_no") -> D
     reached = 1 <= start <= end <= (total or 0)
     kept = df.where(file.between(low, high)) if reached else df.where(F.lit(False))
     addressed = kept.select("*", *[p.alias(f"_at{i}") for i, p in enumerate(_address(df))])
-    numbered = _numbered(addressed, df.columns, ["_at0", "_at1"], "_at2", name)
+    numbered = number_rows(addressed, df.columns, ["_at0", "_at1"], "_at2", name)
     shifted = numbered.select(*[ref(c) for c in df.columns], (ref(name) + F.lit(skipped or 0).cast("long")).alias(name))
     return shifted.where(ref(name).between(start, end))
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from tabloom.errors import InsufficientData, TableError
 from tabloom.functions.cells import ref, to_text
 from tabloom.functions.names import normalise_headers
-from tabloom.operators.rows import with_row_index
+from tabloom.operators.rows import address_struct, file_order, number_rows, with_row_index
+from tabloom.sources.blocks import csv_records, opens
 
 # Quotes inside a cell are doubled; a cell may contain line breaks and keeps its spaces.
 _CSV_READ = {
@@ -48,34 +49,65 @@ def scan(
     return spark.read.format(format).options(**options).load(path)
 
 
-def read_csv(spark: SparkSession, path: str | list[str], header: bool = True, **options) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | list[str], header: bool = True, address: str | None = None, **options
+) -> DataFrame:
     """CSV with every cell as text; short rows are padded with empty cells.
 
-    A byte order mark is ignored. Cells may hold line breaks. Where no line has an odd number
-    of quotes, no record goes beyond its line, and files are read in blocks by many tasks; else
-    one file is read by one task. One job looks at the lines for that; ``multiLine="true"`` or
-    ``"false"`` saves it.
+    A byte order mark is ignored, and a line end inside a cell is read as \\n. Files are read in
+    blocks by many tasks, with ``multiLine="blocks"`` also where cells hold line breaks (see
+    :mod:`tabloom.sources.blocks`), with ``"false"`` where none does; ``"true"`` reads a file by
+    one task. Without it one job looks for a line that ends inside a cell. Quotes, escapes, line
+    ends and encodings of their own are for ``"true"``.
+
+    ``address`` adds a column that is unique per row and sorts like the rows lie, for
+    ``order_by`` and ``with_row_index``; rows read in blocks with line breaks have no order
+    without it.
     """
-    if "multiLine" not in options:
-        plain = not {"quote", "escape", "lineSep", "encoding", "charset"} & set(options)
-        options["multiLine"] = str(not plain or not _odd_lines(spark, path).isEmpty()).lower()
-    reader = spark.read.options(**{**_CSV_READ, **options})
+    options = dict(options)
+    sep = options.get("sep", options.get("delimiter", ","))
+    plain = len(sep) == 1 and sep != '"' and not {"quote", "escape", "lineSep", "encoding", "charset", "comment"} & set(options)
+    way = options.pop("multiLine", None)
+    if way is None:
+        way = "true" if not plain else "false" if _open_lines(spark, path, sep).isEmpty() else "blocks"
+    if way == "blocks" and not plain:
+        raise TableError("CSV with its own quotes, line ends or encoding is not read in blocks")
+    reader = spark.read.options(**{**_CSV_READ, **options, "multiLine": str(way != "false").lower()})
     df = reader.csv(path, header=header)
     if not df.columns:
         return df
     cells = [None if c == f"_c{i}" else c for i, c in enumerate(df.columns)]
     if header and _repeats(df.columns):
         cells = list(reader.csv(path, header=False).head())
-    return df.toDF(*normalise_headers(cells))
+    # With line breaks in the header's cells the reader may take the line's \r for text.
+    names = normalise_headers([c.removesuffix("\r") if isinstance(c, str) else c for c in cells])
+    if way != "blocks":
+        renamed_ = df.toDF(*names)
+        return renamed_ if address is None else renamed_.select("*", address_struct(renamed_, 1).alias(address))
+    records = _records(spark, path, header, sep, options)
+    folders = records.columns[4:]
+    inner = names[:len(names) - len(folders)]
+    parsed = F.from_csv("value", _ddl(inner), {**_CSV_READ, **options, "multiLine": "true", "mode": "PERMISSIVE"})
+    place = [] if address is None else [_block_address().alias(address)]
+    rows = records.select(parsed.alias("_cells"), *[ref(c) for c in folders], *place)
+    return rows.select(
+        *[F.col("_cells").getField(n).alias(n) for n in inner],
+        *[ref(c).alias(n) for c, n in zip(folders, names[len(inner):])], *([] if address is None else [ref(address)]))
+
+
+def _records(spark: SparkSession, path: str | list[str], header: bool, sep: str, options: dict) -> DataFrame:
+    text = spark.read.options(**options).text(path)
+    return csv_records(spark, path, header, sep, lambda file: file_order(text, file), options)
 
 
-def _odd(line: Column) -> Column:
-    """Whether a line has an odd number of quotes, so that a cell goes on in the next one."""
-    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))).bitwiseAND(1) == 1
+def _block_address() -> Column:
+    """The place of a record, as the column that merges add."""
+    return F.struct(
+        F.lit(1).alias("input"), F.lpad(F.col("file_no").cast("string"), 10, "0").alias("file"), ref("block").alias("block"), ref("at").alias("at"))
 
 
-def _odd_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.text(path).where(_odd(F.col("value")))
+def _open_lines(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
+    return spark.read.text(path).where(opens(F.col("value"), sep))
 
 
 def _repeats(columns: list[str]) -> bool:
@@ -135,8 +167,8 @@ def scan_with_banner(
 
     Both carry ``row_no``; lead rows are raw lines, data rows are text cells. Only the
     first ``header_row`` lines come to the driver. Where cells hold line breaks, rows below the
-    header are numbered by record, without lines that are empty, and one file is read by one
-    task; lead lines and the header have no such cells.
+    header are numbered by record, without lines that are empty; lead lines and the header have
+    no such cells.
     """
     raw = spark.read.text(path)
     lines = with_row_index(raw).select(F.regexp_replace("value", _BYTE_ORDER_MARK, "").alias("value"), "row_no")
@@ -148,13 +180,13 @@ def scan_with_banner(
     parsed = F.from_csv("value", _ddl(names),
                         {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
     lead = lines.where(ref("row_no") < header_row).select("row_no", "value")
-    if not _odd_lines(spark, path).isEmpty():
-        # The CSV reader leaves out empty lines, so its records come that many numbers early.
-        reader = spark.read.schema(_ddl(names)).options(**{**_CSV_READ, "multiLine": "true", "sep": separator})
+    if not _open_lines(spark, path, separator).isEmpty():
+        # Records leave out empty lines, so they come that many numbers early.
         skipped = lines.where(ref("row_no") < header_row).agg(F.count_if(F.col("value") == "")).scalar()
-        records = with_row_index(reader.csv(path), "_record")
-        data = records.select((ref("_record") + skipped).alias("row_no"), *[ref(n) for n in names])
-        return lead, data.where(ref("row_no") > header_row)
+        records = _records(spark, path, False, separator, {}).select("value", "file_no", "block", "at")
+        numbered = number_rows(records, ["value"], ["file_no", "block"], "at", "_record")
+        data = numbered.select((ref("_record") + skipped).alias("row_no"), parsed.alias("cells")).where(ref("row_no") > header_row)
+        return lead, data.select("row_no", *[F.col("cells").getField(n).alias(n) for n in names])
     data = lines.where(ref("row_no") > header_row).select("row_no", parsed.alias("cells"))
     return lead, data.select("row_no", *[F.col("cells").getField(n).alias(n) for n in names])
 
@@ -194,14 +226,14 @@ def _load(spark: SparkSession, path: str, format: str) -> DataFrame:
         # One look at the lines tells both whether they are text and whether cells hold breaks.
         invalid, broken = spark.read.text(path).agg(
             F.coalesce(F.bool_or(~F.is_valid_utf8("value")), F.lit(False)),
-            F.coalesce(F.bool_or(_odd(F.col("value"))), F.lit(False))).first()
+            F.coalesce(F.bool_or(opens(F.col("value"))), F.lit(False))).first()
         if invalid:
             raise TableError("not valid UTF-8")
-        options["multiLine"] = str(broken).lower()
+        options = {"multiLine": "blocks", "address": "_at"} if broken else {"multiLine": "false"}
     df = scan(spark, path, format, **options)
     if not df.columns:
         raise InsufficientData("no columns")
-    return df
+    return df.sort("_at").drop("_at") if "address" in options else df
 
 
 def _convert(spark: SparkSession, path: str, source: str, target: str, out: str) -> tuple:
