@@ -41,6 +41,15 @@ def _m6_paths(spark, sf_dir):
     return tl.merge_paths(spark, paths, source_no="source_no").groupBy("source_no").agg(F.count("*").alias("n"))
 
 
+def _m6_request_order(spark, sf_dir):
+    """One scan of two folders, asked for in the order that their names do not have; the first row of each key in that order."""
+    orders, base = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), scratch_dir(spark)
+    for name, part in (("a", "o_orderkey % 2 = 0"), ("b", "o_orderkey % 2 = 1")):
+        orders.where(part).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(f"{base}/{name}")
+    merged = tl.merge_paths(spark, [f"{base}/b", f"{base}/a"], same_layout=True)
+    return tl.keep_first(merged, ["o_custkey"])
+
+
 def _m7_mixed_types(spark, sf_dir):
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_nationkey")
     part = table(spark, sf_dir, "part").select("p_size", "p_name", "p_retailprice")
@@ -69,6 +78,7 @@ def _m8_summary(spark, sf_dir):
 QUERIES = {
     "M1_position": _m1_position, "M2_tables": _m2_tables, "M3_by_name": _m3_by_name,
     "M4_empty_input": _m4_empty_input, "M5_ragged": _m5_ragged, "M6_paths": _m6_paths,
+    "M6_request_order": _m6_request_order,
     "M2_split_tables": _m2_split_tables, "M7_decimals": _m7_decimals,
     "M7_mixed_types": _m7_mixed_types, "M8_summary": _m8_summary,
 }
@@ -82,6 +92,8 @@ ORACLES = {
     "M4_empty_input": "SELECT * FROM nation UNION ALL SELECT * FROM nation",
     "M5_ragged": """SELECT s_suppkey, s_name, s_nationkey, s_acctbal, cast(NULL AS varchar) AS Col4 FROM supplier
         UNION ALL SELECT * FROM customer""",
+    "M6_request_order": """SELECT o_custkey, arg_min(o_orderkey, (o_orderkey % 2 = 0, o_orderkey)) AS o_orderkey
+        FROM orders GROUP BY 1""",
     "M6_paths": """SELECT 1 AS source_no, count(*) AS n FROM orders
         UNION ALL SELECT 2, count(*) FROM customer""",
     "M7_mixed_types": f"""SELECT c_custkey AS id, {text_sql('c_acctbal')} AS c_acctbal,

@@ -41,6 +41,25 @@ def _ordered_folder(spark, frame, key):
     return spark.read.parquet(path)
 
 
+def _part_numbers(spark, frame, key, first):
+    """A folder whose files rise by the key and are named part-{number}, from the first number on."""
+    written, path = scratch_dir(spark), scratch_dir(spark)
+    frame.repartitionByRange(4, key).sortWithinPartitions(key).write.parquet(written)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(place(path))
+    names = sorted(f.getPath().getName() for f in system.listStatus(place(written)) if f.getPath().getName().startswith("part-"))
+    for k, name in enumerate(names):
+        system.rename(place(f"{written}/{name}"), place(f"{path}/part-{first + k}.parquet"))
+    return path
+
+
+def _x1_part_numbers(spark, sf_dir):
+    """File names whose numbers have five and six digits: part-99999 comes before part-100000."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return tl.with_row_index(spark.read.parquet(_part_numbers(spark, orders, "o_orderkey", 99_998)))
+
+
 def _x1_merged(spark, sf_dir):
     """Numbers over a merge of two folders, whose files Spark packs by size."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
@@ -90,6 +109,7 @@ QUERIES = {
     "X1_many_files": _x1_many_files,
     "X1_text_files": _x1_text_files,
     "X1_merged": _x1_merged,
+    "X1_part_numbers": _x1_part_numbers,
     "X1_filtered": _x1_filtered,
     "X2_range": lambda s, d: tl.row_range(_numbered("orders")(s, d), 100, 1400),
     "X2_range_files": _x2_range_files,
@@ -125,6 +145,7 @@ ORACLES = {
     "X1_many_files": "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders",
     "X1_text_files": """SELECT concat_ws(',', o_orderkey, o_orderstatus) AS value,
         row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders""",
+    "X1_part_numbers": "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders",
     "X1_merged": """SELECT o_orderkey, o_orderpriority,
         row_number() OVER (ORDER BY o_orderkey % 3 = 0, o_orderkey) AS row_no FROM orders""",
     "X1_filtered": "SELECT count(*) AS rows, 'number the rows before they are filtered' AS error FROM orders",

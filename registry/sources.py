@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 import tabloom as tl
 from registry.common import table, text_sql
@@ -112,6 +112,30 @@ def _s8_write_if(spark, sf_dir):
     return spark.createDataFrame(lines, "case string, written boolean").join(rows, "case", "left")
 
 
+def _s8_staged(spark, sf_dir):
+    """A filter and a dedup kept, a filter without a match and a dedup that removes nothing dropped."""
+    out, orders = scratch_dir(spark), table(spark, sf_dir, "orders")
+    spark.range(0).write.parquet(out)
+    lines = []
+    for case, least in (("some", "400000"), ("none", "1000000000")):
+        found = tl.filter_rows(orders, [{"column": "o_totalprice", "operator": "gt", "value": least}])
+        lines.append((case, tl.write_staged(found, f"{out}/{case}")))
+    for key in ("o_custkey", "o_orderkey"):
+        seen = Observation()
+        kept = tl.keep_first(orders.observe(seen, F.count(F.lit(1)).alias("rows")), [key], order_by=["o_orderkey"])
+        removed = lambda n: n["rows"] < n["all"]
+        lines.append((key, tl.write_staged(kept, f"{out}/{key}", wanted=removed, watched={"all": seen})))
+    return spark.createDataFrame(lines, "case string, rows bigint")
+
+
+def _s5_quoted_blocks(spark, sf_dir):
+    """Texts with line breaks, quotes and commas, in one file that is read in many blocks."""
+    path = scratch_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\r", " ").alias("text"), "lang")
+    tl.write_csv(docs.coalesce(1), path)
+    return tl.read_csv(spark, path, multiLine="blocks")
+
+
 def _s9_files(spark, sf_dir):
     path = scratch_dir(spark)
     tl.write_split(table(spark, sf_dir, "orders"), "o_orderpriority", path, name_pattern="p_{value}_x")
@@ -155,6 +179,7 @@ QUERIES = {
     "S4_tables": _s4_tables,
     "S5_csv_numbers": _roundtrip("customer"), "S5_csv_line_breaks": _roundtrip("conversations"),
     "S6_csv_lines": _s6_lines, "S7_same_names": _s7_same_names, "S7_convert": _s7_convert, "S7_formats": _s7_formats, "S8_write_if": _s8_write_if,
+    "S8_staged": _s8_staged, "S5_quoted_blocks": _s5_quoted_blocks,
     "S9_split_files": _s9_files, "S9_split_one": _s9_one_file, "S10_split_sheets": _s10_sheets,
     "S10_sheet_names": _s10_sheet_names, "S11_keys": _s11_keys, "S12_no_header": _s12_no_header,
     "S13_summary": lambda s, d: tl.split_summary(table(s, d, "pages"), "url"),
@@ -185,6 +210,11 @@ ORACLES = {
         UNION ALL SELECT 'embeddings.parquet', true, count(*) FROM embeddings""",
     "S7_formats": f"""SELECT cast(p_partkey AS varchar) AS p_partkey, p_name, cast(p_size AS varchar) AS p_size,
         {text_sql('p_retailprice')} AS p_retailprice FROM part""",
+    "S8_staged": """SELECT 'some' AS "case", count(*) AS rows FROM orders WHERE o_totalprice > 400000
+        UNION ALL SELECT 'none', NULL UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders
+        UNION ALL SELECT 'o_orderkey', NULL""",
+    "S5_quoted_blocks": """SELECT cast(doc_id AS varchar) AS doc_id, nullif(replace(text, chr(13), ' '), '') AS text, lang
+        FROM documents""",
     "S8_write_if": """SELECT 'some' AS "case", true AS written, count(*) AS rows FROM orders WHERE o_totalprice > 400000
         UNION ALL SELECT 'none', false, NULL""",
     "S9_split_files": """SELECT *, 'p_' || translate(o_orderpriority, '<>:"/\\|?*', '_________') || '_x' AS split_part

@@ -27,5 +27,6 @@ from tabloom.plans.recipe import apply_op, run_recipe, run_with_summary
 from tabloom.session import session
 from tabloom.sources.tables import (
     convert_many, list_catalog_tables, list_tables, read_csv, renamed, scan, scan_with_banner, write_csv, write_if,
+    write_staged,
 )
 from tabloom.storage import scratch_dir

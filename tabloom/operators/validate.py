@@ -16,8 +16,8 @@ def _may_hold_numbers(t: T.DataType) -> bool:
     return is_numeric(t) or is_text(t) or isinstance(t, T.BooleanType)
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """``(column, total, empty, numbers, texts)`` for every column, in one pass."""
+def _profile(df: DataFrame) -> tuple[list[Column], list[Column], list[Column]]:
+    """For every column: the cell to count, the aggregates, and the line made of them."""
     cells, aggregates, lines = [], [F.count(F.lit(1)).alias("total")], []
     for i, name in enumerate(df.columns):
         t, c, none = dtype(df, name), F.col(f"c{i}"), F.lit(0).cast("bigint")
@@ -36,8 +36,13 @@ def profile(df: DataFrame) -> DataFrame:
             F.lit(name).alias("column"), F.col("total"), (F.col("total") - numbers - texts).alias("empty"),
             numbers.alias("numbers"), texts.alias("texts"),
         ))
-    counted = df.select(*cells).agg(*aggregates)
-    return counted.select(F.explode(F.array(*lines)).alias("line")).select("line.*")
+    return cells, aggregates, lines
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """``(column, total, empty, numbers, texts)`` for every column, in one pass."""
+    cells, aggregates, lines = _profile(df)
+    return df.select(*cells).agg(*aggregates).select(F.explode(F.array(*lines)).alias("line")).select("line.*")
 
 
 def _percent(part: Column, total: Column) -> Column:
@@ -75,12 +80,9 @@ def _number_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return [c for c in names if _may_hold_numbers(dtype(df, c))]
 
 
-def _long_numbers(df: DataFrame, names: list[str]) -> DataFrame:
-    """``(at, v)``: the numbers of all columns, ``at`` being the column's place in ``names``."""
-    numbers = [F.struct(F.lit(i).alias("at"), num(df, c).alias("v")) for i, c in enumerate(names)]
-    if not numbers:
-        return df.select(F.lit(0).alias("at"), F.lit(0.0).alias("v")).where(F.lit(False))
-    return df.select(F.inline(F.array(*numbers))).where(F.col("v").isNotNull())
+def _numbers(df: DataFrame, names: list[str]) -> DataFrame:
+    """``v0``, ``v1``, ...: the number in each of the columns."""
+    return df.select(*[num(df, c).alias(f"v{i}") for i, c in enumerate(names)])
 
 
 def _bucket(v: Column, bits: int) -> Column:
@@ -89,72 +91,106 @@ def _bucket(v: Column, bits: int) -> Column:
     Adding and taking away a large multiple rounds off the lower digits (Veltkamp's
     split). Values whose multiple would overflow share one bucket at each end.
     """
-    inner = F.greatest(F.least(v, F.lit(1e290)), F.lit(-1e290))
+    inner = F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(1e290)), F.lit(-1e290)))  # both pass over a missing value
     wide = inner * float(2 ** (53 - bits) + 1)
     return wide - (wide - inner)
 
 
-def _found(sizes: DataFrame) -> DataFrame:
-    """Per column and quartile, the histogram line that holds the wanted position ``k``.
+# Ranks of the sketch are off by at most one in so many rows; a bracket is as wide as three such errors.
+SKETCH = 10_000
+_MARGIN = 3 / SKETCH
+
+
+def sketches(columns: Sequence[Column]) -> list[Column]:
+    """Aggregates, one per number column: its count and the values that bracket both quartiles.
+
+    Each task keeps a rank sketch with a proven error (Greenwald and Khanna), which are merged;
+    the rank of a value it names is off by one in ``SKETCH`` rows at most.
+    """
+    at = F.array(*[F.lit(f) for f in (0.25 - _MARGIN, 0.25 + _MARGIN, 0.75 - _MARGIN, 0.75 + _MARGIN)])
+    return [F.struct(F.count(v).alias("n"), F.percentile_approx(v, at, F.lit(SKETCH)).alias("p")) for v in columns]
+
+
+def _sketched(numbers: DataFrame) -> Column:
+    """The sketches of all number columns as one scalar array."""
+    return numbers.agg(F.array(*sketches([F.col(c) for c in numbers.columns])).alias("s")).scalar()
+
+
+def _histogram(numbers: DataFrame, brackets: Column) -> DataFrame:
+    """``(at, n, x, gap, c)``: counts of the values inside a column's brackets, in one scan.
+
+    Values below the first bracket are one line without ``x``; those between the brackets are
+    one line with ``gap``, behind the end of the first; values above the second are left out.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("v")) for i, c in enumerate(numbers.columns)])
+    long = numbers.select(brackets.alias("s"), F.explode(cells).alias("cell")).select("cell.at", "cell.v", F.get("s", F.col("cell.at")).alias("s"))
+    v, p = F.col("v"), lambda i: F.col("s.p")[i]
+    gap = (v > p(1)) & (v < p(2))
+    return (
+        long.where(v.isNotNull() & (F.col("s.n") >= 4) & (v <= p(3)))
+        .groupBy("at", F.col("s.n").alias("n"), F.when(v < p(0), None).when(gap, p(1)).otherwise(v).alias("x"), gap.alias("gap"))
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+
+
+def _found(sizes: DataFrame, *order: str) -> DataFrame:
+    """Per column and quartile, the line that holds the wanted position ``k``.
 
     ``before`` rows of smaller values come in, and go out for the line found.
     """
-    upto = F.sum("c").over(Window.partitionBy("at", "q").orderBy("x"))
+    upto = F.sum("c").over(Window.partitionBy("at", "q").orderBy(*order))
     return (
         sizes.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("c"))
         .where("before <= k and k < upto").drop("upto", "c")
     )
 
 
-def _inside(long: DataFrame, target: DataFrame, buckets: Mapping[str, Column], x: Column, *kept: str) -> DataFrame:
-    """Histogram of ``x`` over the rows in a target's bucket. At most two targets per
-    column are broadcast."""
-    rows = long.select("at", "v", *[b.alias(name) for name, b in buckets.items()])
-    inside = rows.join(F.broadcast(target), ["at", *buckets])
-    # One target per column and quartile, so these are the same on all rows of a group.
-    same = [F.max(c).alias(c) for c in ("k", "n", "before")]
-    return inside.groupBy("at", "q", *kept, x.alias("x")).agg(F.count(F.lit(1)).alias("c"), *same)
-
-
-def _exact_quartiles(long: DataFrame) -> DataFrame:
+def _exact_quartiles(numbers: DataFrame, brackets: Column) -> DataFrame:
     """``(at, n, q1, q3)`` at positions ``n div 4`` and ``3n div 4`` of the sorted values.
 
-    Sorting a column would need one task per column. Instead the bucket that holds the
-    wanted position is found from a histogram of values rounded to 10 binary digits (at
-    most 512 lines per power of two), then from one of 25 digits inside it, then by value.
-    Each level is a scan with partial aggregation; only counts are shuffled, and a value that
-    fills a third of the table is one histogram line.
+    The sketch of a first scan brackets both positions; a second scan counts what lies below
+    and makes a histogram of the few values inside. A histogram of many distinct values is no
+    task of its own either: the bucket of values equal to 10 binary digits that holds the
+    position is found first, then that of 31 digits in it, then the value, so a task sees four
+    million lines of a column at most beyond the first level, and there one line per bucket.
     """
-    v, by_value = F.col("v"), Window.partitionBy("at").orderBy("x")
-    wide, fine = _bucket(v, 10), _bucket(v, 25)
+    lines = _histogram(numbers, brackets).select("*", _bucket(F.col("x"), 10).alias("b1"), _bucket(F.col("x"), 31).alias("b2"))
     ranks = F.array(
         F.struct(F.lit(1).alias("q"), F.expr("n div 4").alias("k")),
         F.struct(F.lit(3).alias("q"), F.expr("(3 * n) div 4").alias("k")),
     )
-    first = (
-        long.groupBy("at", wide.alias("x")).agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.sum("c").over(by_value))
-        .withColumn("n", F.sum("c").over(Window.partitionBy("at"))).where("n >= 4")
-        .select("*", F.inline(ranks)).withColumn("before", F.col("upto") - F.col("c"))
-        .where("before <= k and k < upto")
-        .select("at", "q", "k", "n", "before", F.col("x").alias("b1"))
-    )
-    second = _found(_inside(long, first, {"b1": wide}, fine, "b1")).withColumnRenamed("x", "b2")
-    found = _found(_inside(long, second, {"b1": wide, "b2": fine}, v)).select("at", "q", "n", "x")
-    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("x")))
-    return found.groupBy("at", "n").agg(pick(1).alias("q1"), pick(3).alias("q3"))
-
-
-def _approximate_quartiles(long: DataFrame, accuracy: int) -> DataFrame:
-    both = F.approx_percentile("v", F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy)).alias("p")
+    sizes = lines.groupBy("at", "n", "b1").agg(F.sum("c").alias("c")).select("*", F.inline(ranks))
+    target, known = _found(sizes.withColumn("before", F.lit(0).cast("long")), "b1"), ["b1"]
+    for keys in (["b2"], ["x", "gap"]):
+        # At most two targets per column are broadcast.
+        inside = lines.join(F.broadcast(target), ["at", "n", *known])
+        sizes = inside.groupBy("at", "q", "n", "k", "before", *known, *keys).agg(F.sum("c").alias("c"))
+        target, known = _found(sizes, *keys), known + keys
+    pick = lambda q: F.max(F.when((F.col("q") == q) & F.col("x").isNotNull() & ~F.col("gap"), F.col("x")))
+    found = target.groupBy("at", "n").agg(pick(1).alias("q1"), pick(3).alias("q3"))
+    missed = F.raise_error(F.lit("a quartile lies outside its bracket")).cast("boolean")
+    return found.where(F.when(F.col("q1").isNull() | F.col("q3").isNull(), missed).otherwise(True))
+
+
+def _approximate_quartiles(numbers: DataFrame, accuracy: int) -> DataFrame:
+    both = lambda v: F.percentile_approx(v, F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy))
+    each = [F.struct(F.lit(i).alias("at"), F.count(c).alias("n"), both(F.col(c)).alias("p")) for i, c in enumerate(numbers.columns)]
     return (
-        long.groupBy("at").agg(F.count("v").alias("n"), both).where("n >= 4")
+        numbers.agg(F.array(*each).alias("s")).select(F.inline("s")).where("n >= 4")
         .select("at", "n", F.col("p")[0].alias("q1"), F.col("p")[1].alias("q3"))
     )
 
 
-def _bounds(long: DataFrame, multiplier: float, exact: bool, accuracy: int) -> DataFrame:
-    found = _exact_quartiles(long) if exact else _approximate_quartiles(long, accuracy)
+def _quartiles(df: DataFrame, names: list[str], exact: bool, accuracy: int, brackets: Column | None = None) -> DataFrame:
+    if not names:
+        return df.sparkSession.createDataFrame([], "at int, n bigint, q1 double, q3 double")
+    numbers = _numbers(df, names)
+    if not exact:
+        return _approximate_quartiles(numbers, accuracy)
+    return _exact_quartiles(numbers, _sketched(numbers) if brackets is None else brackets)
+
+
+def _bounds(found: DataFrame, multiplier: float) -> DataFrame:
     spread = F.col("q3") - F.col("q1")
     return found.where(spread != 0).select(
         "at", "n", "q1", "q3", (F.col("q1") - float(multiplier) * spread).alias("lower"),
@@ -172,12 +208,10 @@ def quartiles(
 ) -> DataFrame:
     """``(column, n, q1, q3)`` for columns with at least four numbers.
 
-    ``exact=False`` reads the table once and takes approximate percentiles.
+    The table is read twice; ``exact=False`` reads it once and takes approximate percentiles.
     """
     names = _number_columns(df, columns)
-    long = _long_numbers(df, names)
-    found = _exact_quartiles(long) if exact else _approximate_quartiles(long, accuracy)
-    return _named(found, names, "n", "q1", "q3")
+    return _named(_quartiles(df, names, exact, accuracy), names, "n", "q1", "q3")
 
 
 def outlier_bounds(
@@ -186,7 +220,7 @@ def outlier_bounds(
 ) -> DataFrame:
     """``(column, n, q1, q3, lower, upper)``; columns with no spread are left out."""
     names = _number_columns(df, columns)
-    bounds = _bounds(_long_numbers(df, names), multiplier, exact, accuracy)
+    bounds = _bounds(_quartiles(df, names, exact, accuracy), multiplier)
     return _named(bounds, names, "n", "q1", "q3", "lower", "upper")
 
 
@@ -197,8 +231,13 @@ def outliers(
     """``(column, outliers, lower, upper)``: numbers strictly outside the bounds, which are
     shown rounded to two digits. Columns without bounds are left out."""
     names = _number_columns(df, columns)
-    limits = _limits(df, names, multiplier, exact, accuracy)
-    cells = df.select(limits.alias("_limits"), *[num(df, c).alias(f"v{i}") for i, c in enumerate(names)])
+    return _outliers(df, names, _limits(df, names, multiplier, exact, accuracy))
+
+
+def _outliers(df: DataFrame, names: list[str], limits: Column) -> DataFrame:
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, outliers bigint, lower double, upper double")
+    cells = _numbers(df, names).withColumn("_limits", limits)
     limit = lambda i: F.col("_limits")[i]
     outside = [
         F.count_if((F.col(f"v{i}") < limit(i)["lower"]) | (F.col(f"v{i}") > limit(i)["upper"])).alias(f"n{i}")
@@ -207,16 +246,14 @@ def outliers(
     counted = cells.agg(F.first("_limits").alias("_limits"), *outside)
     lines = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("outliers"), limit(i).alias("limit"))
                       for i, c in enumerate(names)])
-    if not names:
-        return _named(_bounds(_long_numbers(df, names), multiplier, exact, accuracy), names, F.lit(0).cast("bigint").alias("outliers"), "lower", "upper")
     return counted.select(F.explode(lines).alias("line")).where("line.limit is not null").select(
         "line.column", "line.outliers", round_exact(F.col("line.limit.lower")).alias("lower"),
         round_exact(F.col("line.limit.upper")).alias("upper"))
 
 
-def _limits(df: DataFrame, names: list[str], multiplier: float, exact: bool, accuracy: int) -> Column:
+def _limits(df: DataFrame, names: list[str], multiplier: float, exact: bool, accuracy: int, brackets: Column | None = None) -> Column:
     """The bounds of all columns, in their order, as one scalar array; NULL without bounds."""
-    bounds = _bounds(_long_numbers(df, names), multiplier, exact, accuracy)
+    bounds = _bounds(_quartiles(df, names, exact, accuracy, brackets), multiplier)
     by_column = F.map_from_entries(F.collect_list(F.struct("at", F.struct("lower", "upper"))))
     places = F.array(*[F.lit(i) for i in range(len(names))]).cast("array<int>")
     return bounds.agg(F.transform(places, lambda i: F.try_element_at(by_column, i))).scalar()
@@ -244,28 +281,46 @@ def outlier_rows(
     return marked.withColumn(name, hits).drop("_limits").where(ref(name) != "")
 
 
-def duplicate_rows(df: DataFrame, empty_as: str | None = None) -> DataFrame:
-    """One row ``(total, duplicates)``: rows beyond the first of each equal set.
-
-    ``empty_as`` makes an empty cell equal to this text in text columns.
-    """
+def _row_keys(df: DataFrame, empty_as: str | None = None) -> list[Column]:
     def key(name: str) -> Column:
         c = group_value(df, name)
         return F.coalesce(c, F.lit(empty_as)) if empty_as is not None and is_text(dtype(df, name)) else c
 
-    sizes = df.groupBy(*[key(c).alias(f"k{i}") for i, c in enumerate(df.columns)])
-    total = F.coalesce(F.sum("c"), F.lit(0))
-    return sizes.agg(F.count(F.lit(1)).alias("c")).agg(
-        total.alias("total"), (total - F.count(F.lit(1))).alias("duplicates")
-    )
+    return [key(c).alias(f"k{i}") for i, c in enumerate(df.columns)]
+
+
+def _fingerprint(keys: Sequence[str]) -> Column:
+    """Two 64-bit hashes of a row; where its cells are empty counts, as a hash passes over them."""
+    cells = [c for k in keys for c in (F.col(k), F.col(k).isNull())]
+    return F.struct(F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells))
+
+
+def duplicate_rows(df: DataFrame, empty_as: str | None = None) -> DataFrame:
+    """One row ``(total, duplicates)``: rows beyond the first of each equal set.
+
+    ``empty_as`` makes an empty cell equal to this text in text columns. Only fingerprints (16
+    bytes a row) are shuffled and counted. Rows whose fingerprint occurs once are no
+    duplicates; if there are others, the rows are read again, and those of such fingerprints
+    are compared whole, so two rows with one fingerprint by chance are still two.
+    """
+    keys, names = _row_keys(df, empty_as), [f"k{i}" for i in range(len(df.columns))]
+    marked = df.select(*keys).select("*", _fingerprint(names).alias("print"))
+    prints = marked.groupBy("print").agg(F.count(F.lit(1)).alias("c"))
+    counted = prints.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count_if(F.col("c") == 1).alias("single"))
+    # No row passes, and none is moved, if all fingerprints occur once.
+    rows = marked.where(counted.select(F.col("total") > F.col("single")).scalar())
+    several = rows.join(prints.where("c > 1"), "print", "left_semi").groupBy(*names).agg(F.lit(1).alias("one"))
+    found = several.agg(F.count(F.lit(1))).scalar()
+    return counted.select("total", (F.col("total") - F.col("single") - found).alias("duplicates"))
 
 
 def report(df: DataFrame, checks: Mapping[str, object], check_rows: bool = True) -> DataFrame:
     """``(check, column, metric, value, detail, passed)``, one line per check and column.
 
     ``checks`` holds ``empty``, ``empty_threshold`` (50), ``outliers``,
-    ``outlier_multiplier`` (1.5), ``type_check`` and ``duplicates``. The empty and type
-    checks share one pass over the table.
+    ``outlier_multiplier`` (1.5), ``type_check`` and ``duplicates``. The table is read once for
+    the empty and type checks and the sketches of the quartiles, once for the quartiles' values,
+    once to count outliers and once for the fingerprints of rows.
     """
     if check_rows and (not df.columns or df.isEmpty()):
         raise InsufficientData("the table has no rows")
@@ -284,10 +339,21 @@ def report(df: DataFrame, checks: Mapping[str, object], check_rows: bool = True)
                                pct < float(checks.get("empty_threshold", 50))))
     if checks.get("type_check"):
         per_column.append(line("type_check", F.col("column"), "kinds", _kind_count(), _kinds(), _kind_count() <= 1))
+    names, brackets = _number_columns(df, None) if checks.get("outliers") else [], None
+    if per_column and names:
+        # One row holds all that the first scan gives; both uses take it as a whole.
+        cells, aggregates, lines = _profile(df)
+        numbers = [num(df, c).alias(f"v{i}") for i, c in enumerate(names)]
+        sketched = F.array(*sketches([F.col(f"v{i}") for i in range(len(names))]))
+        first = df.select(*cells, *numbers).agg(*aggregates, sketched.alias("_s")).select(F.struct("*").alias("f")).scalar()
+        told = df.sparkSession.range(1).select(first.alias("f")).select("f.*")
+        told, brackets = told.select(F.explode(F.array(*lines)).alias("line")).select("line.*"), first["_s"]
+    elif per_column:
+        told = profile(df)
     if per_column:
-        parts.append(profile(df).select(F.explode(F.array(*per_column)).alias("line")).select("line.*"))
+        parts.append(told.select(F.explode(F.array(*per_column)).alias("line")).select("line.*"))
     if checks.get("outliers"):
-        found = outliers(df, multiplier=checks.get("outlier_multiplier", 1.5))
+        found = _outliers(df, names, _limits(df, names, checks.get("outlier_multiplier", 1.5), True, 0, brackets))
         shown = F.concat(F.lit("["), as_text(F.col("lower"), T.DoubleType()), F.lit(", "),
                          as_text(F.col("upper"), T.DoubleType()), F.lit("]"))
         parts.append(found.select(line("outliers", F.col("column"), "outliers", F.col("outliers"), shown,

@@ -139,9 +139,6 @@ def _assembler(header: bool, others: list[str]):
         def records(values, rows):
             """A batch of complete records, without empty ones and without the header."""
             nonlocal number, title
-            ends = pc.ends_with(values, "\r")
-            if pc.any(ends).as_py():
-                values = pc.if_else(ends, pc.utf8_slice_codeunits(values, 0, -1), values)
             returns = pc.match_substring(values, "\r")
             if pc.any(returns).as_py():  # a \r outside a cell ends a record too
                 parts, index = [], []
@@ -166,11 +163,11 @@ def _assembler(header: bool, others: list[str]):
             columns = [values, rows.column("file_no"), rows.column("block"), pa.array(at, pa.int64())]
             return pa.RecordBatch.from_arrays(columns + [rows.column(c) for c in others], names=["value", "file_no", "block", "at", *others])
 
-        def whole(lines):
-            return pa.array(["\n".join(line.removesuffix("\r") for line in lines)], pa.string())
-
         for batch in batches:
             values, turn = batch.column("value"), batch.column("turn").to_numpy()
+            ends = pc.ends_with(values, "\r")
+            if pc.any(ends).as_py():
+                values = pc.if_else(ends, pc.utf8_slice_codeunits(values, 0, -1), values)
             file, block, begin = (batch.column(c).to_numpy() for c in ("file_no", "block", "start"))
             change = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
             for low, high in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
@@ -191,22 +188,21 @@ def _assembler(header: bool, others: list[str]):
                 if held:
                     held += values.slice(low, until - low).to_pylist()
                     if len(starts):
-                        yield records(whole(held), first)
+                        yield records(pa.array(["\n".join(held)], pa.string()), first)
                         held = []
                 if not len(starts):
                     continue
-                ends = np.append(starts[1:], high)
                 if state:  # the last one goes on
                     a = int(starts[-1])
                     held, first = values.slice(a, high - a).to_pylist(), batch.slice(a, 1)
-                    starts, ends = starts[:-1], ends[:-1]
+                    starts, high = starts[:-1], a
                 if len(starts):
-                    rows = batch.take(pa.array(starts))
-                    texts, several = rows.column("value"), ends - starts > 1
-                    if several.any():
-                        joined = pa.concat_arrays([whole(values.slice(a, b - a).to_pylist()) for a, b in zip(starts[several].tolist(), ends[several].tolist())])
-                        texts = pc.replace_with_mask(texts, pa.array(several), joined)
-                    yield records(texts, rows)
+                    a = int(starts[0])
+                    texts = values.slice(a, high - a)
+                    if len(texts) > len(starts):
+                        lines = pa.ListArray.from_arrays(pa.array(np.append(starts, high) - a, pa.int32()), texts)
+                        texts = pc.binary_join(lines, "\n")
+                    yield records(texts, batch.take(pa.array(starts)) if len(starts) < batch.num_rows else batch)
 
     return run
 
@@ -218,19 +214,21 @@ def csv_records(spark: SparkSession, path: str | list[str], header: bool, sep: s
     ``header`` the first one of each file. ``order`` makes the sort key of files from their
     paths. ``block`` is twice the block's place in the file, one more for the record that goes
     on in later blocks; ``at`` counts the records of a block from 0. Lines stay in the task
-    that reads them while the blocks are few enough to be broadcast. The sort inside the
-    partitions is for the other case and finds the lines in order.
+    that reads them while the blocks are few enough to be broadcast; else a block's lines meet in
+    one task, where they are sorted.
     """
     lines = _lines(spark, path, sep, options)
-    few = F.broadcast if _few(lines) else lambda rows: rows
+    few = _few(lines)
+    small = F.broadcast if few else lambda rows: rows
     others = [f"`{c}`" for c in lines.columns[len(_LINE):]]
     kinds = {f.name: f.dataType.simpleString() for f in lines.schema}
-    starts = _starts(_blocks(lines), order(F.col("file")))
+    # One row per block already; as a grouping it keeps its columns, so both uses share one scan.
+    starts = _starts(_blocks(lines), order(F.col("file"))).distinct()
 
     # Lines before the first record of a block, and those from the start of one still open at its end.
     edges = starts.where("start = 1 or end.state = 1").select(
         "file", "block", "text", "owner", "file_no", F.when(F.col("start") == 1, F.coalesce("close", F.lit((1 << 63) - 1))).alias("until"), "end.opened")
-    met = lines.join(few(edges), ["file", "block"]).select(
+    met = lines.join(small(edges), ["file", "block"]).select(
         *others, "value", "place", "block", "file_no", (F.col("place") <= F.col("until")).alias("early"), "owner",
         F.coalesce(F.col("place") >= F.col("opened"), F.lit(False)).alias("late"), (F.col("opened") == F.col("text")).alias("title"))
     parts = met.where("early or late").select(
@@ -242,8 +240,10 @@ def csv_records(spark: SparkSession, path: str | list[str], header: bool, sep: s
         long = long.where("not title")
     long = long.select("value", "file_no", (2 * F.col("begins") + 1).alias("block"), F.lit(0).cast("long").alias("at"), *others)
 
-    placed = lines.join(few(starts.select("file", "block", "start", "file_no")), ["file", "block"]).select(
+    placed = lines.join(small(starts.select("file", "block", "start", "file_no")), ["file", "block"]).select(
         "file_no", "block", "place", "value", "turn", "start", *others)
     schema = "value string, file_no int, block long, at long" + "".join(f", {c} {kinds[c.strip('`')]}" for c in others)
-    inside = placed.sortWithinPartitions("file_no", "block", "place").mapInArrow(_assembler(header, [c.strip("`") for c in others]), schema)
+    if not few:  # lines come out of a shuffle
+        placed = placed.sortWithinPartitions("file_no", "block", "place")
+    inside = placed.mapInArrow(_assembler(header, [c.strip("`") for c in others]), schema)
     return inside.withColumn("block", 2 * F.col("block")).unionByName(long)

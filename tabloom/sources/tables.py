@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
@@ -220,6 +221,38 @@ def write_if(df: DataFrame, write: Callable[[DataFrame], None], found: DataFrame
     return True
 
 
+def write_staged(
+    df: DataFrame, path: str, format: str = "parquet", wanted: Callable[[dict[str, int]], bool] | None = None,
+    watched: dict[str, Observation] | None = None, **options,
+) -> int | None:
+    """Write a result that must not be empty, running its plan once; returns the rows written.
+
+    The result goes to a hidden folder beside the target while its rows are counted, and is
+    renamed to the target when it is complete and ``wanted``: by default, when it has a row.
+    Otherwise, and after a failure, nothing is left and None is returned. ``wanted`` gets
+    ``rows`` and the counts named ``rows`` of the ``watched`` observations, e.g. of the input,
+    so that a dedup is kept only if it removed rows. The target must not exist.
+    """
+    spark, seen = df.sparkSession, Observation()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target):
+        raise TableError(f"{path} exists")
+    staging = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_staged-{uuid.uuid4().hex}")
+    try:
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        counted.write.format(format).options(**options).save(staging.toString())
+        counts = {"rows": int(seen.get["rows"]), **{n: int(o.get["rows"]) for n, o in (watched or {}).items()}}
+        if not (counts["rows"] > 0 if wanted is None else wanted(counts)):
+            return None
+        if not system.rename(staging, target):
+            raise TableError(f"{path} could not be made")
+        return counts["rows"]
+    finally:
+        if system.exists(staging):
+            system.delete(staging, True)
+
+
 def _load(spark: SparkSession, path: str, format: str) -> DataFrame:
     options = {}
     if format == "csv":
