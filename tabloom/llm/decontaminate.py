@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import string
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import text_or_empty
+from tabloom.llm.common import text_or_empty, written
 
 #: Words of a shared span that must be found, of a gram, and the grams of a winnowing window:
 #: every span of WINDOW words holds the smallest of GRAMS consecutive grams.
 WINDOW, GRAM = 10, 5
 GRAMS = WINDOW - GRAM + 1
-#: Rows of benchmark fingerprints or windows (under 200 bytes each) that may be broadcast.
-BROADCAST_ROWS = 200_000
 
 #: What stands between words, before letters are lowered: all of ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,45 +50,63 @@ def _run_text(words: Column, start: Column, length: int | Column) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Broadcast if there are few enough rows, else leave both sides to a shuffled join."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).withColumn("digest", F.xxhash64("text"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents with hits only: _id, _digest (of the text), n_hit, n_items, items_sha256."""
+class _Look(NamedTuple):
+    """What one pass over the documents gives: a row per document, and the fingerprints it shares."""
+
+    documents: DataFrame
+    hits: DataFrame
+    short: list[int]
+    windows: DataFrame
+
+
+def _look(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str) -> _Look:
     items = benchmark.select(F.col(item_column).cast("string").alias("item"), item_words(text_or_empty(item_text)).alias("words")).where(
         F.col("item").isNotNull() & (F.size("words") > 0))
     short = sorted(r[0] for r in items.where(F.size("words") < WINDOW).select(F.size("words")).distinct().collect())  # of 1 to 9
     windows = items.select("item", F.explode(F.when(F.size("words") < WINDOW, F.array(F.array_join("words", " "))).otherwise(F.transform(
-        F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: _run_text(F.col("words"), i, WINDOW)))).alias("window")).distinct()
+        F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: _run_text(F.col("words"), i, WINDOW)))).alias("window"))
     whole = F.array().cast("array<bigint>")
     for length in short:
         whole = F.when(F.size("words") == length, _grams(F.col("words"), length)).otherwise(whole)
     fingerprints = winnowed(items, "words", "marks").select(F.explode(F.concat("marks", whole)).alias("gram")).distinct()
 
-    keyed = _keyed(docs, id_column, text_column)
-    worded = keyed.select("id", "digest", item_words(F.col("text")).alias("words"))
+    # Words are split once, for their number and their fingerprints. Each document also has a row
+    # of its own, under its digest, that passes the join whether it meets a fingerprint or not.
+    # Written tables have a known size, by which the join is planned.
+    worded = _keyed(docs, id_column, text_column).select("id", "digest", item_words(F.col("text")).alias("words"))
     marks = F.concat("marks", *[_grams(F.col("words"), length) for length in short])
-    hits = (
-        winnowed(worded, "words", "marks").select("id", "digest", F.explode(marks).alias("gram")).join(_sized(fingerprints), "gram")
-        .groupBy("id", "digest").agg(F.collect_set("gram").alias("hits"))
-    )
+    rows = winnowed(worded, "words", "marks").select(
+        "id", "digest", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array("digest"), marks)).alias("at", "gram"))
+    known = written(fingerprints).withColumn("known", F.lit(True))
+    met = written(rows.join(known, "gram", "left").where("at = 0 or known").select(
+        "id", "digest", "n_words", F.when(F.col("at") > 0, F.col("gram")).alias("gram")))
+    hits = written(met.where("gram is not null").groupBy("id", "digest").agg(F.collect_set("gram").alias("hits")))
+    shared = windows.groupBy("window").agg(F.collect_set("item").alias("items"))
+    return _Look(met.where("gram is null").drop("gram"), hits, short, written(shared))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents with hits only: _id, _digest (of the text), n_hit, n_items, items_sha256."""
+    return _judged(docs, _look(docs, benchmark, id_column, text_column, item_column, item_text), id_column, text_column)
+
+
+def _judged(docs: DataFrame, look: _Look, id_column: str, text_column: str) -> DataFrame:
     # Only documents with hits are taken apart again; their hits say where to look.
-    near = keyed.alias("k").join(
-        hits.alias("h"), F.col("k.id").eqNullSafe(F.col("h.id")) & (F.col("k.digest") == F.col("h.digest"))
+    near = _keyed(docs, id_column, text_column).alias("k").join(
+        look.hits.alias("h"), F.col("k.id").eqNullSafe(F.col("h.id")) & (F.col("k.digest") == F.col("h.digest"))
     ).select("k.id", "k.digest", item_words(F.col("text")).alias("words"), "hits")
     spans = near.select("id", "digest", "words", F.explode(F.array_distinct(F.concat(
         _around(F.col("words"), F.col("hits"), GRAM, GRAMS - 1, WINDOW),
-        *[_around(F.col("words"), F.col("hits"), length, 0, length) for length in short],
+        *[_around(F.col("words"), F.col("hits"), length, 0, length) for length in look.short],
     ))).alias("span")).select(
         "id", "digest", "span", _run_text(F.col("words"), F.col("span.start"), F.col("span.length")).alias("window"))
-    found = spans.join(_sized(windows), "window").groupBy("id", "digest").agg(
-        F.sort_array(F.collect_set("span")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    found = spans.join(look.windows, "window").groupBy("id", "digest").agg(
+        F.sort_array(F.collect_set("span")).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merged = F.aggregate(
         "spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")),
         lambda done, span: F.struct(
@@ -101,7 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **columns: str) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words are runs of a-z, digits and non-ASCII after A-Z is lowered. A window is 10 consecutive
@@ -114,10 +131,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     they occur; null ids are kept. Empty tables, on either side, give no hits. Items with equal
     windows all count; null item ids are left out. Other columns are not read.
     """
-    judged = contaminated(docs, benchmark, id_column, text_column, **columns)
-    keyed = _keyed(docs, id_column, text_column)
-    counted = keyed.select("id", "digest", F.regexp_count("text", F.lit(INSIDE)).cast("long").alias("n_words"))
-    joined = counted.join(judged, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    look = _look(docs, benchmark, id_column, text_column, item_column, item_text)
+    judged = _judged(docs, look, id_column, text_column)
+    joined = look.documents.join(judged, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     return joined.select(
         F.col("id").alias(id_column), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
