@@ -20,8 +20,11 @@ LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Primes below 2^31 and a base for each.
+PRIMES = ((2147483647, 1103515245), (2147483629, 1566083941))
+#: Bytes of spans that are hashed at once.
+BLOCK_BYTES = 1 << 20
+_tables = [[np.ones(1, np.uint32), np.ones(1, np.uint32)] for _ in PRIMES]
 
 
 class Words(NamedTuple):
@@ -80,14 +83,17 @@ def words(texts: pa.Array, lower: bool = False, inside: np.ndarray = ~_SPACE) ->
     return Words(data, edges, start, np.flatnonzero(ends) + 1, np.searchsorted(start, edges))
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse modulo 2^64."""
-    if len(_powers[0]) < size:
-        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:size], _powers[1][:size]
+def _powers(part: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo a prime, as far as a block of text needs them."""
+    prime, base = PRIMES[part]
+    if len(_tables[part][0]) < size:
+        size = max(size, BLOCK_BYTES + 1)
+        for k, step in enumerate((base, pow(base, -1, prime))):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate([table, table * np.uint64(pow(step, len(table), prime)) % np.uint64(prime)])
+            _tables[part][k] = table[:size].astype(np.uint32)
+    return _tables[part][0], _tables[part][1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -98,11 +104,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start])
+    """62-bit hashes of data[start:end], equal for equal bytes wherever they stand; spans are in order.
+
+    The bytes are digits of numbers modulo two primes. Two texts of n bytes collide for at most n
+    of the 2^31 bases of each prime, so no pattern makes words collide whatever the base, as it
+    does modulo a power of two. Spans are worked off by blocks of 1 MB, a longer one alone.
+    """
+    found, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        low = int(start[at])
+        stop = max(at + 1, int(np.searchsorted(end[at:], low + BLOCK_BYTES, "right")) + at)
+        found[at:stop] = _block_hash(data[low:int(end[stop - 1])], start[at:stop] - low, end[at:stop] - low)
+        at = stop
+    return found
+
+
+def _block_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    parts = []
+    for k, (prime, _) in enumerate(PRIMES):
+        up, down = _powers(k, len(data) + 1)
+        digits = (data.astype(np.uint64) + np.uint64(1)) * up[:len(data)]
+        if len(data) > 1 << 24:  # else no sum of 40-bit numbers exceeds 64 bits
+            digits %= np.uint64(prime)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(digits, out=sums[1:])
+        parts.append((sums[end] - sums[start]) % np.uint64(prime) * down[start] % np.uint64(prime))
+    return mixed(parts[0] << np.uint64(32) | parts[1])
 
 
 def runs_hash(values: np.ndarray, length: int) -> np.ndarray:
