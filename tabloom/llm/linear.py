@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -66,6 +67,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def each(function, x: np.ndarray) -> np.ndarray:
+    """A function of the math module at each value. numpy's own may round the last digit of a
+    value otherwise at another place of an array."""
+    return np.fromiter(map(function, x.tolist()), np.float64, len(x))
+
+
+def probability(x: np.ndarray) -> np.ndarray:
+    """The sigmoid, alike wherever a value stands."""
+    return 1 / (1 + each(math.exp, -np.clip(x, -40, 40)))
+
+
+#: Steps of a unit in which weights are summed up: whole numbers, whose sums are exact in any order.
+STEPS = float(1 << 24)
+
+
+def fixed(weights: np.ndarray) -> np.ndarray:
+    return np.rint(weights.astype(np.float64) * STEPS)
+
+
 class Adagrad:
     """Steps that shrink with the squared gradients so far, then a pull to zero (the proximal
     step of an L1 penalty): a weight whose gradient stays below the penalty stays zero."""
@@ -84,7 +104,7 @@ class Adagrad:
 def per_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of runs of values; run i is first[i] .. first[i + 1] - 1. A run's sum depends on
     its values only, not on what stands around it in a batch."""
-    if len(first) < 2:
-        return np.zeros(0)
-    sums = np.add.reduceat(np.append(values, 0).astype(np.float64), first[:-1])
-    return np.where(np.diff(first) > 0, sums, 0.0)
+    sums, filled = np.zeros(max(len(first) - 1, 0)), np.diff(first) > 0
+    if filled.any():
+        sums[filled] = np.add.reduceat(values[:first[-1]].astype(np.float64), first[:-1][filled])
+    return sums

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ship
-from tabloom.llm.linear import Adagrad, per_document, sampled, scored, sigmoid, trained
+from tabloom.llm.linear import STEPS, Adagrad, fixed, per_document, probability, sampled, scored, sigmoid, trained
 from tabloom.llm.textbatch import Words, mixed, ngram_hash, runs_hash, spans_hash, words
 
 #: Labelled rows the classifier is fitted on (every fifth for calibration), and its size.
@@ -169,10 +169,10 @@ def judge(model: dict | None, texts: pa.Array) -> dict:
     else:
         z = np.full(len(texts), model["bias"])
         for ids, first, left_out in _feature_ids(found):
-            weights, used = model["weights"][ids], np.ones(len(ids), bool)
+            weights, used = fixed(model["weights"][ids]), np.ones(len(ids), bool)
             weights[left_out], used[left_out] = 0, False
-            z += per_document(weights, first) / np.maximum(per_document(used, first), 1)
-        quality = sigmoid(model["slope"] * z + model["offset"])
+            z += per_document(weights, first) / STEPS / np.maximum(per_document(used, first), 1)
+        quality = probability(model["slope"] * z + model["offset"])
     return {
         "n_words": n_words.astype(np.int64), "word_chars": per_document(points, found.first).astype(np.int64),
         "n_symbols": per_document(_SYMBOL[data], edges).astype(np.int64), "n_dup_lines": _duplicate_lines(found).astype(np.int64),

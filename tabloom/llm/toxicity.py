@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import in_fold, ship
-from tabloom.llm.linear import Adagrad, per_document, sampled, scored, sigmoid, trained
+from tabloom.llm.linear import STEPS, Adagrad, each, fixed, per_document, probability, sampled, scored, sigmoid, trained
 from tabloom.llm.textbatch import LETTERS, ngram_hash, spans_hash, words
 
 #: Labelled rows of each class that the model is fitted on.
@@ -97,8 +99,8 @@ def score_texts(model: dict | None, texts: pa.Array) -> dict:
         empty = pa.array([[]] * len(texts), _SPANS)
         return {"score": np.zeros(len(texts)), "predicted": np.zeros(len(texts), np.int32), "sentences": empty}
     ids, firsts, of_texts, (start, end), edges = _sentences(texts)
-    p = sigmoid(per_document(model["weights"][ids], firsts) + model["bias"])
-    score = -np.expm1(per_document(np.log1p(-np.minimum(p, 1 - 1e-9)), of_texts))
+    p = probability(per_document(fixed(model["weights"][ids]), firsts) / STEPS + model["bias"])
+    score = -each(math.expm1, per_document(each(math.log1p, -np.minimum(p, 1 - 1e-9)), of_texts))
     score = np.clip(score, 0, 1)
     bad = np.flatnonzero(p >= 0.5)
     offsets = np.searchsorted(bad, of_texts).astype(np.int32)
