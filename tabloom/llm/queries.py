@@ -142,6 +142,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN p USING (r) LEFT JOIN c USING (r)
 """.replace("\\\\", "\\")
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT r, o, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+t AS (SELECT r, o, i, array_to_string(w[i:i + 19], ' ') AS x FROM s),
+f AS (SELECT x, min(struct_pack(o := o, i := i)) AS f FROM t GROUP BY x),
+p AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS k FROM t JOIN f USING (x) WHERE o <> f.o OR i <> f.i),
+v AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+g AS (
+  SELECT v.r, CAST(count(*) FILTER (p.k IS NOT NULL) AS BIGINT) AS n_removed,
+         string_agg(word, ' ' ORDER BY v.k) FILTER (p.k IS NULL) AS kept
+  FROM v LEFT JOIN p ON v.r = p.r AND v.k = p.k GROUP BY v.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
 OP11_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (
@@ -189,4 +207,6 @@ SELECT a.c AS conv_id, a.d AS depth, p.c AS parent_conv_id, a.n AS n_convs, a.ki
 FROM a JOIN z USING (path) LEFT JOIN a AS p ON a.d > 0 AND p.path = left(a.path, 64 * (a.d - 1))
 """
 
-ORACLES: dict[str, str] = {"op6_winnowing": OP6_SQL, "op11_sorted_runs": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLES: dict[str, str] = {
+    "op3_difference_cover": OP3_SQL, "op6_winnowing": OP6_SQL, "op11_sorted_runs": OP11_SQL, "op13_prefix_trie": OP13_SQL,
+}

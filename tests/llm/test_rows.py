@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tabloom.llm import common, language, lm, packing, quality, sharding, tokens, toxicity
+from tabloom.llm import common, language, lm, packing, quality, sharding, textbatch, tokens, toxicity
 from tabloom.llm.encoding import Counter as TokenCounter
 from tabloom.llm.encoding import Ids, loaded
 from tabloom.storage import scratch_dir
@@ -363,3 +363,36 @@ def test_native_operators_use_no_python(labelled):
 
 def test_helpers_sort_mixed_keys():
     assert sorted([(None,), (1,)], key=key) == [(1,), (None,)]
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("size", [64, 1024, 2048, 4096])
+def test_patterned_words_have_their_own_hashes(size):
+    """Thue-Morse words and their mirror images collide in polynomials modulo 2^64, whatever the base."""
+    pair = pa.array([f"{thue_morse(size, 0)} {thue_morse(size, 1)} {thue_morse(size, 0)}"])
+    found = textbatch.words(pair)
+    hashes = textbatch.spans_hash(found.bytes, found.start, found.end)
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_hashes_do_not_depend_on_the_place(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join("".join(rng.choice(list("abé"), rng.integers(1, 40))) for _ in range(400)) + " " + "x" * 5000])
+    found = textbatch.words(texts)
+    whole = textbatch.spans_hash(found.bytes, found.start, found.end)
+    monkeypatch.setattr(textbatch, "BLOCK_BYTES", 700)
+    assert (whole == textbatch.spans_hash(found.bytes, found.start, found.end)).all()
+    parts = [bytes(found.bytes[a:b]) for a, b in zip(found.start, found.end)]
+    names = dict(zip(parts, whole.tolist()))
+    assert all(names[p] == h for p, h in zip(parts, whole.tolist())) and len(set(names.values())) == len(names)
+
+
+def test_patterned_words_in_language_model(spark):
+    rows = [(k, f"{thue_morse(1024, 0)} w{k}") for k in range(40)] + [(k, thue_morse(1024, 1)) for k in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = (lm.F.col("doc_id") < 100)
+    known = {r.doc_id: r.n_known for r in lm.score_documents(df, train).collect()}
+    assert all(known[k] == 1 for k in range(100, 140))
