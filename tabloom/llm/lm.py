@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import in_fold, ship, written
+from tabloom.llm.common import delete, in_fold, ship
 from tabloom.llm.exchange import ask, bucket_bits, bucketed, by_bucket, cuts, gathered, pack, rows_of, unpack, write_chunks
 from tabloom.llm.linear import per_document
 from tabloom.llm.textbatch import slices, spans_hash, words
+from tabloom.storage import scratch_dir
 
 #: Every previous word, by its 64-bit hash, has a restaurant below the root. A bucket numbers
 #: its own; one without a list of contexts has CONTEXTS. The number after the last is no
@@ -481,7 +482,7 @@ def _drawn(discount: float, seed: int, k: int):
         ends = np.concatenate([[0], np.cumsum(room.askers[:, 1])])
         rows = [(-1, room.number, pack(tables.astype("<i8")), None, None)]
         for (bucket, n), a in zip(room.askers.tolist(), ends[:-1]):
-            rows.append((bucket, room.number, pack(pulls[room.changing[a:a + n]].astype("<f8")), float(n), None))
+            rows.append((bucket, room.number, pack(pulls[room.changing[a:a + n]].astype("<f4")), float(n), None))
         return _messages(rows)
 
     return run
@@ -496,7 +497,7 @@ def _swept(settings: Settings, k: int, bits: int):
         rows = sorted(got.to_pylist(), key=lambda row: row["room"])
         uneven = np.flatnonzero(_uneven(bucket))
         pulls = np.ones(bucket.restaurants)  # of no matter where each dish has one customer
-        pulls[uneven] = np.concatenate([np.zeros(0), *[_parts(r["data"], (int(r["tables"]), "<f8"))[0] for r in rows if r["room"] >= 0]])
+        pulls[uneven] = np.concatenate([np.zeros(0), *[_parts(r["data"], (int(r["tables"]), "<f4"))[0] for r in rows if r["room"] >= 0]])
         before = [bucket.unpack_state(r["data"]) for r in rows if r["room"] < 0]
         state = bucket.sweep(before[0] if before else bucket.start(), k, totals._replace(pulls=pulls), settings)
         sums = _sums(bucket, state)
@@ -597,6 +598,22 @@ def _document_scores(row: dict, settings: Settings, bits: int, tokens_total: int
     }
 
 
+class _Sweep(NamedTuple):
+    """What a sweep leaves, as two tables: the rows that stay, and those for the next step only."""
+
+    path: str
+    stays: DataFrame
+    passes: DataFrame
+
+
+def _kept(rows: DataFrame, stays: Column) -> _Sweep:
+    """Write messages; they are compressed already."""
+    spark, path = rows.sparkSession, scratch_dir(rows.sparkSession)
+    rows.withColumn("stays", stays.cast("int")).write.option("compression", "none").partitionBy("stays").parquet(path)
+    table = spark.read.schema(f"{_MESSAGE}, stays int").parquet(path)
+    return _Sweep(path, table.where("stays = 1").drop("stays"), table.where("stays = 0").drop("stays"))
+
+
 def score_documents(docs: DataFrame, train: Column | None = None, id_column: str = "doc_id", text_column: str = "text", seed: int = 1) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -608,7 +625,8 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
     each table there. Dishes lie in buckets of words, restaurants in buckets of contexts
     (rooms). A sweep sends each bucket the pulls of its contexts, drawn in their rooms, and the
     rooms the tables; contexts whose dishes have one customer each are sent once. Tables are
-    written after each sweep, so a lost executor changes nothing.
+    written after each sweep, so a lost executor changes nothing, and removed when the next step
+    that reads them is written.
 
     A null text is empty and has the end only; without training rows all tokens are unknown;
     ids may be null; rows with one id are documents of their own; an empty table gives an empty
@@ -641,15 +659,21 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
     for k in range(BURN_IN + SAMPLES + 1):
         pull = settings.root_discount * rng.gamma(ROOT_STRENGTH / settings.root_discount + after[0])
         settings = settings._replace(history=[*settings.history, Totals(none, *after, None, pull)])
-        sent = states[-1].where("room >= 0") if k else spark.createDataFrame([], _MESSAGE)
-        drawn = written(sent.groupBy("room").cogroup(rooms.groupBy("room")).applyInArrow(_drawn(settings.discount, seed, k), _MESSAGE), compression="none")
-        tables.append(drawn.where("bucket < 0"))
+        sent = states[-1].passes if k else spark.createDataFrame([], _MESSAGE)
+        drawn = _kept(sent.groupBy("room").cogroup(rooms.groupBy("room")).applyInArrow(_drawn(settings.discount, seed, k), _MESSAGE), F.col("bucket") < 0)
+        tables.append(drawn.stays)
+        if k:
+            delete(spark, f"{states[-1].path}/stays=0")
+        if k <= BURN_IN:  # the tables before sample j are those drawn with k = BURN_IN + 1 + j
+            delete(spark, f"{drawn.path}/stays=1")
         if k == BURN_IN + SAMPLES:
             break
-        got = drawn.where("bucket >= 0")
-        got = got.unionByName(states[-1].where("room < 0")) if k else got
-        states.append(written(got.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_swept(settings, k, bits), _MESSAGE), compression="none"))
-        after = tuple(n or 0 for n in states[-1].where("room < 0").agg(F.sum("tables"), F.sum("customers")).first())
+        got = drawn.passes.unionByName(states[-1].stays) if k else drawn.passes
+        states.append(_kept(got.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_swept(settings, k, bits), _MESSAGE), F.col("room") < 0))
+        delete(spark, f"{drawn.path}/stays=0")
+        if 0 < k <= BURN_IN:
+            delete(spark, states[-2].path)
+        after = tuple(n or 0 for n in states[-1].stays.agg(F.sum("tables"), F.sum("customers")).first())
 
     # Of the model: its own rows as sample -1, then what the samples left.
     def with_samples(own: DataFrame, name: str, samples: list[DataFrame]) -> DataFrame:
@@ -657,7 +681,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
             own = own.unionByName(rows.select(name, "data", F.lit(k).alias("sample")), allowMissingColumns=True)
         return own.withColumnRenamed(name, "bucket")
 
-    learned = with_samples(model.withColumn("sample", F.lit(-1)), "bucket", [s.where("room < 0") for s in states[-SAMPLES:]])
+    learned = with_samples(model.withColumn("sample", F.lit(-1)), "bucket", [s.stays for s in states[-SAMPLES:]])
     seated = with_samples(rooms.withColumn("sample", F.lit(-1)), "room", tables[-SAMPLES:]).withColumn("room", F.col("bucket"))
     replies = gathered(
         ask(chunks, _asked_entries, bits).groupBy("bucket").cogroup(learned.groupBy("bucket")).applyInArrow(_answer(settings), _ANSWER)
