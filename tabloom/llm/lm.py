@@ -12,15 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import delete, in_fold, ship
-from tabloom.llm.exchange import ask, bucket_bits, bucketed, by_bucket, cuts, gathered, pack, rows_of, unpack, write_chunks
+from tabloom.llm.exchange import answered, ask, bucket_bits, bucketed, by_bucket, cuts, gathered, rows_of, unpack, write_chunks
 from tabloom.llm.linear import per_document
 from tabloom.llm.textbatch import slices, spans_hash, words
 from tabloom.storage import scratch_dir
 
-#: Every previous word, by its 64-bit hash, has a restaurant below the root. A bucket numbers
-#: its own; one without a list of contexts has CONTEXTS. The number after the last is no
-#: restaurant: a customer, or a token, straight at the root.
-CONTEXTS = ROOT = 255
 #: Strengths of the context restaurants and the root, and the base measure's share for words
 #: that training doesn't have; the rest is even over those that it has.
 STRENGTH, ROOT_STRENGTH, UNKNOWN = 5.0, 1.0, 0.5
@@ -33,38 +29,88 @@ CHUNK_BYTES = 8 << 20
 _END = spans_hash(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))  # no word holds a line break
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed object, byte by byte of all numbers, as their upper bytes are mostly alike."""
+    planes = [np.ascontiguousarray(a).reshape(-1).view("u1").reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays]
+    return pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _parts(data: bytes, *parts: tuple[int, str]) -> list[np.ndarray]:
+    """The arrays that were packed together, by their lengths and types."""
+    kinds = [np.dtype(k) for _, k in parts]
+    raw, ends = unpack(data, sum(n * k.itemsize for (n, _), k in zip(parts, kinds))), np.cumsum([0, *(n * k.itemsize for (n, _), k in zip(parts, kinds))])
+    return [
+        np.ascontiguousarray(np.frombuffer(raw[a:b], "u1").reshape(k.itemsize, -1).T).reshape(-1).view(k) if b > a else np.zeros(0, k)
+        for k, a, b in zip(kinds, ends[:-1], ends[1:], strict=True)]
+
+
 def _make(columns: list[pa.Array]) -> dict:
-    """A chunk: ids, training flags, tokens of each text, and the tokens as codes of sorted keys."""
+    """A chunk: ids, training flags, tokens of each text, and the tokens as codes of its words,
+    the most frequent first."""
     ids, texts, train = columns
     keys, counts = [], []
     for start, stop in slices(texts):
         found = words(texts.slice(start, stop - start), lower=True)
         keys.append(np.insert(spans_hash(found.bytes, found.start, found.end), found.first[1:], _END[0]))
         counts.append(found.counts + 1)
-    distinct, codes = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, codes, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     return {
         "ids": ids, "train": np.packbits(np.asarray(train.to_numpy(zero_copy_only=False), bool)).tobytes(),
-        "counts": np.concatenate(counts).astype("<i8").tobytes(), "keys": distinct.astype("<u8").tobytes(), "codes": pack(codes.astype("<i4")),
-        "tokens": len(codes), "distinct": len(distinct),
+        "counts": np.concatenate(counts).astype("<i8").tobytes(), "keys": distinct[order].astype("<u8").tobytes(), "codes": pack(place[codes].astype("<i4")),
+        "times": pack(times[order].astype("<i8")), "tokens": len(codes), "distinct": len(distinct), "last": int(place[np.searchsorted(distinct, _END[0])]),
     }
 
 
-_FIELDS = "train binary, counts binary, keys binary, codes binary, tokens long, distinct long"
+_FIELDS = "train binary, counts binary, keys binary, codes binary, times binary, tokens long, distinct long, last long"
+
+
+def _words(row: dict):
+    """Each word of a chunk and how often it stands there, for the numbers of words."""
+    keys = np.frombuffer(row["keys"], "<u8")
+    (times,) = _parts(row["times"], (len(keys), "<i8"))
+    order = np.argsort(keys)
+    return keys[order], lambda a, b: pack(keys[order[a:b]], times[order[a:b]])
+
+
+def _ranks(rows: list[dict]) -> list[bytes]:
+    """The rank of each word in its bucket, the most frequent first, for each chunk that asks."""
+    parts = [_parts(row["data"], (row["size"], "<u8"), (row["size"], "<i8")) for row in rows]
+    names, place = np.unique(np.concatenate([keys for keys, _ in parts]), return_inverse=True)
+    times = np.zeros(len(names), np.int64)
+    np.add.at(times, place, np.concatenate([n for _, n in parts]))
+    ranks = np.empty(len(names), "<i8")
+    ranks[np.lexsort((names, -times))] = np.arange(len(names))
+    ends = np.cumsum([0, *(len(keys) for keys, _ in parts)])
+    return [pack(ranks[place[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class _Tokens:
-    """A chunk's tokens, and for each the code of the token before it in its text."""
+    """A chunk's tokens, and for each the code of the token before it in its text. The key of a
+    word is its bucket, in the upper bits, and its rank there; codes are places of sorted keys."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
         self.ids = row["ids"]
         self.counts = np.frombuffer(row["counts"], "<i8")
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(self.counts)).astype(bool)
-        self.keys = np.frombuffer(row["keys"], "<u8")
-        self.codes = np.frombuffer(unpack(row["codes"], 4 * row["tokens"]), "<i4").astype(np.int64)
+        hashes = np.frombuffer(row["keys"], "<u8")
+        order, numbers = np.argsort(hashes), by_bucket(row["numbers"])
+        keys = np.empty(len(hashes), np.uint64)
+        buckets, ends = cuts(hashes[order], bits)
+        for b, start, stop in zip(buckets.tolist(), ends[:-1], ends[1:], strict=True):
+            (ranks,) = _parts(numbers[b], (int(stop - start), "<i8"))
+            keys[order[start:stop]] = ranks.astype(np.uint64) + np.uint64(b << (64 - bits))
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        self.keys = keys[order]
+        self.codes = place[_parts(row["codes"], (row["tokens"], "<i4"))[0]]
         self.before = np.empty(len(self.codes), np.int64)
         self.before[1:] = self.codes[:-1]
-        self.before[self.first[:-1]] = np.searchsorted(self.keys, _END[0])  # each text has an end
+        self.before[self.first[:-1]] = place[row["last"]]  # each text has an end
 
     def pairs(self) -> np.ndarray:
         """Each token and the one before in one number that sorts like the keys."""
@@ -99,29 +145,31 @@ def _decode(data: bytes, pairs: int, *kinds: str) -> tuple:
     return keys, np.repeat(np.arange(count), each), *more
 
 
-def _parts(data: bytes, *parts: tuple[int, str]) -> list[np.ndarray]:
-    """The arrays that were packed together, by their lengths and types."""
-    sizes = [n * np.dtype(k).itemsize for n, k in parts]
-    raw, ends = unpack(data, sum(sizes)), np.cumsum([0, *sizes])
-    return [np.frombuffer(raw[a:a + size], k) for (_, k), a, size in zip(parts, ends, sizes)]
+def _training_entries(bits: int):
+    def entries(row: dict):
+        tokens = _Tokens(row, bits)
+        pairs, n = np.unique(tokens.pairs()[tokens.training()], return_counts=True)
+        keys, contexts = tokens.apart(pairs)
+        return keys, lambda a, b: _encode(keys[a:b], contexts[a:b], n[a:b].astype("<i8"))
 
+    return entries
 
-def _training_entries(row: dict):
-    tokens = _Tokens(row)
-    pairs, n = np.unique(tokens.pairs()[tokens.training()], return_counts=True)
-    keys, contexts = tokens.apart(pairs)
-    return keys, lambda a, b: _encode(keys[a:b], contexts[a:b], n[a:b].astype("<i8"))
 
+def _asked_entries(bits: int):
+    def entries(row: dict):
+        tokens = _Tokens(row, bits)
+        keys, contexts = tokens.apart(np.unique(tokens.pairs()))
+        return keys, lambda a, b: _encode(keys[a:b], contexts[a:b])
 
-def _asked_entries(row: dict):
-    tokens = _Tokens(row)
-    keys, contexts = tokens.apart(np.unique(tokens.pairs()))
-    return keys, lambda a, b: _encode(keys[a:b], contexts[a:b])
+    return entries
 
 
-def _asked_contexts(row: dict):
-    keys = np.frombuffer(row["keys"], "<u8")
-    return keys, lambda a, b: pack(keys[a:b])
+def _asked_contexts(bits: int):
+    def entries(row: dict):
+        keys = _Tokens(row, bits).keys
+        return keys, lambda a, b: pack(keys[a:b])
+
+    return entries
 
 
 def _merged(table: pa.Table) -> pa.Table:
@@ -142,24 +190,22 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({
         "bucket": pa.array([rows[0]["bucket"]], pa.int32()), "size": pa.array([len(begin)], pa.int64()),
         "data": pa.array([_encode(keys[begin], dishes.astype("<i4"), counts.astype("<i8"))], pa.binary()),
-        "contexts": pa.array([names.astype("<u8").tobytes()], pa.binary())})
+        "restaurants": pa.array([len(names)], pa.int64()), "contexts": pa.array([pack(names.astype("<u8"))], pa.binary())})
 
 
 class Totals(NamedTuple):
-    """Tables of each context restaurant, tables and customers of the root; the draws of what
-    pulls customers to new tables, or None for their means."""
+    """Tables and customers of the root, and the draws of what pulls customers to new tables: in
+    the root, and in each context restaurant of a bucket."""
 
-    tables: np.ndarray
     root_tables: float
     root_customers: float
+    root_pull: float
     pulls: np.ndarray | None = None
-    root_pull: float | None = None
 
 
 class Settings(NamedTuple):
-    """What all buckets need: customers of the contexts, words, discounts, totals after each sweep."""
+    """What all buckets need: words, discounts, totals after each sweep."""
 
-    customers: np.ndarray
     words: int
     discount: float
     root_discount: float
@@ -181,16 +227,14 @@ class Bucket:
 
     def __init__(self, row: dict):
         self.number = row["bucket"]
-        self.contexts = np.frombuffer(row["contexts"], "<u8") if row.get("contexts") is not None else None
-        self.restaurants = CONTEXTS if self.contexts is None else len(self.contexts)
-        self.keys, word, dishes, counts = _decode(row["data"], row["size"], "u1" if self.contexts is None else "<i4", "<i8")
-        below = dishes != self.restaurants
-        self.word, self.dish, self.count = word[below], dishes[below].astype(np.int64), counts[below]
-        self.total = np.bincount(word, counts, len(self.keys)).astype(np.int64)
-        self.direct = self.total - np.bincount(self.word, self.count, len(self.keys)).astype(np.int64)
+        self.restaurants = row["restaurants"]
+        (self.contexts,) = _parts(row["contexts"], (self.restaurants, "<u8"))
+        self.keys, self.word, dish, self.count = _decode(row["data"], row["size"], "<i4", "<i8")
+        self.dish = dish.astype(np.int64)
+        self.total = np.bincount(self.word, self.count, len(self.keys)).astype(np.int64)
 
     def root_customers(self, seated: np.ndarray) -> np.ndarray:
-        return self.direct + np.bincount(self.word, seated, len(self.keys)).astype(np.int64)
+        return np.bincount(self.word, seated, len(self.keys)).astype(np.int64)
 
     def start(self) -> State:
         ones = np.ones(len(self.count), np.int64)
@@ -212,8 +256,7 @@ class Bucket:
         """
         rng = np.random.default_rng([settings.seed, self.number, k])
         base = (1 - UNKNOWN) / max(settings.words, 1)
-        root_pull = ROOT_STRENGTH + settings.root_discount * totals.root_tables if totals.root_pull is None else totals.root_pull
-        pulls = STRENGTH + settings.discount * totals.tables if totals.pulls is None else totals.pulls
+        root_pull, pulls = totals.root_pull, totals.pulls
         before = self.root_customers(state.seated)
         mass = rng.gamma(before - settings.root_discount * state.tables) + _tilted_stable(len(before), root_pull * base, settings.root_discount, rng)
         above = mass / (totals.root_customers + ROOT_STRENGTH)
@@ -223,12 +266,6 @@ class Bucket:
         tables, root_rest = reseat(customers, np.full(len(customers), root_pull * base), settings.root_discount, rng, *_fitted(state, before, customers))
         return State(seated, rest, tables, root_rest)
 
-    def sweeps(self, settings: Settings) -> Iterator[State]:
-        state = self.start()
-        for k, totals in enumerate(settings.history):
-            state = self.sweep(state, k, totals, settings)
-            yield state
-
     def pack_state(self, state: State) -> bytes:
         return pack(state.seated.astype("<i8"), state.rest.astype("<i8"), state.tables.astype("<i8"), state.root_rest.astype("<i8"))
 
@@ -349,7 +386,7 @@ def _steps(customers, rate, discount, rng, tables, rest):
 def _start(bucket: Bucket) -> np.ndarray:
     """Customers and dishes of each context, then counts of the root."""
     n = bucket.restaurants
-    root = (len(bucket.keys), bucket.total.sum(), bucket.direct.sum() + len(bucket.dish), (bucket.count == 1).sum(), (bucket.count == 2).sum(), (bucket.total == 1).sum(), (bucket.total == 2).sum())
+    root = (len(bucket.keys), bucket.total.sum(), len(bucket.dish), (bucket.count == 1).sum(), (bucket.count == 2).sum(), (bucket.total == 1).sum(), (bucket.total == 2).sum())
     return np.concatenate([np.bincount(bucket.dish, bucket.count, n), np.bincount(bucket.dish, minlength=n), root])
 
 
@@ -360,45 +397,17 @@ def _discount(once: float, twice: float) -> float:
 
 def _sums(bucket: Bucket, state: State) -> np.ndarray:
     """Tables of each context, then tables and customers of the root."""
-    return np.concatenate([np.bincount(bucket.dish, state.seated, bucket.restaurants), [state.tables.sum(), bucket.direct.sum() + state.seated.sum()]])
-
-
-def _after_sweep(settings: Settings):
-    return lambda bucket: _sums(bucket, list(bucket.sweeps(settings))[-1])
-
-
-class Prediction(NamedTuple):
-    """What averages the samples: weights of the root's predictions in each restaurant."""
-
-    settings: Settings
-    shares: np.ndarray
-    unknown: np.ndarray
+    return np.concatenate([np.bincount(bucket.dish, state.seated, bucket.restaurants), [state.tables.sum(), state.seated.sum()]])
 
 
 def _unknown_root(totals: Totals, settings: Settings) -> float:
     return (ROOT_STRENGTH + settings.root_discount * totals.root_tables) / (totals.root_customers + ROOT_STRENGTH) * UNKNOWN
 
 
-def _prediction(settings: Settings) -> Prediction:
-    samples = settings.history[-SAMPLES:]
-    shares = np.ones((len(settings.customers) + 1, SAMPLES))
-    for k, totals in enumerate(samples):
-        shares[:-1, k] = (STRENGTH + settings.discount * totals.tables) / (settings.customers + STRENGTH)
-    return Prediction(settings, shares, (shares * np.array([_unknown_root(t, settings) for t in samples])).mean(axis=1))
-
-
 def _sampled(bucket: Bucket, states: list[State], after: list[Totals], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Root predictions of each word in each sample, and each dish's own averaged mass."""
+    """Root predictions of each word in each sample, and the tables of each dish in all samples together."""
     roots = [bucket.root_prediction(bucket.root_customers(s.seated), s.tables, totals, settings) for s, totals in zip(states, after, strict=True)]
-    return np.stack(roots, axis=1), np.mean([bucket.count - settings.discount * s.seated for s in states], axis=0)
-
-
-def _averaged(bucket: Bucket, prediction: Prediction) -> tuple[np.ndarray, np.ndarray]:
-    """Root predictions of each word in each sample, and each dish's own averaged probability."""
-    settings = prediction.settings
-    states = list(bucket.sweeps(settings._replace(history=settings.history[:-1])))[BURN_IN:]
-    roots, mass = _sampled(bucket, states, settings.history[-SAMPLES:], settings)
-    return roots, mass / (settings.customers[bucket.dish] + STRENGTH)
+    return np.stack(roots, axis=1), np.sum([s.seated for s in states], axis=0)
 
 
 #: Messages between buckets of words and of contexts. Rows of a bucket's own have no room (-1).
@@ -520,7 +529,7 @@ def _answers(rows: list[dict], data: list[bytes], sign: int = 1) -> pa.Table:
 
 
 def _answer(settings: Settings):
-    """For each key asked: customers and root predictions; for each pair its own mass."""
+    """For each key asked: customers and root predictions; for each pair customers and tables of its dish."""
     after = settings.history[-SAMPLES:]
     unknown = np.array([_unknown_root(t, settings) for t in after])
 
@@ -529,12 +538,13 @@ def _answer(settings: Settings):
         parts = sorted(model.to_pylist(), key=lambda row: row["sample"])
         bucket = Bucket(parts[0]) if parts else None
         if bucket:
-            roots, own = _sampled(bucket, [bucket.unpack_state(p["data"]) for p in parts[1:]], after, settings)
+            roots, seated = _sampled(bucket, [bucket.unpack_state(p["data"]) for p in parts[1:]], after, settings)
             places = bucket.word * bucket.restaurants + bucket.dish
         data = []
         for row in rows:
             keys, word, contexts = _decode(row["data"], row["size"], "<u8")
-            count, chances, mass = np.zeros(len(keys), np.int64), np.tile(unknown, (len(keys), 1)), np.zeros(len(word))
+            count, chances = np.zeros(len(keys), "<i8"), np.tile(unknown, (len(keys), 1))
+            own, tables = np.zeros(len(word), "<i8"), np.zeros(len(word), "<i8")
             if bucket:
                 at = np.minimum(np.searchsorted(bucket.keys, keys), len(bucket.keys) - 1)
                 known = bucket.keys[at] == keys
@@ -543,8 +553,9 @@ def _answer(settings: Settings):
                 pairs = np.flatnonzero(known[word] & (bucket.contexts[dish] == contexts))
                 wanted = at[word[pairs]] * bucket.restaurants + dish[pairs]
                 found = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
-                mass[pairs] = np.where(places[found] == wanted, own[found], 0)
-            data.append(len(keys).to_bytes(4, "little") + pack(count.astype("<i8"), chances.astype("<f4"), mass.astype("<f4")))
+                served = places[found] == wanted
+                own[pairs], tables[pairs] = np.where(served, bucket.count[found], 0), np.where(served, seated[found], 0)
+            data.append(len(keys).to_bytes(4, "little") + pack(count, chances.astype("<f4"), own, tables))
         return _answers(rows, data)
 
     return run
@@ -570,18 +581,18 @@ def _context_answer(asked: pa.Table, rooms: pa.Table) -> pa.Table:
 
 
 def _document_scores(row: dict, settings: Settings, bits: int, tokens_total: int) -> dict:
-    tokens = _Tokens(row)
+    tokens = _Tokens(row, bits)
     pairs, which = np.unique(tokens.pairs(), return_inverse=True)
     word, context = pairs // len(tokens.keys), pairs % len(tokens.keys)
     answers = by_bucket(row["answers"])
-    counts, roots, own = [np.zeros(0, np.int64)], [np.zeros((0, SAMPLES), "<f4")], [np.zeros(0, "<f4")]
+    counts, roots, own = [np.zeros(0, np.int64)], [np.zeros((0, SAMPLES), "<f4")], [np.zeros(0)]
     buckets, ends = cuts(tokens.keys[word], bits)
     for b, start, stop in zip(buckets, ends[:-1], ends[1:], strict=True):
         n = int.from_bytes(answers[int(b)][:4], "little")
-        count, root, mass = _parts(answers[int(b)][4:], (n, "<i8"), (SAMPLES * n, "<f4"), (int(stop - start), "<f4"))
+        count, root, customers, tables = _parts(answers[int(b)][4:], (n, "<i8"), (SAMPLES * n, "<f4"), *[(int(stop - start), "<i8")] * 2)
         counts.append(count)
         roots.append(root.reshape(-1, SAMPLES))
-        own.append(mass)
+        own.append(customers - settings.discount * tables / SAMPLES)
     rooms, ends = cuts(tokens.keys, bits)
     found = [_parts(answers[-1 - int(b)], (int(stop - start) * (1 + SAMPLES), "<i8"))[0].reshape(-1, 1 + SAMPLES) for b, start, stop in zip(rooms, ends[:-1], ends[1:], strict=True)]
     found = np.concatenate([np.zeros((0, 1 + SAMPLES), np.int64), *found])
@@ -630,7 +641,8 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
 
     A null text is empty and has the end only; without training rows all tokens are unknown;
     ids may be null; rows with one id are documents of their own; an empty table gives an empty
-    result. Other columns are not read. Words are told apart by 64-bit hashes.
+    result. Other columns are not read. Words are told apart by 64-bit hashes, and numbered in
+    their buckets by falling frequency, so that pairs of words travel in some 2 bytes a word.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -640,9 +652,11 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
         docs.select(F.col(id_column), F.col(text_column).alias("text"), flag.alias("train")), _make, f"ids array<{kind}>, {_FIELDS}", CHUNK_BYTES)
     entries = chunks.agg(F.sum("tokens")).first()[0] or 0
     bits, parts = bucket_bits(spark, entries), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = answered(ask(chunks, _words, bits), _ranks).withColumnRenamed("answers", "numbers")
+    chunks = chunks.join(bucketed(numbers, "chunk", parts), "chunk")
 
     model = bucketed(
-        ask(chunks, _training_entries, bits).groupBy("bucket").applyInArrow(_merged, "bucket int, size long, data binary, contexts binary"), "bucket", parts)
+        ask(chunks, _training_entries(bits), bits).groupBy("bucket").applyInArrow(_merged, "bucket int, size long, data binary, restaurants long, contexts binary"), "bucket", parts)
     rooms = bucketed(model.mapInArrow(_links(bits), _MESSAGE).groupBy("room").applyInArrow(_room, _ROOM), "room", parts)
 
     def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -652,13 +666,12 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
 
     counted = model.mapInArrow(root, ", ".join(f"n{k} long" for k in range(7))).agg(*[F.sum(f"n{k}") for k in range(7)]).first()
     n_words, n_tokens, root_customers, *counts = (n or 0 for n in counted)
-    settings = Settings(np.zeros(0), n_words, _discount(*counts[:2]), _discount(*counts[2:]), [], seed)
-    none = np.zeros(0)
+    settings = Settings(n_words, _discount(*counts[:2]), _discount(*counts[2:]), [], seed)
     rng = np.random.default_rng(seed)
     after, states, tables = (n_words, root_customers), [], []
     for k in range(BURN_IN + SAMPLES + 1):
         pull = settings.root_discount * rng.gamma(ROOT_STRENGTH / settings.root_discount + after[0])
-        settings = settings._replace(history=[*settings.history, Totals(none, *after, None, pull)])
+        settings = settings._replace(history=[*settings.history, Totals(*after, pull)])
         sent = states[-1].passes if k else spark.createDataFrame([], _MESSAGE)
         drawn = _kept(sent.groupBy("room").cogroup(rooms.groupBy("room")).applyInArrow(_drawn(settings.discount, seed, k), _MESSAGE), F.col("bucket") < 0)
         tables.append(drawn.stays)
@@ -684,8 +697,8 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
     learned = with_samples(model.withColumn("sample", F.lit(-1)), "bucket", [s.stays for s in states[-SAMPLES:]])
     seated = with_samples(rooms.withColumn("sample", F.lit(-1)), "room", tables[-SAMPLES:]).withColumn("room", F.col("bucket"))
     replies = gathered(
-        ask(chunks, _asked_entries, bits).groupBy("bucket").cogroup(learned.groupBy("bucket")).applyInArrow(_answer(settings), _ANSWER)
-        .unionByName(ask(chunks, _asked_contexts, bits).groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_context_answer, _ANSWER)))
+        ask(chunks, _asked_entries(bits), bits).groupBy("bucket").cogroup(learned.groupBy("bucket")).applyInArrow(_answer(settings), _ANSWER)
+        .unionByName(ask(chunks, _asked_contexts(bits), bits).groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_context_answer, _ANSWER)))
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

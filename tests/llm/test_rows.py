@@ -62,32 +62,34 @@ def test_without_training_rows_all_is_unknown(docs):
     assert all(abs(r["score"] - r["n_tokens"] * math.log10(lm.UNKNOWN)) < 1e-3 * r["n_tokens"] for r in found)
 
 
-def test_predictions_sum_to_one():
-    """Over all words and the unknown, in the root and in a context, after any sweep."""
+def test_predictions_sum_to_one(spark):
+    """After each of the words, an unknown word and the start, the chances of all words, of the
+    unknown ones together and of the end sum to one.
+
+    A text's score is a product of chances from start to end, so score(c w) / score(c) is the
+    chance of w after c times f(w) / f(c), where f is the chance of the end after a word. Such
+    a matrix has the eigenvalue 1 exactly if the chances sum to one with the vector 1 / f.
+    """
+    from pyspark.sql import functions as F
+
+    words_ = [f"w{k}" for k in range(12)]
     rng = np.random.default_rng(0)
-    keys = np.sort(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
-    dishes, counts, all_keys = [], [], []
-    for k in keys:
-        for d in sorted(rng.choice([0, 1, 2, lm.ROOT], rng.integers(1, 4), replace=False)):
-            all_keys.append(k)
-            dishes.append(d)
-            counts.append(rng.integers(1, 2000))
-    data = lm._encode(np.array(all_keys), np.array(dishes, np.uint8), np.array(counts, "<i8"))
-    bucket = lm.Bucket({"bucket": 3, "size": len(dishes), "data": data})
-    assert bucket.total.sum() == sum(counts)
-    start = lm._start(bucket)
-    customers = np.array([start[k] for k in range(lm.CONTEXTS)])
-    settings = lm.Settings(customers, len(keys), 0.6, 0.7, [lm.Totals(np.array([start[lm.CONTEXTS + k] for k in range(lm.CONTEXTS)]), len(keys), start[2 * lm.CONTEXTS + 2])], 5)
-    for _ in range(lm.BURN_IN + lm.SAMPLES):
-        sums = lm._after_sweep(settings)(bucket)
-        settings = settings._replace(history=[*settings.history, lm.Totals(np.array([sums[k] for k in range(lm.CONTEXTS)]), sums[lm.CONTEXTS], sums[lm.CONTEXTS + 1])])
-    prediction = lm._prediction(settings)
-    roots, own = lm._averaged(bucket, prediction)
-    for context in (0, 1, 2, lm.ROOT):
-        chance = (roots * prediction.shares[context]).mean(axis=1)
-        here = bucket.dish == context
-        np.add.at(chance, bucket.word[here], own[here])
-        assert abs(chance.sum() + prediction.unknown[context] - 1) < 1e-9
+    # w0 has thousands of customers, above what is weighed directly; w11 is met once.
+    p = np.arange(12, 0, -1.0) ** 3
+    train = [(k, " ".join(rng.choice(words_[:11], 400, p=p[:11] / p[:11].sum())) + (" w11" if k == 5 else ""), True) for k in range(30)]
+    states = [*words_, "unknown"]
+    texts = ["", *states, *(f"{c} {w}" for c in states for w in states)]
+    table = spark.createDataFrame(train + [(100 + k, t, False) for k, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    found = {r["doc_id"]: r["score"] for r in lm.score_documents(table.repartition(3), F.col("train")).collect()}
+    score = {t: found[100 + k] for k, t in enumerate(texts)}
+    n = len(states)
+    chances = np.empty((n + 1, n + 1))
+    for a, c in enumerate(states):
+        chances[a, :n] = [10 ** (score[f"{c} {w}"] - score[c]) for w in states]
+        chances[a, n] = 1.0
+    chances[n, :n] = [10 ** score[w] for w in states]
+    chances[n, n] = 10 ** score[""]
+    assert abs(max(abs(np.linalg.eigvals(chances))) - 1) < 1e-5
 
 
 def test_seating():
