@@ -25,6 +25,9 @@ BURN_IN, SAMPLES = 2, 3
 #: Customers of a dish up to which all numbers of tables are weighed; above, Metropolis steps a sweep.
 SMALL, STEPS = 64, 8
 CHUNK_BYTES = 8 << 20
+#: Contexts that a room is meant to hold. Buckets of words and rooms exchange a message a pair, so
+#: there are no more rooms than the contexts need, whatever the number of partitions.
+ROOM_CONTEXTS = 1 << 16
 
 _END = spans_hash(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))  # no word holds a line break
 
@@ -87,22 +90,27 @@ def _ranks(rows: list[dict]) -> list[bytes]:
     return [pack(ranks[place[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _word_keys(row: dict, bits: int) -> np.ndarray:
+    """The key of each word of a chunk: its bucket, in the upper bits, and its rank there."""
+    hashes = np.frombuffer(row["keys"], "<u8")
+    order, numbers = np.argsort(hashes), by_bucket(row["numbers"])
+    keys = np.empty(len(hashes), np.uint64)
+    buckets, ends = cuts(hashes[order], bits)
+    for b, start, stop in zip(buckets.tolist(), ends[:-1], ends[1:], strict=True):
+        (ranks,) = _parts(numbers[b], (int(stop - start), "<i8"))
+        keys[order[start:stop]] = ranks.astype(np.uint64) + np.uint64(b << (64 - bits))
+    return keys
+
+
 class _Tokens:
-    """A chunk's tokens, and for each the code of the token before it in its text. The key of a
-    word is its bucket, in the upper bits, and its rank there; codes are places of sorted keys."""
+    """A chunk's tokens as places of sorted keys, and for each the token before it in its text."""
 
     def __init__(self, row: dict, bits: int):
         self.ids = row["ids"]
         self.counts = np.frombuffer(row["counts"], "<i8")
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8), count=len(self.counts)).astype(bool)
-        hashes = np.frombuffer(row["keys"], "<u8")
-        order, numbers = np.argsort(hashes), by_bucket(row["numbers"])
-        keys = np.empty(len(hashes), np.uint64)
-        buckets, ends = cuts(hashes[order], bits)
-        for b, start, stop in zip(buckets.tolist(), ends[:-1], ends[1:], strict=True):
-            (ranks,) = _parts(numbers[b], (int(stop - start), "<i8"))
-            keys[order[start:stop]] = ranks.astype(np.uint64) + np.uint64(b << (64 - bits))
+        keys = _word_keys(row, bits)
         order = np.argsort(keys)
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
@@ -166,7 +174,7 @@ def _asked_entries(bits: int):
 
 def _asked_contexts(bits: int):
     def entries(row: dict):
-        keys = _Tokens(row, bits).keys
+        keys = np.sort(_word_keys(row, bits))
         return keys, lambda a, b: pack(keys[a:b])
 
     return entries
@@ -580,7 +588,7 @@ def _context_answer(asked: pa.Table, rooms: pa.Table) -> pa.Table:
     return _answers(rows, data, -1)
 
 
-def _document_scores(row: dict, settings: Settings, bits: int, tokens_total: int) -> dict:
+def _document_scores(row: dict, settings: Settings, bits: int, room_bits: int, tokens_total: int) -> dict:
     tokens = _Tokens(row, bits)
     pairs, which = np.unique(tokens.pairs(), return_inverse=True)
     word, context = pairs // len(tokens.keys), pairs % len(tokens.keys)
@@ -593,7 +601,7 @@ def _document_scores(row: dict, settings: Settings, bits: int, tokens_total: int
         counts.append(count)
         roots.append(root.reshape(-1, SAMPLES))
         own.append(customers - settings.discount * tables / SAMPLES)
-    rooms, ends = cuts(tokens.keys, bits)
+    rooms, ends = cuts(tokens.keys, room_bits)
     found = [_parts(answers[-1 - int(b)], (int(stop - start) * (1 + SAMPLES), "<i8"))[0].reshape(-1, 1 + SAMPLES) for b, start, stop in zip(rooms, ends[:-1], ends[1:], strict=True)]
     found = np.concatenate([np.zeros((0, 1 + SAMPLES), np.int64), *found])
     customers = found[:, 0] + STRENGTH
@@ -657,7 +665,6 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
 
     model = bucketed(
         ask(chunks, _training_entries(bits), bits).groupBy("bucket").applyInArrow(_merged, "bucket int, size long, data binary, restaurants long, contexts binary"), "bucket", parts)
-    rooms = bucketed(model.mapInArrow(_links(bits), _MESSAGE).groupBy("room").applyInArrow(_room, _ROOM), "room", parts)
 
     def root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -666,6 +673,8 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
 
     counted = model.mapInArrow(root, ", ".join(f"n{k} long" for k in range(7))).agg(*[F.sum(f"n{k}") for k in range(7)]).first()
     n_words, n_tokens, root_customers, *counts = (n or 0 for n in counted)
+    room_bits = min((n_words // ROOM_CONTEXTS).bit_length(), bits)
+    rooms = bucketed(model.mapInArrow(_links(room_bits), _MESSAGE).groupBy("room").applyInArrow(_room, _ROOM), "room", parts)
     settings = Settings(n_words, _discount(*counts[:2]), _discount(*counts[2:]), [], seed)
     rng = np.random.default_rng(seed)
     after, states, tables = (n_words, root_customers), [], []
@@ -682,7 +691,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
         if k == BURN_IN + SAMPLES:
             break
         got = drawn.passes.unionByName(states[-1].stays) if k else drawn.passes
-        states.append(_kept(got.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_swept(settings, k, bits), _MESSAGE), F.col("room") < 0))
+        states.append(_kept(got.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(_swept(settings, k, room_bits), _MESSAGE), F.col("room") < 0))
         delete(spark, f"{drawn.path}/stays=0")
         if 0 < k <= BURN_IN:
             delete(spark, states[-2].path)
@@ -698,12 +707,12 @@ def score_documents(docs: DataFrame, train: Column | None = None, id_column: str
     seated = with_samples(rooms.withColumn("sample", F.lit(-1)), "room", tables[-SAMPLES:]).withColumn("room", F.col("bucket"))
     replies = gathered(
         ask(chunks, _asked_entries(bits), bits).groupBy("bucket").cogroup(learned.groupBy("bucket")).applyInArrow(_answer(settings), _ANSWER)
-        .unionByName(ask(chunks, _asked_contexts(bits), bits).groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_context_answer, _ANSWER)))
+        .unionByName(ask(chunks, _asked_contexts(bits), room_bits).groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_context_answer, _ANSWER)))
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in rows_of(batch):
-                found = _document_scores(row, settings, bits, int(n_tokens))
+                found = _document_scores(row, settings, bits, room_bits, int(n_tokens))
                 yield pa.RecordBatch.from_arrays(
                     [found["id"]] + [pa.array(found[k]) for k in ("n_tokens", "n_known", "base_score", "score")],
                     names=["id", "n_tokens", "n_known", "base_score", "score"])

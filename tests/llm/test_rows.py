@@ -62,7 +62,7 @@ def test_without_training_rows_all_is_unknown(docs):
     assert all(abs(r["score"] - r["n_tokens"] * math.log10(lm.UNKNOWN)) < 1e-3 * r["n_tokens"] for r in found)
 
 
-def test_predictions_sum_to_one(spark):
+def test_predictions_sum_to_one(spark, monkeypatch):
     """After each of the words, an unknown word and the start, the chances of all words, of the
     unknown ones together and of the end sum to one.
 
@@ -72,6 +72,7 @@ def test_predictions_sum_to_one(spark):
     """
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr("tabloom.llm.lm.ROOM_CONTEXTS", 4)  # several rooms
     words_ = [f"w{k}" for k in range(12)]
     rng = np.random.default_rng(0)
     # w0 has thousands of customers, above what is weighed directly; w11 is met once.
