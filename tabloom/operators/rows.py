@@ -266,8 +266,9 @@ def attach_banner(
     """Rows of every output: lead block, header, the key's data rows, tail block.
 
     Adds ``split_key`` and ``place``; an output is its key's rows ordered by
-    ``(place, row_no)``. The numbers of the banner rows reach the distinct keys as one scalar
-    array; the rows themselves are joined by number. Data rows do not move.
+    ``(place, row_no)``. The distinct keys are joined with the banner rows by pieces of 1,024
+    numbers, whose list is a scalar array: 100 million tail rows are 100,000 pieces. Data rows
+    do not move.
     """
     place = F.lit(None).cast("int")
     for name, number in _PLACE.items():
@@ -280,6 +281,7 @@ def attach_banner(
     data = placed.where(ref("section") == DATA).drop("section")
     repeated = [LEAD, TAIL] + ([HEADER] if keep_header else [])
     banner = placed.where(ref("section").isin(repeated)).drop("section", "split_key")
-    numbers = banner.agg(F.collect_list("row_no")).scalar()
-    keys = data.select("split_key").distinct().select("split_key", F.explode(numbers).alias("row_no"))
-    return data.unionByName(keys.join(banner, "row_no"))
+    banner = banner.withColumn("_piece", F.shiftright("row_no", 10))
+    pieces = banner.agg(F.collect_set("_piece")).scalar()
+    keys = data.select("split_key").distinct().select("split_key", F.explode(pieces).alias("_piece"))
+    return data.unionByName(keys.join(banner, "_piece").drop("_piece"))

@@ -122,3 +122,16 @@ def test_quartiles_of_many_distinct_values(spark):
     for name in df.columns:
         ranked = df.select(name).sort(name).rdd.map(lambda r: r[0]).zipWithIndex().filter(lambda p: p[1] in (n // 4, 3 * n // 4)).collect()
         assert found[name] == tuple(v for v, _ in sorted(ranked, key=lambda p: p[1])), name
+
+
+def test_banner_of_several_pieces(spark):
+    """A tail of 2,500 rows, which lie in four pieces, ends each key's output whole and once."""
+    import tabloom as tl
+
+    rows = [(f"k{n % 3}", n) for n in range(1, 4001)]
+    numbered = spark.createDataFrame(rows, "key string, row_no long").repartition(4)
+    sections = tl.split_sections(numbered, header_row=3, tail=(1501, 4000))
+    found = tl.attach_banner(sections, "key").orderBy("split_key", "place", "row_no").collect()
+    for k in ("k0", "k1", "k2"):
+        own = [n for key, n in rows if key == k and 3 < n <= 1500]
+        assert [r["row_no"] for r in found if r["split_key"] == k] == [1, 2, 3, *own, *range(1501, 4001)]
