@@ -15,8 +15,10 @@ from tabloom.llm.common import numbered, ship, written
 from tabloom.llm.encoding import Ids, loaded
 from tabloom.llm.textbatch import slices
 
-#: Tokens in one step of the length histogram: a piece takes whole steps in a pattern.
+#: Tokens in one step of a pattern: a bundle of pieces takes whole steps.
 STEP = 16
+#: Share of a bundle that may be lost to whole steps before another number of pieces is tried.
+LOST = 0.005
 
 
 def _pieces(tokenizer_path: str, end_id: int, capacity: int, names: list[str], with_ids: bool):
@@ -123,30 +125,68 @@ def _first_fit(left: dict[int, int], capacity: int) -> Iterator[tuple[tuple, int
         yield tuple(sorted(pattern.items())), times
 
 
-def _plan(spark, patterns: list[tuple[dict[int, int], int]]) -> DataFrame:
-    """For each size, runs of ranks and the sequences that take them."""
+def bundles(counts: dict[int, int], capacity: int, step: int) -> list[tuple[int, int, int]]:
+    """(length, pieces in a bundle, bundles), so that short pieces share steps.
+
+    A bundle holds up to half the capacity. Sequences of nothing but such bundles should hold
+    nearly as many pieces as fit without steps; of the bundles that do, the smallest that loses
+    at most LOST to whole steps is taken, or else the one that loses least. What is left of a
+    length is one smaller bundle, so the loss beyond that is below a step for each length.
+    """
+
+    def loss(length: int, pieces: int) -> tuple[float, float, int]:
+        steps, most = _steps(length, pieces, step), capacity // length
+        alone = 1 - capacity // step // steps * pieces / most
+        return max(alone - 2 * LOST, 0), max(steps * step / (pieces * length) - 1, LOST), pieces
+
+    found = []
+    for length, n in sorted(counts.items()):
+        best = min(loss(length, pieces) for pieces in range(1, max(1, capacity // (2 * length)) + 1))[2]
+        whole, rest = divmod(n, best)
+        found += [(length, best, whole)] * (whole > 0) + [(length, rest, 1)] * (rest > 0)
+    return found
+
+
+def _steps(length: int, pieces: int, step: int) -> int:
+    return -(-length * pieces // step)
+
+
+def _plan(patterns: list[tuple[dict[int, int], int]], groups: list[tuple[int, int, int]], step: int) -> list[tuple]:
+    """For each length, runs of ranks, how they are bundled, and the sequences that take the bundles."""
+    waiting: dict[int, list[list[int]]] = {}
+    for length, pieces, n in groups:
+        waiting.setdefault(_steps(length, pieces, step), []).append([length, pieces, n])
     seen: Counter = Counter()
     rows, sequence = [], 0
     for pattern, times in patterns:
-        for size, n in pattern.items():
-            rows.append((size, seen[size], seen[size] + n * times, n, sequence))
-            seen[size] += n * times
+        for size, each in pattern.items():
+            dealt = 0
+            while dealt < each * times:
+                group = waiting[size][-1]
+                length, pieces, n = group
+                now = min(n, each * times - dealt)
+                rows.append((length, seen[length], seen[length] + now * pieces, pieces, dealt, each, sequence))
+                seen[length] += now * pieces
+                dealt += now
+                group[2] -= now
+                if not group[2]:
+                    waiting[size].pop()
         sequence += times
-    return spark.createDataFrame(rows, "_size int, _from long, _to long, _each long, _sequence long")
+    return rows
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, id_column: str = "doc_id", text_column: str = "text", step: int = STEP, with_ids: bool = False) -> DataFrame:
     """Pack all documents into sequences of at most `capacity` tokens.
 
     A document's ids, with `end_id` after them, are cut at multiples of the capacity only; full
-    pieces are sequences of their own and the rest, in steps of `step` tokens, is what the
-    patterns hold. Returns a row per piece: id, start, length, ids_crc32 (little-endian 32-bit
+    pieces are sequences of their own. The rests are bundled by equal length (see `bundles`), and
+    bundles, in steps of `step` tokens, are what the patterns hold. Returns a row per piece: id, start, length, ids_crc32 (little-endian 32-bit
     ids), doc_tokens, sequence_id (gapless from 0), offset (in its sequence, gapless) and, if
     asked for, the ids as bytes.
 
-    The pieces are written once, without texts; only the histogram of lengths, capacity / step
-    numbers, comes to the driver, and the patterns, of which there are as many, go back. Pieces
-    are ranked within a size in buckets, so a common length is no hot task. A null text is an
+    The pieces are written once, without texts; only the histogram of lengths, at most
+    `capacity` numbers, comes to the driver, and the patterns over capacity / step sizes go back. Pieces
+    are ranked within a length in buckets, so a common length is no hot task. A null text is an
     empty one and has the end id alone; repeated rows are packed as often as they occur; ids
     may be null; an empty table gives an empty result. Other columns are not read.
     """
@@ -157,16 +197,18 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     schema = f"`{id_column}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     rows = docs.select(F.col(id_column), F.col(text_column))
     pieces = written(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity, names, with_ids), schema))
-    sized = pieces.withColumn("_size", F.ceil(F.col("length") / step).cast("int"))
-    histogram = {r["_size"]: r["count"] for r in sized.groupBy("_size").count().collect()}
-    plan = _plan(spark, cutting_patterns(histogram, capacity // step))
-    ranked = numbered(sized, "_rank", ["_size"], buckets=1024)
-    dealt = (
-        # Bounded: at most a line for each size of each of capacity / step patterns.
-        ranked.join(F.broadcast(plan), (ranked["_size"] == plan["_size"]) & F.col("_rank").between(F.col("_from"), F.col("_to") - 1)).drop(plan["_size"])
-        .withColumn("_rank", F.col("_rank") - F.col("_from"))
-        .withColumn("sequence_id", F.col("_sequence") + F.expr("_rank div _each"))
-        .withColumn("_turn", F.col("_rank") % F.col("_each"))
-    )
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("_size"), "_turn").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    groups = bundles(histogram, capacity, step)
+    demand: Counter = Counter()
+    for length, each, n in groups:
+        demand[_steps(length, each, step)] += n
+    plan = spark.createDataFrame(
+        _plan(cutting_patterns(demand, capacity // step), groups, step),
+        "_length long, _from long, _to long, _pieces long, _before long, _each long, _sequence long")
+    ranked = numbered(pieces, "_rank", ["length"], buckets=1024)
+    # Bounded: at most a line for each size of each of capacity / step patterns, and two for each length.
+    dealt = ranked.join(
+        F.broadcast(plan), (F.col("length") == F.col("_length")) & F.col("_rank").between(F.col("_from"), F.col("_to") - 1),
+    ).withColumn("sequence_id", F.expr("_sequence + ((_rank - _from) div _pieces + _before) div _each"))
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
     return dealt.select(*names, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))

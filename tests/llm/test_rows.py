@@ -343,9 +343,35 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, WORD_BPE).collect() == []
 
 
+@pytest.mark.parametrize("tokens", [2, 17, 33])
+def test_short_texts_are_packed_with_little_padding(spark, tokens):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", f"repeat('a ', {tokens - 1}) AS text")
+    found = packing.pack(rows, WORD_BPE).select("length", "sequence_id", "offset").collect()
+    assert {r["length"] for r in found} == {tokens} and len({(r["sequence_id"], r["offset"]) for r in found}) == 20_000
+    used = {r["sequence_id"] for r in found}
+    assert used == set(range(len(used))) and len(used) <= math.ceil(20_000 * tokens / 4096 * 1.01) + 1
+
+
+def test_bundles_hold_every_length():
+    rng = np.random.default_rng(4)
+    for capacity, step in ((4096, 16), (64, 4), (12, 1)):
+        counts = Counter(int(n) for n in rng.gamma(1.5, capacity / 8, 30_000).astype(int).clip(1, capacity))
+        groups = packing.bundles(counts, capacity, step)
+        held = Counter()
+        for length, pieces, n in groups:
+            assert n > 0 and 0 < length * pieces <= capacity
+            held[length] += pieces * n
+        assert held == counts
+        if capacity == 4096:  # few steps, as in the other cases, lose more
+            lost = sum(n * (-length * pieces % step) for length, pieces, n in groups)
+            assert lost <= 0.01 * sum(length * n for length, n in counts.items()) + step * len(counts)
+
+
 def test_patterns_hold_the_demand_with_little_waste():
     rng = np.random.default_rng(2)
-    for capacity, sizes in ((64, rng.integers(1, 65, 5000)), (96, rng.gamma(2, 15, 20_000).astype(int).clip(1, 96)), (10, [6] * 7 + [3])):
+    cases = ((64, rng.integers(1, 65, 5000)), (96, rng.gamma(2, 15, 20_000).astype(int).clip(1, 96)), (10, [6] * 7 + [3]),
+             (256, rng.gamma(2, 15, 50_000).astype(int).clip(1, 256)))
+    for capacity, sizes in cases:
         demand = Counter(int(s) for s in sizes)
         patterns = packing.cutting_patterns(demand, capacity)
         held = Counter()
