@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 
 import tabloom as tl
 from registry.common import round_sql, table
@@ -49,7 +51,41 @@ def _c2_merge(spark, sf_dir):
     return tl.run_recipe(table(spark, sf_dir, "customer"), steps)
 
 
-QUERIES = {"C1_saved_recipe": _c1_saved, "C2_recipe": partial(revenue_pivot), "C2_dedup_split": _c2_dedup_split,
+GRAPH = [
+    {"name": "kept", "from": "lineitem", "op": "filter",
+     "conditions": [{"column": "l_quantity", "operator": "gt", "value": "30"}]},
+    {"name": "narrow", "from": "kept", "op": "columns", "keep": ["l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber"]},
+    {"name": "cells", "from": "narrow", "op": "pivot", "rows": "l_returnflag", "columns": "l_linestatus",
+     "value": "l_orderkey", "how": "count"},
+    {"name": "modes", "from": "narrow", "op": "value_counts", "column": "l_linenumber"},
+    {"name": "flags", "from": "narrow", "op": "split_summary", "column": "l_returnflag"},
+    {"name": "buyers", "from": "customer", "op": "columns", "keep": ["c_nationkey"]},
+    {"name": "sellers", "from": "supplier", "op": "columns", "keep": ["s_nationkey"]},
+    {"name": "people", "from": ["buyers", "sellers"], "op": "merge", "by": "position"},
+    {"name": "nations", "from": "people", "op": "value_counts", "column": "c_nationkey"},
+]
+
+
+def _graph(spark, sf_dir):
+    return tl.Graph({n: table(spark, sf_dir, n) for n in ("lineitem", "customer", "supplier")}, GRAPH)
+
+
+def _c2_graph(spark, sf_dir):
+    """Three results of one filtered scan and one of two merged inputs, read back and put below each other."""
+    base = scratch_dir(spark)
+    _graph(spark, sf_dir).run({n: f"{base}/{n}" for n in ("cells", "modes", "flags", "nations")})
+    read = {n: spark.read.parquet(f"{base}/{n}") for n in ("cells", "modes", "flags", "nations")}
+    read["cells"] = read["cells"].where("kind = 'cell'").selectExpr("concat(row_key, '/', col_key) AS value", "cell AS n")
+    rows = [df.selectExpr(f"'{n}' AS result", "value", "cast(n AS bigint) AS n") for n, df in read.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _c3_graph_summary(spark, sf_dir):
+    base = scratch_dir(spark)
+    return _graph(spark, sf_dir).run({n: f"{base}/{n}" for n in ("modes", "flags", "nations")})
+
+
+QUERIES = {"C2_graph": _c2_graph, "C3_graph_summary": _c3_graph_summary, "C1_saved_recipe": _c1_saved, "C2_recipe": partial(revenue_pivot), "C2_dedup_split": _c2_dedup_split,
            "C2_merge": _c2_merge,
            "C3_summary": _c3_summary}
 
@@ -64,6 +100,18 @@ _PIVOT = f"""WITH cells AS (SELECT flag AS row_key, l_linestatus AS col_key,
     UNION ALL SELECT 'grand_total', '合计', '合计', {_TOTAL} FROM cells"""
 
 ORACLES = {
+    "C2_graph": """WITH kept AS (SELECT * FROM lineitem WHERE l_quantity > 30)
+        SELECT 'cells' AS result, concat(l_returnflag, '/', l_linestatus) AS value, count(*) AS n FROM kept GROUP BY 2
+        UNION ALL SELECT 'modes', cast(l_linenumber AS varchar), count(*) FROM kept GROUP BY 2
+        UNION ALL SELECT 'flags', l_returnflag, count(*) FROM kept GROUP BY 2
+        UNION ALL SELECT 'nations', cast(k AS varchar), count(*) FROM (
+            SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 2""",
+    "C3_graph_summary": """WITH kept AS (SELECT * FROM lineitem WHERE l_quantity > 30)
+        SELECT 'narrow' AS result, 'columns' AS op, count(*) AS rows, false AS sink FROM kept
+        UNION ALL SELECT 'modes', 'value_counts', count(DISTINCT l_linenumber), true FROM kept
+        UNION ALL SELECT 'flags', 'split_summary', count(DISTINCT l_returnflag), true FROM kept
+        UNION ALL SELECT 'nations', 'value_counts', count(DISTINCT k), true FROM (
+            SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier)""",
     "C1_saved_recipe": _PIVOT,
     "C2_recipe": _PIVOT,
     "C2_dedup_split": """SELECT o_orderpriority AS value, o_orderpriority AS output,

@@ -23,6 +23,7 @@ from tabloom.operators.validate import (
     duplicate_rows, empty_rates, issues, outlier_bounds, outlier_rows, outliers, profile, quartiles, report,
     type_kinds, write_issues,
 )
+from tabloom.plans.graph import Graph
 from tabloom.plans.recipe import apply_op, run_recipe, run_with_summary
 from tabloom.session import session
 from tabloom.sources.tables import (

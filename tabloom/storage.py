@@ -27,3 +27,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     return f"{_base(spark)}/tabloom-{uuid.uuid4().hex}"
 
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
