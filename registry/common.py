@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import tabloom as tl
+from tabloom.storage import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +77,15 @@ def round_sql(x: str, digits: int = 2) -> str:
 def text_sql(x: str) -> str:
     """Text of a DOUBLE: no fraction for whole numbers."""
     return f"(CASE WHEN {x} = floor({x}) THEN cast(cast({x} AS bigint) AS varchar) ELSE cast({x} AS varchar) END)"
+
+
+def grown(spark, sf_dir: str, name: str, status: str, columns: list[str], values: list[str] = ()):
+    """States of a table that came in three batches, by a status F, O or any other, the second one twice."""
+    states = tl.GroupStates(spark, scratch_dir(spark), columns, values)
+    rows, status = table(spark, sf_dir, name), F.coalesce(F.col(status), F.lit(""))
+    states.add(rows.where(status == "F"), "first")
+    states.add(rows.where(status == "O"), "second")
+    states.compact()
+    states.add(rows.where(status == "O"), "second")
+    states.add(rows.where(~status.isin("F", "O")), "third")
+    return states

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tabloom as tl
-from registry.common import MESSY_SQL, in_order, messy, table
+from registry.common import MESSY_SQL, grown, in_order, messy, table
 
 _PRIORITY = "SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1"
 
 QUERIES = {
     "G1_counts": lambda s, d: tl.value_counts(messy(s, d), "cell"),
     "G1_counts_dates": lambda s, d: tl.value_counts(table(s, d, "orders"), "o_orderdate"),
+    "G1_grown": lambda s, d: grown(s, d, "orders", "o_orderstatus", ["o_orderpriority"]).value_counts("o_orderpriority"),
     "G2_share": lambda s, d: tl.share_table(table(s, d, "orders"), "o_orderpriority"),
     "G2_order": lambda s, d: in_order(tl.share_table(table(s, d, "events"), "event_type")),
     "G3_bar": lambda s, d: tl.bars(messy(s, d), "cell"),
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "G1_counts": f"SELECT coalesce(cell, '(空)') AS value, count(*) AS n FROM {MESSY_SQL} GROUP BY 1",
     "G1_counts_dates": "SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS value, count(*) AS n FROM orders GROUP BY 1",
+    "G1_grown": _PRIORITY,
     "G2_share": f"""SELECT value, n, printf('%.1f%%', n::double / sum(n) OVER ()::double * 100.0) AS share
         FROM ({_PRIORITY})""",
     "G2_order": """SELECT value, n, printf('%.1f%%', n::double / sum(n) OVER ()::double * 100.0) AS share,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tabloom as tl
-from registry.common import table
+from registry.common import grown, table
 from tabloom.storage import scratch_dir
 
 KEYS = ["user_id", "event_type"]
@@ -55,6 +55,7 @@ QUERIES = {
     "D3_keys": _d3_keys,
     "D3_all_columns": _d3_all_columns,
     "D4_counts": lambda s, d: tl.dedup_counts(_events(s, d), KEYS),
+    "D5_grown": lambda s, d: grown(s, d, "orders", "o_orderstatus", ["o_custkey", "o_orderpriority"]).duplicate_groups(),
     "D5_groups": lambda s, d: tl.duplicate_groups(table(s, d, "orders"), ["o_custkey", "o_orderpriority"]),
     "D6_removed": lambda s, d: tl.removed_rows(_events(s, d), KEYS, "first", ORDER),
     "D6_removed_last": lambda s, d: tl.removed_rows(_events(s, d), KEYS, "last"),
@@ -80,6 +81,8 @@ ORACLES = {
     "D3_all_columns": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "D4_counts": """SELECT count(*) AS total, count(DISTINCT (user_id, event_type)) AS kept,
         count(*) - count(DISTINCT (user_id, event_type)) AS removed FROM events""",
+    "D5_grown": """SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders
+        GROUP BY ALL HAVING count(*) > 1""",
     "D5_groups": """SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders
         GROUP BY ALL HAVING count(*) > 1""",
     "D6_removed": _ranked("", "> 1"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import tabloom as tl
-from registry.common import MESSY_SQL, in_order, messy, num_sql, refused, round_sql, table
+from registry.common import MESSY_SQL, grown, in_order, messy, num_sql, refused, round_sql, table
 
 _STATUS = ("F", "O", "P")
 _CORNER = "o_orderpriority \\ o_orderstatus"
@@ -27,6 +27,10 @@ def _long(how, value="o_totalprice"):
     return lambda s, d: tl.pivot_long(_orders(s, d), "o_orderpriority", "o_orderstatus", value, how)
 
 
+def _grown(spark, sf_dir):
+    return grown(spark, sf_dir, "orders", "o_orderstatus", ["o_orderpriority", "o_orderstatus"], ["o_totalprice"])
+
+
 def _odd_keys(spark, sf_dir, keys):
     """Orders whose status becomes one of two column keys that are hard to tell apart."""
     status = F.when(F.col("o_orderstatus") == "F", keys[0]).otherwise(keys[1]).alias("status")
@@ -59,6 +63,8 @@ QUERIES = {
     "V8_crosstab_label_keys": lambda s, d: _odd_keys(s, d, ("row_key", "合计")),
     "V2_count": _cells("count"), "V3_sum": _cells("sum"), "V4_avg": _cells("avg"),
     "V5_min": _cells("min"), "V6_max": _cells("max"),
+    "V3_grown": lambda s, d: _grown(s, d).pivot_cells("o_orderpriority", "o_orderstatus", "o_totalprice", "sum"),
+    "V6_grown": lambda s, d: _grown(s, d).pivot_cells("o_orderpriority", "o_orderstatus", "o_totalprice", "max"),
     "V8_crosstab": _crosstab("count"),
     "V8_crosstab_sum": _crosstab("sum"),
     "V8_crosstab_missing": lambda s, d: tl.crosstab(messy(s, d), "cell", "p_type", "p_size", "count"),
@@ -120,6 +126,8 @@ def _missing_sql() -> str:
 
 ORACLES = {f"V{i}_{how}": _cells_sql(how) for i, how in enumerate(("count", "sum", "avg", "min", "max"), start=2)}
 ORACLES |= {
+    "V3_grown": _order_cells("sum"),
+    "V6_grown": _order_cells("max"),
     "V8_crosstab": _crosstab_sql("count"),
     "V8_crosstab_sum": _crosstab_sql("sum"),
     "V8_crosstab_missing": _missing_sql(),

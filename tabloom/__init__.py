@@ -19,6 +19,7 @@ from tabloom.operators.rows import (
 from tabloom.operators.split import (
     read_split, split_collisions, split_summary, with_output, write_banner_split, write_split,
 )
+from tabloom.operators.states import GroupStates
 from tabloom.operators.validate import (
     duplicate_rows, empty_rates, issues, outlier_bounds, outlier_rows, outliers, profile, quartiles, report,
     type_kinds, write_issues,
