@@ -96,78 +96,76 @@ def _bucket(v: Column, bits: int) -> Column:
     return wide - (wide - inner)
 
 
-# Ranks of the sketch are off by at most one in so many rows; a bracket is as wide as three such errors.
-SKETCH = 10_000
-_MARGIN = 3 / SKETCH
+def _long(numbers: DataFrame) -> DataFrame:
+    """``(at, v)``: every number with the place of its column, without an array per row."""
+    columns = [F.col(c).alias(str(i)) for i, c in enumerate(numbers.columns)]
+    long = numbers.select(*columns).unpivot([], [f"`{i}`" for i in range(len(columns))], "at", "v")
+    return long.where(F.col("v").isNotNull()).select(F.col("at").cast("int").alias("at"), "v")
 
 
-def sketches(columns: Sequence[Column]) -> list[Column]:
-    """Aggregates, one per number column: its count and the values that bracket both quartiles.
-
-    Each task keeps a rank sketch with a proven error (Greenwald and Khanna), which are merged;
-    the rank of a value it names is off by one in ``SKETCH`` rows at most.
-    """
-    at = F.array(*[F.lit(f) for f in (0.25 - _MARGIN, 0.25 + _MARGIN, 0.75 - _MARGIN, 0.75 + _MARGIN)])
-    return [F.struct(F.count(v).alias("n"), F.percentile_approx(v, at, F.lit(SKETCH)).alias("p")) for v in columns]
+def _running(sizes: DataFrame, *order: str) -> DataFrame:
+    """Lines with their column's ``n``, the wanted positions ``k1`` and ``k3``, and the rows ``before`` and ``upto`` them."""
+    column = Window.partitionBy("at")
+    return sizes.select(
+        "*", F.sum("c").over(column).alias("n"), F.sum("c").over(column.orderBy(*order)).alias("upto"),
+    ).select("*", (F.col("upto") - F.col("c")).alias("before"), F.expr("n div 4").alias("k1"), F.expr("(3 * n) div 4").alias("k3"))
 
 
-def _sketched(numbers: DataFrame) -> Column:
-    """The sketches of all number columns as one scalar array."""
-    return numbers.agg(F.array(*sketches([F.col(c) for c in numbers.columns])).alias("s")).scalar()
+def _holds(k: str) -> Column:
+    return (F.col("before") <= F.col(k)) & (F.col(k) < F.col("upto"))
 
 
-def _histogram(numbers: DataFrame, brackets: Column) -> DataFrame:
-    """``(at, n, x, gap, c)``: counts of the values inside a column's brackets, in one scan.
+def _brackets(numbers: DataFrame) -> Column:
+    """Per column the least and largest value of the buckets that hold its quartiles, as one scalar array.
 
-    Values below the first bracket are one line without ``x``; those between the brackets are
-    one line with ``gap``, behind the end of the first; values above the second are left out.
+    Buckets are values equal to 10 binary digits: one line per bucket is all that is shuffled.
     """
-    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("v")) for i, c in enumerate(numbers.columns)])
-    long = numbers.select(brackets.alias("s"), F.explode(cells).alias("cell")).select("cell.at", "cell.v", F.get("s", F.col("cell.at")).alias("s"))
-    v, p = F.col("v"), lambda i: F.col("s.p")[i]
-    gap = (v > p(1)) & (v < p(2))
-    return (
-        long.where(v.isNotNull() & (F.col("s.n") >= 4) & (v <= p(3)))
-        .groupBy("at", F.col("s.n").alias("n"), F.when(v < p(0), None).when(gap, p(1)).otherwise(v).alias("x"), gap.alias("gap"))
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+    counted = _long(numbers).select("at", "v", _bucket(F.col("v"), 10).alias("b")).groupBy("at", "b").agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ends = [F.max(F.when(_holds(k), F.col(x))).alias(f"{x}{k[1]}") for k in ("k1", "k3") for x in ("low", "high")]
+    found = _running(counted, "b").groupBy("at").agg(*ends)
+    by_column = F.map_from_entries(F.collect_list(F.struct("at", F.struct("low1", "high1", "low3", "high3"))))
+    places = F.array(*[F.lit(i) for i in range(len(numbers.columns))]).cast("array<int>")
+    return found.agg(F.transform(places, lambda i: F.try_element_at(by_column, i))).scalar()
 
 
-def _found(sizes: DataFrame, *order: str) -> DataFrame:
-    """Per column and quartile, the line that holds the wanted position ``k``.
+def _histogram(numbers: DataFrame) -> DataFrame:
+    """``(at, part, x, c)``: counts of the values inside a column's brackets, in one scan.
 
-    ``before`` rows of smaller values come in, and go out for the line found.
+    ``part`` and ``x`` sort like the values: parts 1 and 3 are the brackets, with one line per
+    value; parts 0, 2 and 4 are one line each for what lies below, between and above.
     """
-    upto = F.sum("c").over(Window.partitionBy("at", "q").orderBy(*order))
-    return (
-        sizes.withColumn("upto", F.col("before") + upto).withColumn("before", F.col("upto") - F.col("c"))
-        .where("before <= k and k < upto").drop("upto", "c")
+    v, t = F.col("v"), lambda name: F.col("t").getField(name)
+    part = (
+        F.when(v < t("low1"), 0).when(v <= t("high1"), 1).when(v < t("low3"), 2).when(v <= t("high3"), 3).otherwise(4)
     )
+    placed = _long(numbers).select("at", "v", F.get(_brackets(numbers), F.col("at")).alias("t")).select("at", "v", part.alias("part"))
+    value = F.when(F.col("part").isin(1, 3), v)
+    return placed.select("at", "part", value.alias("x")).groupBy("at", "part", "x").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _exact_quartiles(numbers: DataFrame, brackets: Column) -> DataFrame:
+def _exact_quartiles(numbers: DataFrame) -> DataFrame:
     """``(at, n, q1, q3)`` at positions ``n div 4`` and ``3n div 4`` of the sorted values.
 
-    The sketch of a first scan brackets both positions; a second scan counts what lies below
-    and makes a histogram of the few values inside. A histogram of many distinct values is no
-    task of its own either: the bucket of values equal to 10 binary digits that holds the
-    position is found first, then that of 31 digits in it, then the value, so a task sees four
-    million lines of a column at most beyond the first level, and there one line per bucket.
+    A first scan counts coarse buckets, which bracket both positions; a second scan counts what
+    lies outside and makes a histogram of the values inside. A histogram of many distinct values is no
+    task of its own either: the bucket of values equal to 31 binary digits that holds a
+    position is found first, then the value in it, so a task sees four million lines of a column at most.
     """
-    lines = _histogram(numbers, brackets).select("*", _bucket(F.col("x"), 10).alias("b1"), _bucket(F.col("x"), 31).alias("b2"))
-    ranks = F.array(
-        F.struct(F.lit(1).alias("q"), F.expr("n div 4").alias("k")),
-        F.struct(F.lit(3).alias("q"), F.expr("(3 * n) div 4").alias("k")),
-    )
-    sizes = lines.groupBy("at", "n", "b1").agg(F.sum("c").alias("c")).select("*", F.inline(ranks))
-    target, known = _found(sizes.withColumn("before", F.lit(0).cast("long")), "b1"), ["b1"]
-    for keys in (["b2"], ["x", "gap"]):
-        # At most two targets per column are broadcast.
-        inside = lines.join(F.broadcast(target), ["at", "n", *known])
-        sizes = inside.groupBy("at", "q", "n", "k", "before", *known, *keys).agg(F.sum("c").alias("c"))
-        target, known = _found(sizes, *keys), known + keys
-    pick = lambda q: F.max(F.when((F.col("q") == q) & F.col("x").isNotNull() & ~F.col("gap"), F.col("x")))
-    found = target.groupBy("at", "n").agg(pick(1).alias("q1"), pick(3).alias("q3"))
+    lines = _histogram(numbers).select("*", _bucket(F.col("x"), 31).alias("b"))
+    sizes = lines.groupBy("at", "part", "b").agg(F.sum("c").alias("c"))
+    target = _running(sizes, "part", "b").where((F.col("n") >= 4) & (_holds("k1") | _holds("k3"))).select(
+        *[F.col(c).alias(f"t_{c}") for c in ("at", "part", "b", "n", "k1", "k3", "before")])
+    # At most two targets per column are broadcast. Equality that takes empty cells too lets no
+    # filter down into the histogram, which is so made once for both uses.
+    same = [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in ("at", "part", "b")]
+    inside = lines.join(F.broadcast(target), same[0] & same[1] & same[2])
+    upto = F.sum("c").over(Window.partitionBy("at", "part", "b").orderBy("x"))
+    ranked = inside.select(
+        "at", "x", F.col("t_n").alias("n"), F.col("t_k1").alias("k1"), F.col("t_k3").alias("k3"),
+        (F.col("t_before") + upto).alias("upto"), (F.col("t_before") + upto - F.col("c")).alias("before"))
+    pick = lambda k: F.max(F.when(_holds(k), F.col("x")))
+    found = ranked.groupBy("at", "n").agg(pick("k1").alias("q1"), pick("k3").alias("q3"))
     missed = F.raise_error(F.lit("a quartile lies outside its bracket")).cast("boolean")
     return found.where(F.when(F.col("q1").isNull() | F.col("q3").isNull(), missed).otherwise(True))
 
@@ -181,13 +179,13 @@ def _approximate_quartiles(numbers: DataFrame, accuracy: int) -> DataFrame:
     )
 
 
-def _quartiles(df: DataFrame, names: list[str], exact: bool, accuracy: int, brackets: Column | None = None) -> DataFrame:
+def _quartiles(df: DataFrame, names: list[str], exact: bool, accuracy: int) -> DataFrame:
     if not names:
         return df.sparkSession.createDataFrame([], "at int, n bigint, q1 double, q3 double")
     numbers = _numbers(df, names)
     if not exact:
         return _approximate_quartiles(numbers, accuracy)
-    return _exact_quartiles(numbers, _sketched(numbers) if brackets is None else brackets)
+    return _exact_quartiles(numbers)
 
 
 def _bounds(found: DataFrame, multiplier: float) -> DataFrame:
@@ -251,9 +249,9 @@ def _outliers(df: DataFrame, names: list[str], limits: Column) -> DataFrame:
         round_exact(F.col("line.limit.upper")).alias("upper"))
 
 
-def _limits(df: DataFrame, names: list[str], multiplier: float, exact: bool, accuracy: int, brackets: Column | None = None) -> Column:
+def _limits(df: DataFrame, names: list[str], multiplier: float, exact: bool, accuracy: int) -> Column:
     """The bounds of all columns, in their order, as one scalar array; NULL without bounds."""
-    bounds = _bounds(_quartiles(df, names, exact, accuracy, brackets), multiplier)
+    bounds = _bounds(_quartiles(df, names, exact, accuracy), multiplier)
     by_column = F.map_from_entries(F.collect_list(F.struct("at", F.struct("lower", "upper"))))
     places = F.array(*[F.lit(i) for i in range(len(names))]).cast("array<int>")
     return bounds.agg(F.transform(places, lambda i: F.try_element_at(by_column, i))).scalar()
@@ -319,8 +317,8 @@ def report(df: DataFrame, checks: Mapping[str, object], check_rows: bool = True)
 
     ``checks`` holds ``empty``, ``empty_threshold`` (50), ``outliers``,
     ``outlier_multiplier`` (1.5), ``type_check`` and ``duplicates``. The table is read once for
-    the empty and type checks and the sketches of the quartiles, once for the quartiles' values,
-    once to count outliers and once for the fingerprints of rows.
+    the empty and type checks, twice for the quartiles, once to count outliers and once for the
+    fingerprints of rows.
     """
     if check_rows and (not df.columns or df.isEmpty()):
         raise InsufficientData("the table has no rows")
@@ -339,21 +337,12 @@ def report(df: DataFrame, checks: Mapping[str, object], check_rows: bool = True)
                                pct < float(checks.get("empty_threshold", 50))))
     if checks.get("type_check"):
         per_column.append(line("type_check", F.col("column"), "kinds", _kind_count(), _kinds(), _kind_count() <= 1))
-    names, brackets = _number_columns(df, None) if checks.get("outliers") else [], None
-    if per_column and names:
-        # One row holds all that the first scan gives; both uses take it as a whole.
-        cells, aggregates, lines = _profile(df)
-        numbers = [num(df, c).alias(f"v{i}") for i, c in enumerate(names)]
-        sketched = F.array(*sketches([F.col(f"v{i}") for i in range(len(names))]))
-        first = df.select(*cells, *numbers).agg(*aggregates, sketched.alias("_s")).select(F.struct("*").alias("f")).scalar()
-        told = df.sparkSession.range(1).select(first.alias("f")).select("f.*")
-        told, brackets = told.select(F.explode(F.array(*lines)).alias("line")).select("line.*"), first["_s"]
-    elif per_column:
-        told = profile(df)
     if per_column:
+        told = profile(df)
         parts.append(told.select(F.explode(F.array(*per_column)).alias("line")).select("line.*"))
     if checks.get("outliers"):
-        found = _outliers(df, names, _limits(df, names, checks.get("outlier_multiplier", 1.5), True, 0, brackets))
+        names = _number_columns(df, None)
+        found = _outliers(df, names, _limits(df, names, checks.get("outlier_multiplier", 1.5), True, 0))
         shown = F.concat(F.lit("["), as_text(F.col("lower"), T.DoubleType()), F.lit(", "),
                          as_text(F.col("upper"), T.DoubleType()), F.lit("]"))
         parts.append(found.select(line("outliers", F.col("column"), "outliers", F.col("outliers"), shown,

@@ -78,6 +78,16 @@ def test_quartiles_shuffle_only_counts(lineitem):
     assert "partial_count" in plan.split("FileScan")[0].rsplit("Exchange hashpartitioning", 1)[1]
 
 
+def test_quartiles_of_all_columns_scan_once_without_a_row_array(lineitem):
+    """The bounds and the histogram are a scan each, however many columns and levels there are."""
+    for df in (tl.quartiles(lineitem), tl.outlier_bounds(lineitem, multiplier=2.0)):
+        plan = _plan(df, run=True)
+        assert plan.count("FileScan") == 1
+        assert "Generate" not in plan and "Expand" in plan
+    whole = tl.outliers(lineitem, multiplier=0.25)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(array(named_struct(at" not in whole and "percentile_approx" not in whole
+
+
 def test_row_numbers_do_not_move_rows(lineitem):
     plan = _plan(tl.with_row_index(lineitem))
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
