@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ship
-from tabloom.llm.exchange import CHUNK_BYTES, answered, ask, bucket_bits, flags, pack, rows_of, unpack, write_chunks
+from tabloom.llm.exchange import answered, ask, bucket_bits, flags, pack, rows_of, unpack, write_chunks
 from tabloom.llm.linear import per_document
 from tabloom.llm.textbatch import Words, joined, runs_hash, slices, spans_hash, words
 
@@ -25,6 +25,9 @@ ANCHOR = WINDOW - PERIOD + 1
 #: that are compared, so two anchors taken for equal cost time, not correctness.
 SENT = 5
 
+#: Bytes of text in a chunk. Hashes and places take some 12 times as much memory.
+CHUNK_BYTES = 4 << 20
+
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _LAST = int(np.iinfo(np.int64).max)
 

@@ -306,3 +306,22 @@ def test_substrings_against_sql(spark, sf):
     from tabloom.llm import queries
 
     assert oracle.difference(queries.op3_difference_cover(spark, sf), oracle.connect(sf), queries.OP3_SQL) is None
+
+
+def test_chunk_of_repeats_takes_little_memory():
+    """Two chunks are at work in an executor at a time, beside what the pipeline's other stages left there."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tabloom.llm import substrings
+
+    text = " ".join(f"w{k}" for k in range(2000))
+    count = substrings.CHUNK_BYTES // len(text)
+    row = substrings._make([pa.array(range(count)), pa.array([text] * count), pa.nulls(count)])
+    tracemalloc.start()
+    try:
+        substrings._anchor_entries({**row, "ids": pa.array(range(count))}, 8)
+        assert tracemalloc.get_traced_memory()[1] < 75 << 20
+    finally:
+        tracemalloc.stop()
