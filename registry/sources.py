@@ -129,10 +129,11 @@ def _s8_staged(spark, sf_dir):
 
 
 def _s5_quoted_blocks(spark, sf_dir):
-    """Texts with line breaks, quotes and commas, in one file that is read in many blocks."""
+    """Texts with line breaks, quotes and commas, in files that are each written by a task of their
+    own, from two splits of the input at most, and read in several blocks."""
     path = scratch_dir(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\r", " ").alias("text"), "lang")
-    tl.write_csv(docs.coalesce(1), path)
+    tl.write_csv(docs.coalesce(max(1, (docs.rdd.getNumPartitions() + 1) // 2)), path)
     return tl.read_csv(spark, path, multiLine="blocks")
 
 

@@ -140,3 +140,14 @@ def test_convert_keeps_the_order(spark, tmp_path, small_blocks):
     assert [(r.ok, r.rows) for r in done] == [(True, 300)]
     numbered = tl.with_row_index(spark.read.parquet(done[0].output))
     assert [int(r.id) for r in numbered.orderBy("row_no").collect()] == list(range(300))
+
+
+def test_quoted_blocks_are_not_written_by_one_task(spark, tmp_path):
+    """Eight splits of the documents make four files, with all rows."""
+    from registry.sources import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["S5_quoted_blocks"](spark, str(tmp_path))
+    assert len(found.inputFiles()) == 4
+    assert {r.doc_id for r in found.collect()} == {str(r.doc_id) for r in docs.select("doc_id").collect()}
