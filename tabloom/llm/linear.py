@@ -5,16 +5,21 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import ship, text_or_empty
 from tabloom.llm.textbatch import slices
 
 
+#: Bytes of an Arrow batch in the fit. Spark's own limit is 64 MB, which the executor's JVM and its worker hold at once.
+BATCH_BYTES = 4 << 20
+
+
 def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most so many rows, those with the smallest hashes of the key: the same rows each time."""
     return rows.orderBy(F.xxhash64(F.col(key).cast("string")), *[F.col(c) for c in rows.columns]).limit(most)
@@ -24,8 +29,9 @@ def trained(sample: DataFrame, prepare: Callable, fit: Callable):
     """Fit a model on a bounded sample with columns text and label; returns what `fit` returns.
 
     `prepare(texts)` gives one bytes object of features per text, in parallel and without the
-    texts moving on; `fit(features, labels)` runs in one task, on sorted rows, so the model is
-    the same whatever the partitions.
+    texts moving on; `fit(features, labels)` gets them as buffers in one task, on sorted rows, so the model is
+    the same whatever the partitions. Spark sorts the rows, on disk if need be, and they come in
+    small batches, so the task holds the features once.
     """
     ship(sample.sparkSession)
 
@@ -35,16 +41,37 @@ def trained(sample: DataFrame, prepare: Callable, fit: Callable):
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([pa.array(prepare(part.column(0)), pa.binary()), part.column(1)], names=["features", "label"])
 
-    def model(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("label", "ascending"), ("features", "ascending")])
-        return pa.table({"model": [pickle.dumps(fit(table["features"].to_pylist(), table["label"].to_pylist()))]})
+    def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, labels = [], []
+        for batch in batches:
+            known += [value.as_buffer() for value in batch.column(0)]  # no copies
+            labels += batch.column(1).to_pylist()
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(known, labels))], pa.binary())], names=["model"])
 
     kind = dict(sample.dtypes)["label"]
     rows = sample.select("text", "label").mapInArrow(features, f"features binary, label {kind}")
-    found = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(model, "model binary").collect()  # one row of a fixed size
+    ordered = rows.repartition(1).sortWithinPartitions("label", "features")  # bounded, as the sample is
+    with _small_batches(sample.sparkSession):
+        found = ordered.mapInArrow(model, "model binary").collect()  # one row of a fixed size
     return pickle.loads(bytes(found[0][0])) if found else None
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES for the queries that run meanwhile."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def scored(model, score: Callable, schema: str, text_column: str = "text") -> Column:
     """A struct column of `score(model, texts)`, a mapping of arrays, for whole texts in slices."""
     from pyspark.sql.types import StructType

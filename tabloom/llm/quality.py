@@ -17,8 +17,9 @@ from tabloom.llm.textbatch import Words, mixed, ngram_hash, runs_hash, spans_has
 SAMPLE_ROWS = 6000
 DIMENSIONS = 1 << 16
 CHARACTERS = (3, 4)
-#: Features of labelled rows that are unpacked at a time in the fit.
-BLOCK = 1 << 20
+#: Features of labelled rows whose gradients are added up before they join the others', and
+#: those that are unpacked at a time in the fit.
+BLOCK, PIECE = 1 << 20, 1 << 16
 #: Fixed thresholds: words a text needs, its share of repeated words in per cent, and the
 #: calibrated probability of good quality below which it is rejected.
 MIN_WORDS, MAX_REPEAT, MIN_PROBABILITY = 10, 20, 0.5
@@ -56,15 +57,28 @@ def _prepared(texts: pa.Array) -> list[bytes]:
     return result
 
 
-def _blocks(features: list[bytes], documents: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The documents in blocks of about BLOCK features: their numbers, and of each feature the
-    place in the block, number and share. Only one block's features are unpacked at a time."""
+def _parts(features: list[bytes], documents: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The documents in runs of about so many features."""
     sizes = np.array([len(features[k]) // 8 for k in documents], np.int64)
-    for part in np.split(documents, np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK)) + 1):
+    for part in np.split(documents, np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1):
+        if len(part):
+            yield part
+
+
+def _unpacked(features: list[bytes], documents: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The documents in pieces of about PIECE features: their numbers, and of each feature the
+    place in the piece, number and share. Only one piece's features are unpacked at a time."""
+    for part in _parts(features, documents, PIECE):
         ids = [np.frombuffer(features[k], "<u4", len(features[k]) // 8) for k in part]
         shares = [np.frombuffer(features[k], "<f4", len(features[k]) // 8, len(features[k]) // 2) for k in part]
-        if len(part):
-            yield part, np.repeat(np.arange(len(part)), [len(i) for i in ids]), np.concatenate(ids).astype(np.int64), np.concatenate(shares)
+        yield part, np.repeat(np.arange(len(part)), [len(i) for i in ids]), np.concatenate(ids).astype(np.int64), np.concatenate(shares)
+
+
+def _sums(features: list[bytes], documents: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each document, its shares times the weights."""
+    return np.concatenate([np.zeros(0)] + [
+        np.bincount(row, value * weights[column], len(part)) for part, row, column, value in _unpacked(features, documents)
+    ])
 
 
 def _fit(features: list[bytes], labels: list[int]) -> dict:
@@ -79,17 +93,19 @@ def _fit(features: list[bytes], labels: list[int]) -> dict:
     for _ in range(60):
         # The gradient of all rows, added up by blocks.
         gradient, pull = 1e-8 * model.weights, 0.0
-        for part, row, column, value in _blocks(features, np.flatnonzero(~calibrating)):
-            z = np.bincount(row, value * model.weights[column], len(part)) + bias.weights[0]
-            error = (sigmoid(z) - good[part]) * weight[part] / max(weight.sum(), 1)
-            gradient += np.bincount(column, value * error[row], size)
-            pull += error.sum()
+        for block in _parts(features, np.flatnonzero(~calibrating), BLOCK):
+            error = np.zeros(len(good))
+            z = _sums(features, block, model.weights) + bias.weights[0]
+            error[block] = (sigmoid(z) - good[block]) * weight[block] / max(weight.sum(), 1)
+            change = np.zeros(size)
+            for part, row, column, value in _unpacked(features, block):
+                np.add.at(change, column, value * error[part][row])
+            gradient += change
+            pull += error[block].sum()
         model.step(gradient)
         bias.step(np.array([pull]))
-    z = np.zeros(len(good))
-    for part, row, column, value in _blocks(features, np.flatnonzero(calibrating)):
-        z[part] = np.bincount(row, value * model.weights[column], len(part)) + bias.weights[0]
-    slope, offset = _platt(z[calibrating], good[calibrating])
+    z = _sums(features, np.flatnonzero(calibrating), model.weights) + bias.weights[0]
+    slope, offset = _platt(z, good[calibrating])
     return {"weights": model.weights.astype(np.float32), "bias": float(bias.weights[0]), "slope": slope, "offset": offset}
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tabloom.llm import common, language, lm, packing, quality, sharding, textbatch, tokens, toxicity
+from tabloom.llm import common, language, linear, lm, packing, quality, sharding, textbatch, tokens, toxicity
 from tabloom.llm.encoding import Counter as TokenCounter
 from tabloom.llm.encoding import Ids, loaded
 from tabloom.storage import scratch_dir
@@ -188,6 +188,43 @@ def test_the_fit_unpacks_little_at_a_time():
         tracemalloc.stop()
 
 
+def test_the_fit_unpacks_less_than_a_block():
+    import tracemalloc
+
+    rng, each = np.random.default_rng(5), 20_000
+    features = [np.sort(rng.integers(0, 3 * quality.DIMENSIONS, each)).astype("<u4").tobytes() + rng.random(each).astype("<f4").tobytes() for _ in range(150)]
+    tracemalloc.start()
+    try:
+        quality._fit(features, [k % 2 for k in range(150)])
+        assert tracemalloc.get_traced_memory()[1] < 16 * quality.BLOCK
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_task_of_the_fit_holds_the_features_once(spark):
+    """The pipeline's worker stands beside an executor whose heap has grown."""
+    name, each = "spark.sql.execution.arrow.maxBytesPerBatch", 20_000
+    before = spark.conf.get(name)
+
+    def prepare(texts):
+        return [text.as_py().encode() * each for text in texts]
+
+    def fit(features, labels):
+        import sys
+
+        import pyarrow as pa
+
+        return pa.total_allocated_bytes() + sum(map(sys.getsizeof, features)), sum(map(len, features)), [bytes(f[:4]) for f in features], labels
+
+    sample = spark.range(1500).selectExpr("lpad(cast(id * 7919 % 1500 as string), 4, '0') text", "cast(id % 2 as int) label")
+    held, size, features, labels = linear.trained(sample, prepare, fit)
+    assert size == 1500 * 4 * each and held < 1.5 * size
+    rows = sorted((r["label"], r["text"].encode()) for r in sample.collect())
+    assert list(zip(labels, features, strict=True)) == rows
+    assert spark.conf.get(name) == before
+    assert linear.trained(sample.limit(0), prepare, fit) is None
+
+
 def test_scores_do_not_depend_on_the_batch(labelled):
     texts = pa.array([r["text"] for r in labelled[0].limit(40).collect()])
     rng = np.random.default_rng(0)
