@@ -149,6 +149,11 @@ class Ids(_Runs):
         return [b"".join(map(known.__getitem__, run)) for run in runs]
 
 
+def forget() -> None:
+    """Drop what this worker remembers, in tasks that encode nothing."""
+    _loaded.clear()
+
+
 def loaded(kind: type, path: str):
     """One tokenizer of a kind and file in a worker process."""
     if (kind.__name__, path) not in _loaded:

@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.common import give_back
+from tabloom.llm.encoding import forget
 from tabloom.llm.textbatch import slices
 from tabloom.storage import scratch_dir
 
@@ -49,6 +51,7 @@ def write_chunks(docs: DataFrame, make: Callable, fields: str, most: int = CHUNK
     names = [f.split(" ")[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def chunk():
@@ -66,6 +69,8 @@ def write_chunks(docs: DataFrame, make: Callable, fields: str, most: int = CHUNK
                     held, size, number = [], 0, number + 1
         if held:
             yield chunk()
+        held.clear()
+        give_back()
 
     rows = docs.mapInArrow(run, f"chunk long, {fields}")
     return bucketed(rows, "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -105,6 +110,7 @@ def ask(chunks: DataFrame, entries: Callable, bits: int) -> DataFrame:
                     pa.array(buckets.astype(np.int32)), pa.array([row["chunk"]] * len(buckets), pa.int64()),
                     pa.array([int(b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64()), pa.array(data, pa.binary()),
                 ], names=["bucket", "chunk", "size", "data"])
+        give_back()
 
     return chunks.mapInArrow(run, "bucket int, chunk long, size long, data binary")
 

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ship, text_or_empty
+from tabloom.llm.common import give_back, ship, text_or_empty
+from tabloom.llm.encoding import forget
 from tabloom.llm.textbatch import slices
 
 
@@ -36,18 +37,26 @@ def trained(sample: DataFrame, prepare: Callable, fit: Callable):
     ship(sample.sparkSession)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        give_back()
         for batch in batches:
             for start, stop in slices(batch.column(0)):
                 part = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([pa.array(prepare(part.column(0)), pa.binary()), part.column(1)], names=["features", "label"])
+        give_back()
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        give_back()
         known, labels = [], []
         for batch in batches:
             known += [value.as_buffer() for value in batch.column(0)]  # no copies
             labels += batch.column(1).to_pylist()
         if known:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(known, labels))], pa.binary())], names=["model"])
+            made = pickle.dumps(fit(known, labels))
+            known.clear()
+            give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
     kind = dict(sample.dtypes)["label"]
     rows = sample.select("text", "label").mapInArrow(features, f"features binary, label {kind}")
@@ -79,8 +88,10 @@ def scored(model, score: Callable, schema: str, text_column: str = "text") -> Co
     names = StructType.fromDDL(schema).names
 
     def run(texts: pa.Array) -> pa.Array:
+        forget()
         parts = [score(model, texts.slice(start, stop - start)) for start, stop in slices(texts)] or [score(model, texts)]
         arrays = [pa.concat_arrays([_arrow(part[name]) for part in parts]) for name in names]
+        give_back()
         return pa.StructArray.from_arrays(arrays, names=names)
 
     return F.arrow_udf(run, schema)(text_or_empty(text_column))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import numbered, ship, written
+from tabloom.llm.common import give_back, numbered, ship, written
 from tabloom.llm.encoding import Ids, loaded
 from tabloom.llm.textbatch import slices
 
@@ -40,6 +40,7 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int, names: list[str], w
                 columns = list(zip(*rows, strict=True))
                 arrays = [keys.take(pa.array(columns[0]))] + [pa.array(c, pa.int64()) for c in columns[1:5]]
                 yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[5], pa.binary())] * with_ids, names=names)
+        give_back()
 
     return run
 

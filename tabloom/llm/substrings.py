@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ship
+from tabloom.llm.common import give_back, ship
 from tabloom.llm.exchange import answered, ask, bucket_bits, flags, pack, rows_of, unpack, write_chunks
 from tabloom.llm.linear import per_document
 from tabloom.llm.textbatch import Words, joined, runs_hash, slices, spans_hash, words
@@ -218,6 +218,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     texts.append(text.decode())
                 arrays += [pa.array(kept, pa.string())] + ([pa.array(texts, pa.string()), row["carried"]] if carry else [])
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+        give_back()
 
     names = ["id", "n_words", "n_removed", "kept_sha256"] + (["kept_text", "carried"] if carry else [])
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + (f", kept_text string, carried {carried}" if carry else "")

@@ -225,6 +225,33 @@ def test_the_task_of_the_fit_holds_the_features_once(spark):
     assert linear.trained(sample.limit(0), prepare, fit) is None
 
 
+def test_a_worker_gives_memory_back():
+    def held():
+        with open("/proc/self/status") as file:
+            return int(re.search(r"RssAnon:\s+(\d+)", file.read())[1]) << 10
+
+    pieces = [bytes([k % 256]) * 4000 for k in range(30_000)]
+    last = pieces[-1]  # stands behind the others, so that they don't go by themselves
+    before = held()
+    del pieces
+    common.give_back()
+    assert held() < before - 80_000_000 and len(last) == 4000
+
+
+def test_the_fit_works_without_remembered_tokens(spark):
+    def fit(features, labels):
+        from tabloom.llm import encoding
+
+        return len(encoding._loaded)
+
+    def prepare(texts):
+        loaded(Ids, public_tokenizers.path("word_bpe_49k.json"))
+        return [b""] * len(texts)
+
+    sample = spark.createDataFrame([("a", 1), ("b", 0)], "text string, label int")
+    assert linear.trained(sample, prepare, fit) == 0
+
+
 def test_scores_do_not_depend_on_the_batch(labelled):
     texts = pa.array([r["text"] for r in labelled[0].limit(40).collect()])
     rng = np.random.default_rng(0)
